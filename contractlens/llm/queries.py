@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlens.llm import packing, quality_rules, sentencepiece_codec, simhash, token_counts
+from contractlens.llm import packing, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts
 
 
 def _tokenizer(name: str) -> str:
@@ -32,6 +32,10 @@ def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_words(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(documents(spark, sf_dir))
     base = F.col("failures").bitwiseAND(F.lit(quality_rules.policy_mask("v1"))) != 0
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_sentencepiece_codec": op5_sentencepiece_codec,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
