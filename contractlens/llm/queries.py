@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlens.llm import packing, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts, topk
+from contractlens.llm import license_scan, packing, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts, topk
 
 
 def _tokenizer(name: str) -> str:
@@ -28,6 +28,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
@@ -55,6 +59,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_license_scan": op3_license_scan,
     "op5_sentencepiece_codec": op5_sentencepiece_codec,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_top_k": op8_exact_top_k,
