@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlens.llm import license_scan, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts, topk
+from contractlens.llm import chat, license_scan, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts, topk
 
 
 def _tokenizer(name: str) -> str:
@@ -41,6 +41,11 @@ def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return found.withColumn("formatted_sha256", F.sha2("formatted", 256)).drop("formatted")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words(documents(spark, sf_dir))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_sentencepiece_codec": op5_sentencepiece_codec,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_quality_rules": op9_quality_rules,
@@ -74,6 +80,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_chat_formatting": r"""
+with recursive messages as materialized (select row_number() over () as r, * from conversations),
+lines as (
+  select r, conv_id, turn, i as pos, l as line, length(regexp_replace(regexp_extract(l, '^[ \t]*(>[ \t]*)+'), '[^>]', '', 'g')) as level,
+    lower(trim(regexp_replace(regexp_replace(l, '^[ \t]*(>[ \t]*)+', ''), '[ \t\r\n]+', ' ', 'g'))) as said
+  from (select r, conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) as l, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as i from messages)),
+runs as (select *, sum(new) over (partition by r order by pos) as run from (
+  select *, case when coalesce(lag(level) over (partition by r order by pos), -1) <> level then 1 else 0 end as new from lines)),
+passages as (
+  select conv_id, turn, level, string_agg(said, ' ' order by pos) as passage, arg_min(said, pos) as first_line
+  from runs where level > 0 and said <> '' group by r, conv_id, turn, run, level),
+keys as (select conv_id, turn, level, passage as said from passages union select conv_id, turn, level, first_line from passages),
+own as (
+  select conv_id, turn, said from lines where level = 0 and said <> ''
+  union select conv_id, turn, lower(trim(regexp_replace(string_agg(line, ' ' order by pos), '[ \t\r\n]+', ' ', 'g'))) from lines where level = 0 group by r, conv_id, turn),
+origins as (select conv_id, said, min(turn) as origin from own where said <> '' group by all),
+links as (select k.conv_id, k.turn, k.level, max(o.origin) as origin from keys k join origins o on k.conv_id = o.conv_id and k.said = o.said where o.origin < k.turn group by all),
+parents as (select conv_id, turn, max(origin) as parent_turn, count(*) as n_levels from links group by all),
+up as (
+  select conv_id, turn, parent_turn as pos, 1::bigint as depth from parents
+  union all select u.conv_id, u.turn, p.parent_turn, u.depth + 1 from up u join parents p on u.conv_id = p.conv_id and u.pos = p.turn),
+tops as (select conv_id, turn, min(pos) as thread_turn, max(depth) as depth from up group by all),
+bodies as (select r, trim(coalesce(string_agg(line, chr(10) order by pos) filter (where level = 0), ''), ' ' || chr(9) || chr(13) || chr(10)) as body from lines group by r)
+select m.conv_id, m.turn, m.role, p.parent_turn, coalesce(t.thread_turn, m.turn) as thread_turn, coalesce(t.depth, 0) as depth, coalesce(p.n_levels, 0) as n_levels, b.body,
+  sha256('<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || b.body || chr(10) || '<|end|>' || chr(10)) as formatted_sha256
+from messages m join bodies b using (r) left join parents p on m.conv_id = p.conv_id and m.turn = p.turn left join tops t on m.conv_id = t.conv_id and m.turn = t.turn""",
     "op8_exact_top_k": """
 with whole as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
