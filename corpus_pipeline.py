@@ -3,31 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from contractlens.llm import packing, quality_rules, simhash
+from contractlens.llm import packing, quality_classifier, quality_rules, simhash, substring_dedup
 from contractlens.llm.common import Scratch
-from contractlens.llm.queries import _tokenizer
+from contractlens.llm.queries import _tokenizer, documents
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current policy rejects go."""
     return quality_rules.keep_documents(docs)
 
 
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go.  It is fitted on all labelled documents, as the rules have taken most of the bad ones."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    logits = quality_classifier.fit(documents(spark, sf_dir), labels)
+    return quality_classifier.score(docs, logits).where(F.col("quality_score") >= quality_classifier.THRESHOLD).drop("quality_score")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
     return simhash.one_of_each(docs)
 
 
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that recur go."""
+    return substring_dedup.strip_documents(docs)
+
+
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents are packed into sequences of tokens."""
     return packing.pack(docs, _tokenizer("byte_bpe_50k.json"))
 
 
-STAGES = [("quality rules", quality), ("simhash near-dedup", near_duplicates), ("best-fit packing", sequences)]
+STAGES = [("quality rules", rules), ("quality classifier", classifier), ("simhash near-dedup", near_duplicates), ("substring dedup", passages), ("best-fit packing", sequences)]
+#: Hashed features, fingerprints and a vocabulary's ids are beyond SQL; tests hold a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage over the documents of a folder."""
+    docs = documents(spark, sf_dir)
     scratch = Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.table(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            scratch.drop(f"stage{k - 1}")
     return docs
