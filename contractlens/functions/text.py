@@ -6,7 +6,7 @@ portable one is ASCII and has the same meaning in other SQL engines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNICODE = "(?U)"
@@ -94,3 +94,17 @@ def contains_any(x: Column, phrases) -> Column:
 def count_present(x: Column, phrases) -> Column:
     """How many of the phrases occur."""
     return F.size(F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(x, p)))
+
+
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once, however often it is read.
+
+    Neighbouring projections are merged, and a struct whose fields are read is then written out
+    at each use; a one-row generator between them keeps them apart.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name)) if name not in df.columns else df.drop(name).select("*", F.explode(F.array(value)).alias(name))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once in the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contractlens.functions.text import UNICODE, evidence, matches
+from contractlens.functions.text import UNICODE, bound, evidence, matches
 
 # Patterns (fixed values; matched without regard to case).
 MONEY = r"(?:(?:rs\.?|inr|₹)\s*[\d,]+|\b[\d.,]+\s*(?:lakh|lakhs|crore|crores)\b)"
@@ -71,29 +71,35 @@ def _group(x: Column, pattern: str, i: int) -> Column:
     return F.when(found != "", F.lower(found))
 
 
-def weekly_hours(x: Column) -> Column:
-    """Days of a range times hours of a range; null if one is missing or a day has no or over 16 hours."""
+def working_time(x: Column) -> Column:
+    """(days, h1, m1, am1, h2, m2, am2) of the first range of days and the first range of times."""
     index = F.array(*map(F.lit, DAYS))
     i, j = (F.array_position(index, _group(x, DAY_RANGE, k)) for k in (1, 2))
-    h1, m1, h2, m2 = (_group(x, TIME_RANGE, k).cast("int") for k in (1, 2, 4, 5))
-    am1, am2 = _group(x, TIME_RANGE, 3), _group(x, TIME_RANGE, 6)
-    start = F.when((am1 == "pm") & (h1 < 12), h1 + 12).when((am1 == "am") & (h1 == 12), F.lit(0)).otherwise(h1)
-    late = F.when((am2 == "pm") & (h2 < 12), h2 + 12).otherwise(h2)
-    end = F.when(am2.isNull() & (late < start), late + 12).otherwise(late)
-    hours = (end * 60 + m2 - start * 60 - m1) / 60
-    days = F.pmod(j - i, F.lit(7)) + 1
-    return F.when((hours > 0) & (hours <= 16) & (i > 0) & (j > 0), F.bround(days * hours, 1))
+    parts = {"h1": 1, "m1": 2, "am1": 3, "h2": 4, "m2": 5, "am2": 6}
+    read = {n: _group(x, TIME_RANGE, k) for n, k in parts.items()}
+    return F.struct(F.when((i > 0) & (j > 0), F.pmod(j - i, F.lit(7)) + 1).alias("days"), *((c if n.startswith("am") else c.cast("int")).alias(n) for n, c in read.items()))
 
 
-def days_a_week(x: Column) -> Column:
-    index = F.array(*map(F.lit, DAYS))
-    i, j = (F.array_position(index, _group(x, DAY_RANGE, k)) for k in (1, 2))
-    return F.pmod(j - i, F.lit(7)) + 1
+def _hours(t: Column) -> Column:
+    """Hours from start to end of a working time."""
+    start = F.when((t["am1"] == "pm") & (t["h1"] < 12), t["h1"] + 12).when((t["am1"] == "am") & (t["h1"] == 12), F.lit(0)).otherwise(t["h1"])
+    late = F.when((t["am2"] == "pm") & (t["h2"] < 12), t["h2"] + 12).otherwise(t["h2"])
+    end = F.when(t["am2"].isNull() & (late < start), late + 12).otherwise(late)
+    return (end * 60 + t["m2"] - start * 60 - t["m1"]) / 60
+
 
+def weekly(x: Column) -> Column:
+    """(gross, net) hours a week; null if a range is missing or a day has no or over 16 hours.
 
-def weekly_hours_net(week: Column, days: Column) -> Column:
-    """An hour less on every day of more than five hours."""
-    return F.when(week / days > 5, F.bround(days * (week / days - 1), 1)).otherwise(week)
+    Net is an hour less on every day of more than five hours.
+    """
+    timed = bound(working_time(x), lambda t: F.struct(t["days"].alias("days"), _hours(t).alias("hours")))
+    gross = bound(timed, lambda t: F.struct(t["days"].alias("days"), F.when((t["hours"] > 0) & (t["hours"] <= 16), F.bround(t["days"] * t["hours"], 1)).alias("week")))
+    return bound(gross, lambda g: F.struct(g["week"].alias("gross"), F.when(g["week"] / g["days"] > 5, F.bround(g["days"] * (g["week"] / g["days"] - 1), 1)).otherwise(g["week"]).alias("net")))
+
+
+def weekly_hours(x: Column) -> Column:
+    return weekly(x)["gross"]
 
 
 def placeholder(x: Column) -> Column:
@@ -123,16 +129,15 @@ def read_facts(text: Column, doc_type: Column) -> Column:
     perpetual = matches(text, PERPETUAL) & ~matches(text, PUBLIC)
     immediate = matches(text, IMMEDIATE) & ~(matches(text, VERIFICATION) & ~matches(text, CONDUCT))
     vague = (immediate | broad_ground_sentence(text).isNotNull()) & ~matches(text, CURE) & ~protected_misconduct(text)
-    week = weekly_hours(text)
-    some = F.when(own & (week > 0), week)
+    week = weekly(text)
     values = {
         "unfilled_placeholder": F.when(placeholder(text).isNotNull(), yes),
         "bond_present": F.when(own & (commitment | recovery), yes),
         "compels_continued_service": F.when(own & commitment & matches(text, NOT_NEGOTIABLE), yes),
         "recovery_on_early_exit": F.when(own & recovery, yes),
         "training_cost_clawback": F.when(own & matches(text, TRAINING_COST) & matches(text, MONEY), yes),
-        "weekly_hours": some,
-        "weekly_hours_net": F.when(some.isNotNull(), weekly_hours_net(some, days_a_week(text))),
+        "weekly_hours": F.when(own, week["gross"]),
+        "weekly_hours_net": F.when(own, week["net"]),
         "settlement_conditional": F.when(own & matches(text, SETTLEMENT) & matches(text, CONDITIONAL), yes),
         "unpaid_work_period": F.when(own & matches(text, UNPAID) & matches(text, WORK_PERIOD), yes),
         "material_terms_elsewhere": F.when(own & matches(text, ELSEWHERE) & matches(text, MATERIAL_TERM), yes),

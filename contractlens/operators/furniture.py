@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contractlens.functions.text import digit_mask, squeeze
+from contractlens.functions.text import bound, digit_mask, squeeze
 
 # Patterns (fixed values).
 CONTACT = r"(@|www\.|http|\+\d{2}[\s-]|\bCIN\b|\bGST\b|\bpage\s+\d|\bpvt\.?\s*ltd\b|\bprivate\s+limited\b|\bcorporate\s+office\b|\bregd\.?\s*office\b)"
@@ -53,7 +53,7 @@ def strip_repeating_lines(text: Column, min_repeats: int = 2) -> Column:
     lines = F.split(text, "\n")
     keyed = F.transform(lines, lambda x: F.struct(x.alias("line"), squeeze(x).alias("norm")))
     keyed = F.transform(keyed, lambda s: F.struct(s["line"].alias("line"), line_key(s["norm"]).alias("key"), counted(s["norm"]).alias("counted")))
-    return F.transform(F.array(keyed), lambda ks: _without(ks, min_repeats))[0]
+    return bound(keyed, lambda ks: _without(ks, min_repeats))
 
 
 def _without(keyed: Column, min_repeats: int) -> Column:
@@ -77,7 +77,7 @@ def strip_section_banners(text: Column) -> Column:
         above = is_nav(1) | (through(1) & is_nav(2)) | (through(1) & through(2) & is_nav(3))
         return s["nav"] | (s["title"] & above)
 
-    kept = F.transform(F.array(rows), lambda rs: F.array_join(F.transform(F.filter(rs, lambda s, i: ~goes(rs, s, i)), lambda s: s["line"]), "\n"))[0]
+    kept = bound(rows, lambda rs: F.array_join(F.transform(F.filter(rs, lambda s, i: ~goes(rs, s, i)), lambda s: s["line"]), "\n"))
     return F.when(text.rlike("(?m)" + NAVIGATION), kept).otherwise(text)
 
 
