@@ -102,7 +102,7 @@ def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     Neighbouring projections are merged, and a struct whose fields are read is then written out
     at each use; a one-row generator between them keeps them apart.
     """
-    return df.select("*", F.explode(F.array(value)).alias(name)) if name not in df.columns else df.drop(name).select("*", F.explode(F.array(value)).alias(name))
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
 
 
 def bound(value: Column, use) -> Column:

@@ -42,7 +42,7 @@ def held_out(rows: DataFrame, key: str, share: float = HELD_OUT) -> DataFrame:
 
 def tfidf(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): sublinear term counts times smooth idf, each document of length one; terms in MIN_DF documents."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\b\w\w+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\w{2,}"), F.lit(0))
     pairs = F.when(F.size("w") >= 2, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
     counts = rows.select(key, words.alias("w")).select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= MIN_DF)

@@ -36,17 +36,18 @@ def candidates(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
     """One document's pairs: first by heading, then by body, each old clause in order taking the best free one."""
+    rows = list(pairs[["doc_id", "old_idx", "new_idx", "named", "same_key", "heading", "body"]].itertuples(index=False, name=None))
+    by_heading = [(d, i, j, 2.0 if named and same else heading, body) for d, i, j, named, same, heading, body in rows if (named and same) or heading >= HEADING_MIN]
+    by_body = [(d, i, j, body, body) for d, i, j, _, _, _, body in rows if body >= BODY_MIN]
     taken_old: set[int] = set()
     taken_new: set[int] = set()
     out = []
-    by_heading = pairs.assign(worth=pairs["heading"].where(~(pairs["same_key"] & pairs["named"]), 2.0))
-    for worth, least in ((by_heading, HEADING_MIN), (pairs.assign(worth=pairs["body"]), BODY_MIN)):
-        ordered = worth[worth["worth"] >= least].sort_values(["old_idx", "worth", "new_idx"], ascending=[True, False, True])
-        for doc, i, j, body in ordered[["doc_id", "old_idx", "new_idx", "body"]].itertuples(index=False):
+    for worth in (by_heading, by_body):
+        for d, i, j, _, body in sorted(worth, key=lambda r: (r[1], -r[3], r[2])):
             if i not in taken_old and j not in taken_new:
                 taken_old.add(i)
                 taken_new.add(j)
-                out.append((doc, i, j, round(body, 3)))
+                out.append((d, i, j, round(body, 3)))
     return pd.DataFrame(out, columns=["doc_id", "old_idx", "new_idx", "similarity"])
 
 

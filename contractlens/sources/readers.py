@@ -142,7 +142,9 @@ def corpus_alias(spark: SparkSession) -> DataFrame:
 
 
 def _without(html: Column, tags: tuple[str, ...]) -> Column:
-    return F.regexp_replace(html, r"(?is)<(%s)\b[^>]*>.*?</\1\s*>" % "|".join(tags), " ")
+    for tag in tags:
+        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    return html
 
 
 def _entities(x: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
@@ -14,9 +14,14 @@ from pyspark.sql.window import Window
 WINDOW_S, TTL_DAYS, CAPACITY = 60, 30, 200
 
 
+def micros(ts: str) -> Column:
+    """A timestamp as microseconds since 1970, as its clock shows it."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))")
+
+
 def trailing_tokens(calls: DataFrame, by: str, ts: str, tokens: str, seconds: int = WINDOW_S) -> DataFrame:
     """calls with ``used``: the tokens of the same key in the trailing seconds, this call included."""
-    span = Window.partitionBy(by).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+    span = Window.partitionBy(by).orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
     return calls.withColumn("used", F.sum(tokens).over(span))
 
 
