@@ -51,7 +51,7 @@ def draft(findings: DataFrame) -> DataFrame:
     where = F.when(F.coalesce(F.trim("heading"), F.lit("")) != "", F.concat(F.lit('Clause "'), F.trim("heading"), F.lit('"'))).otherwise(F.lit("One clause"))
     legal = legal_sentence(F.col("basis"), F.col("source.act"), F.col("source.section"))
     quote = clause_quote(F.col("clause_text"), F.col("heading"))
-    point = F.concat(where, F.lit(". "), F.rtrim(F.lit("."), F.col("message")), F.lit("."), F.coalesce(F.concat(F.lit(" "), legal), F.lit("")), F.when((F.col("scope") != "document") & (quote != ""), F.concat(F.lit('\n   As drafted: "'), quote, F.lit('"'))).otherwise(F.lit("")))
+    point = F.concat(where, F.lit(". "), F.rtrim(F.col("message"), F.lit(".")), F.lit("."), F.coalesce(F.concat(F.lit(" "), legal), F.lit("")), F.when((F.col("scope") != "document") & (quote != ""), F.concat(F.lit('\n   As drafted: "'), quote, F.lit('"'))).otherwise(F.lit("")))
     rows = own.select("doc_id", "doc_type", F.struct("order", "rule_order", point.alias("point")).alias("p"))
     sorted_ = rows.groupBy("doc_id", "doc_type").agg(F.sort_array(F.collect_list("p")).alias("points"))  # findings of one document
     paper = F.coalesce(*(F.when(F.col("doc_type") == k, F.lit(v)) for k, v in PAPERS.items()), F.lit("the draft"))
@@ -76,7 +76,7 @@ def problems(text: Column, sections: Column, acts: Column, passages: Column, has
     named = F.transform(F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+Act(?:,?\s+\d{4})?)"), F.lit(1)), F.lower)
     titles = F.transform(acts, lambda a: F.lower(act_title(a)))
     quoted = F.filter(F.split(straight(text), '"'), lambda q, i: i % 2 == 1)
-    flat = F.transform(quoted, lambda q: F.lower(F.rtrim(F.lit(". "), squeeze(q))))
+    flat = F.transform(quoted, lambda q: F.lower(F.rtrim(squeeze(q), F.lit(". "))))
     hay = F.transform(passages, lambda p: F.lower(squeeze(straight(p))))
     unfound = F.exists(flat, lambda q: (F.length(q) >= MIN_QUOTE) & ~F.exists(hay, lambda h: F.contains(h, F.left(q, F.lit(QUOTE_KEY)))))
     compares = F.exists(F.array(*map(F.lit, COMPARISONS)), lambda p: F.contains(F.lower(text), p))

@@ -566,7 +566,7 @@ def cache_ttl_lru(spark, sf_dir):
 
 
 _TAGS = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?is)<nav\b[^>]*>.*?</nav\s*>', ' ', 'g'), '(?is)<header\b[^>]*>.*?</header\s*>', ' ', 'g'), '(?is)<footer\b[^>]*>.*?</footer\s*>', ' ', 'g')"""
-_PAGE = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(" + _TAGS + r", '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))".replace('""', '"')
+_PAGE = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(" + _TAGS + r", '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"
 
 
 @query("select page_id, sha1(" + _PAGE + ") as text_sha1, length(" + _PAGE + ")::int as n_chars from pages")

@@ -7,7 +7,7 @@ import os
 
 import duckdb
 
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
