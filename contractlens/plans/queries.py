@@ -460,6 +460,17 @@ def near_dup_edges(spark, sf_dir):
     return curate.containment(_digests(spark, sf_dir).select("doc_id", "digest"), curate.NEAR).withColumn("overlap", F.round("overlap", 4))
 
 
+@query()
+def near_dup_greedy(spark, sf_dir):
+    """Documents kept by the greedy rule; copies of a digest set follow their leader."""
+    pieces = _digests(spark, sf_dir).select("doc_id", "digest")
+    edges = curate.containment(pieces, curate.NEAR).select("a", "b")
+    sets = curate.same_sets(pieces)
+    leaders = curate.kept_documents(edges, sets.where("doc_id = leader"))
+    state = leaders.select(F.col("doc_id").alias("leader"), "kept", "match")
+    return sets.join(state, "leader").select("doc_id", (F.col("kept") & (F.col("doc_id") == F.col("leader"))).alias("kept"), F.when(F.col("doc_id") != F.col("leader"), F.col("leader")).otherwise(F.col("match")).alias("match"))
+
+
 @query("with " + _DIGESTS + ", s as (select doc_id, string_agg(digest, ',' order by digest) as s from digests group by doc_id)\nselect doc_id, min(doc_id) over (partition by s) as leader from s")
 def identical_documents(spark, sf_dir):
     return curate.same_sets(_digests(spark, sf_dir).select("doc_id", "digest"))

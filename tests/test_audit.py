@@ -114,3 +114,48 @@ def test_token_budget_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = [(r["us"], r["used"], r["admitted"]) for r in spark.table("budget").orderBy("us").collect()]
     assert got == [(0, 0, True), (10_000_000, 50, False), (20_000_000, 50, True), (70_000_000, 40, True)]
+
+
+def test_greedy_near_duplicates(spark):
+    from contractlens.operators import curate
+
+    edges = [(1, 2), (2, 3), (3, 4), (1, 5), (5, 6)]
+    docs = spark.createDataFrame([(i,) for i in range(1, 8)], "doc_id long")
+    got = {r["doc_id"]: (r["kept"], r["match"]) for r in curate.kept_documents(spark.createDataFrame(edges, "a long, b long"), docs).collect()}
+    assert got == {1: (True, None), 2: (False, 1), 3: (True, None), 4: (False, 3), 5: (False, 1), 6: (True, None), 7: (True, None)}
+
+
+def test_router(spark):
+    from contractlens.operators import router
+
+    rows = [(i, ("the tenant shall forfeit the deposit on breach number %d" if i % 2 else "headings are for ease of reading only %d") % (i % 7), i % 2) for i in range(80)]
+    fitted, swept = router.train(spark.createDataFrame(rows, "clause_id long, text string, label int"), terms=50)
+    kept = {r["clause_id"] % 2: r["keep"] for r in fitted.transform(spark.createDataFrame(rows[:2], "clause_id long, text string, label int")).collect()}
+    assert kept[1] and swept.count() == 13 and fitted.threshold >= 0.2
+    with pytest.raises(ValueError):
+        router.train(spark.createDataFrame(rows[:6], "clause_id long, text string, label int"))
+
+
+def test_sources(spark, tmp_path):
+    import json
+    import zipfile
+
+    from contractlens.sources import readers
+
+    (tmp_path / "a.txt").write_bytes("one\r\ntwo\rthré".encode() + b"\xff")
+    with zipfile.ZipFile(tmp_path / "b.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>para</w:t></w:r><w:r><w:t>graph</w:t></w:r></w:p><w:p/></w:body></w:document>')
+    (tmp_path / "c.xls").write_bytes(b"x")
+    (tmp_path / "d.docx").write_bytes(b"no zip")
+    got = {r["path"].rsplit("/", 1)[-1]: (r["text"], r["problem"]) for r in readers.read_files(spark, str(tmp_path)).collect()}
+    assert got["a.txt"] == ("one\ntwo\nthré", None) and got["b.docx"] == ("paragraph\n", None)
+    assert got["c.xls"] == (None, "files of type .xls are not supported") and got["d.docx"][0] is None
+    rules = {"doc_type": "loan", "rules": [rulebook.LOAN[0]]}
+    (tmp_path / "loan.json").write_text(json.dumps(rules))
+    assert readers.load_rules(str(tmp_path / "loan.json"))[0] == "loan"
+    assert readers.load_norms(spark, str(tmp_path / "none.json")) == {}
+    clauses = spark.createDataFrame([("d", 0, "h", "t")], "doc_id string, idx int, heading string, text string")
+    for v in ("v1", "v2", "v1"):
+        readers.save_version(clauses, str(tmp_path / "versions"), v)
+    assert readers.list_versions(spark, str(tmp_path / "versions")).count() == 2
+    assert readers.load_version(spark, str(tmp_path / "versions"), "v1").count() == 1
