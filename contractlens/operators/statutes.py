@@ -29,10 +29,12 @@ def chunks(acts: DataFrame, flags: str = "(?U)") -> DataFrame:
     return kept.withColumn("over", F.coalesce(F.max(F.col("last").cast("int")).over(first_last), F.lit(0))).where("over = 0").select("corpus_id", "start", "chunk")
 
 
-def postings(passages: DataFrame, key: str = "chunk_id", text: str = "chunk") -> DataFrame:
-    """(key, term, tf, size): term frequencies and the size of each passage in tokens."""
+def postings(passages: DataFrame, key: str = "chunk_id", text: str = "chunk", terms: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, size): term frequencies and the size of each passage in tokens; of some terms only, if given."""
     own = passages.select(key, tokens(F.col(text)).alias("t")).withColumn("size", F.size("t"))
-    return own.select(key, "size", F.explode("t").alias("term")).groupBy(key, "size", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = own.select(key, "size", F.explode("t").alias("term"))
+    found = found if terms is None else found.join(terms, "term", "left_semi")
+    return found.groupBy(key, "size", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(passages: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "chunk", pool: Column | None = None, k: int | None = None) -> DataFrame:
@@ -41,10 +43,10 @@ def bm25(passages: DataFrame, queries: DataFrame, key: str = "chunk_id", text: s
     Statistics are of all passages even where a pool restricts what is returned.  The shuffle is
     on terms, and each query holds its own; a repeated query term counts as often.
     """
-    post = postings(passages, key, text)
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    post = postings(passages, key, text, asked.select("term").distinct())  # before the shuffle
     totals = passages.select(F.size(tokens(F.col(text))).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     # the totals are one row, the terms asked for are few beside the postings

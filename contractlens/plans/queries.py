@@ -34,8 +34,18 @@ def query(sql: str | None = None):
     return register
 
 
+#: Tables of long texts: work on a row is heavy.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that lies in fewer pieces than there are cores is dealt out first.
+
+    A large table lies in more pieces than that and is read as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
