@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from contractlens.functions.scratch import Scratch
 from contractlens.functions.stats import index_percentile
+from contractlens.functions.text import text_digest
 
 NEAR, IDENTICAL, MIN_USABLE, MAX_USABLE, TEST_SHARE, MIN_SAMPLES = 0.85, 0.999, 150, 4500, 0.35, 8
 
@@ -80,6 +81,30 @@ def blind_split(rows: DataFrame, by: str, key: Column) -> DataFrame:
     return rows.withColumn("split", F.when(rank <= F.greatest(F.lit(1), F.floor(n * TEST_SHARE)), F.lit("test")).otherwise(F.lit("dev")))
 
 
+def even_spread(rows: DataFrame, limit: int, by: str, order: str) -> DataFrame:
+    """At most limit rows of each group, at even steps of its order."""
+    own = Window.partitionBy(by)
+    at = rows.withColumn("i", F.row_number().over(own.orderBy(order)) - 1).withColumn("n", F.count(F.lit(1)).over(own))
+    few = F.col("n") <= limit
+    # row i is taken if some k has floor(k * n / limit) = i
+    k = F.ceil(F.col("i") * limit / F.col("n"))
+    return at.where(few | ((F.floor(k * F.col("n") / limit) == F.col("i")) & (k < limit))).drop("i", "n")
+
+
+def build_queue(clauses: DataFrame, n: int) -> DataFrame:
+    """Usable clauses, each digest once, dealt in turn from the documents, the first share of the deal as test."""
+    first = clauses.where(usable(F.col("text"))).withColumn("digest", text_digest(F.col("text")))
+    own = first_of_digest(first, order=("doc_id", "order")).where("first").drop("first", "digest")
+    dealt = round_robin(own, n, "doc_id", F.md5("clause_id")).withColumn("all", F.lit(1))
+    place = Window.partitionBy("all").orderBy("round", "doc_id")  # n rows, which the caller bounds
+    return dealt.withColumn("k", F.row_number().over(place)).withColumn("split", F.when(F.col("k") <= F.greatest(F.lit(1), F.floor(F.lit(n) * TEST_SHARE)), F.lit("test")).otherwise(F.lit("dev"))).drop("all", "k", "round")
+
+
+def queue_spread(queue: DataFrame) -> DataFrame:
+    """Documents and the least and most clauses that one has."""
+    return queue.groupBy("doc_id").count().agg(F.count(F.lit(1)).alias("documents"), F.min("count").alias("least"), F.max("count").alias("most"))
+
+
 def usable(text: Column) -> Column:
     return F.length(text).between(MIN_USABLE, MAX_USABLE)
 

@@ -137,3 +137,21 @@ def stale(files: DataFrame, indexed: DataFrame, built_at: Column) -> Column:
     newer = files.where(F.col("modified") > built_at).limit(1)
     differ = files.select("stem").exceptAll(indexed.select("stem")).unionByName(indexed.select("stem").exceptAll(files.select("stem"))).limit(1)
     return bool(newer.count() or differ.count())
+
+
+def corpus_check(cited: DataFrame) -> DataFrame:
+    """(doc_type, rule_id, cause) of the grounded rules that don't resolve; cited as of :func:`verify`."""
+    cause = F.when(F.col("source.corpus_id").isNull(), F.lit("no corpus id")).otherwise(F.col("reason"))
+    return cited.where("basis <> 'norm'").select("doc_type", "rule_id", cause.alias("cause")).where("cause is not null")
+
+
+def propose_anchor(candidates: DataFrame) -> DataFrame:
+    """candidates (rule_id, ord, phrase, span): the first phrase of each rule that its span shows."""
+    shown = candidates.where(anchor_present(F.array("phrase"), F.col("span")))
+    return shown.groupBy("rule_id").agg(F.min_by("phrase", "ord").alias("anchor"))
+
+
+def tool_views(acts: DataFrame) -> None:
+    """Views that answer a lookup by corpus and section, and a table of passages to search."""
+    sections(acts).createOrReplaceTempView("statute_sections")
+    chunks(acts).createOrReplaceTempView("statute_passages")

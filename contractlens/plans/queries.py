@@ -504,6 +504,17 @@ def blind_split(spark, sf_dir):
     return curate.blind_split(docs, "lang", F.md5(F.col("doc_id").cast("string").cast("binary"))).select("doc_id", "split")
 
 
+@query("""with r as (select doc_id, lang, row_number() over (partition by lang order by doc_id) - 1 as i, count(*) over (partition by lang) as n from documents),
+k as (select unnest(range(10)) as k) select distinct doc_id, lang from r left join k on floor(k * n / 10) = i where n <= 10 or k is not null""")
+def even_spread(spark, sf_dir):
+    return curate.even_spread(table(spark, sf_dir, "documents").select("doc_id", "lang"), 10, "lang", "doc_id")
+
+
+@query("select count(*) as documents, min(n) as least, max(n) as most from (select o_custkey, count(*) as n from orders group by o_custkey)")
+def queue_spread(spark, sf_dir):
+    return curate.queue_spread(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id")))
+
+
 @query("select doc_id from labels where doc_id not in (select doc_id from documents where lang = 'en')")
 def label_orphans(spark, sf_dir):
     return readers.pending(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id").select("doc_id")

@@ -159,3 +159,17 @@ def test_sources(spark, tmp_path):
         readers.save_version(clauses, str(tmp_path / "versions"), v)
     assert readers.list_versions(spark, str(tmp_path / "versions")).count() == 2
     assert readers.load_version(spark, str(tmp_path / "versions"), "v1").count() == 1
+
+
+def test_queue_and_tools(spark):
+    from contractlens.operators import curate, statutes
+
+    clauses = spark.createDataFrame([(f"{d}::{i}", d, i, "clause %s " % (i if d == "a" else f"{d}{i}") * 30) for d in "abc" for i in range(6)] + [("x", "d", 0, "short"), ("y", "e", 0, "clause 0 " * 30)], "clause_id string, doc_id string, order int, text string")
+    queue = curate.build_queue(clauses, 9)
+    rows = queue.collect()
+    assert len(rows) == 9 and {r["doc_id"] for r in rows} == {"a", "b", "c"} and sum(r["split"] == "test" for r in rows) == 3
+    assert curate.queue_spread(queue).first()[0] == 3
+    statutes.tool_views(spark.createDataFrame(acts(), "corpus_id string, text string"))
+    assert spark.sql("select span from statute_sections where corpus_id = 'ica_1872' and section = '74'").first()[0].startswith("74.")
+    picked = statutes.propose_anchor(spark.createDataFrame([("R", 0, "not there", "the reasonable compensation"), ("R", 1, "reasonable compensation", "the reasonable compensation")], "rule_id string, ord int, phrase string, span string"))
+    assert picked.first()["anchor"] == "reasonable compensation"
