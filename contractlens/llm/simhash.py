@@ -225,7 +225,9 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     kept = near_duplicates(docs, radius).where("doc_id = component_id").groupBy("doc_id").count().withColumnsRenamed({"doc_id": "_kept_id", "count": "_kept_n"})
     kept = Scratch(docs.sparkSession, "kept").table(kept, "kept")
-    out = docs.join(kept.select("_kept_id"), F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    # the ids grow with the documents: never broadcast, and hashed, so that texts are not sorted
+    ids = kept.select("_kept_id").hint("shuffle_hash")
+    out = docs.join(ids, F.col("doc_id") == F.col("_kept_id"), "left_semi")
     if kept.where("_kept_n > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null"))
