@@ -57,9 +57,10 @@ def _minimum(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _minimum(both).select("u", F.least("u", "m").alias("m"))
+    # written, so that the join has shuffles of its own, whose large partitions Spark splits
+    least = scratch.table(_minimum(both).select("u", F.least("u", "m").alias("m")), f"least{k}")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -87,9 +88,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         return now
     while True:
         k += 1
-        now = scratch.table(_small_star(_large_star(now)), f"edges{k}")
+        now = scratch.table(_small_star(_large_star(now, scratch, k)), f"edges{k}")
         got = state(now)
         scratch.drop(f"edges{k - 1}")
+        scratch.drop(f"least{k}")
         if got == was:
             return now
         was = got

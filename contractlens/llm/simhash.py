@@ -212,8 +212,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     prints = scratch.table(fingerprints(docs, shingle), "prints")
     nodes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(fingerprint_links(nodes.select("fp"), nodes.count(), radius), scratch)
-    rooted = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written tables on both sides of a join let Spark split the partition of a large group
+    rooted = scratch.table(nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root")), "rooted")
+    smallest = scratch.table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     named = scratch.table(rooted.join(smallest, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
