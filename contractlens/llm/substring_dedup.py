@@ -275,7 +275,8 @@ def _changes(docs: DataFrame, window: int, with_text: bool) -> tuple[DataFrame,
     long = rows.where(F.col("n_words") >= window)
     texts = scratch.table(long.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.first("anchors").alias("anchors")), "texts")
 
-    recurring = texts.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor")
+    # written, as other right sides of joins below: Spark splits large partitions of plain shuffles only
+    recurring = scratch.table(texts.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor"), "recurring")
     held = texts.select("h", F.explode(F.array_distinct("anchors")).alias("anchor")).join(recurring, "anchor")
     wanted = held.groupBy("h").agg(F.collect_list("anchor").alias("anchors")).join(texts.select("h", "first_id"), "h")
     some = scratch.table(source.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("h", "text", "anchors"), "some")
@@ -287,7 +288,7 @@ def _changes(docs: DataFrame, window: int, with_text: bool) -> tuple[DataFrame,
     hit = places.distinct().join(spans, "sid").groupBy("h").agg(F.collect_list(F.struct("start", "spans")).alias("spans"))
     schema = "h binary, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     cut = some.select("h", "text").join(hit.hint("shuffle_hash"), "h").mapInArrow(_cut(with_text), schema).dropDuplicates(["h"])
-    changed = texts.select("h", "copies").join(cut, "h", "left").where("copies > 1 or n_removed is not null")
+    changed = scratch.table(texts.select("h", "copies").join(cut, "h", "left").where("copies > 1 or n_removed is not null"), "changed")
     return rows.select("doc_id", "h", "n_words", "all_sha256"), changed
 
 
