@@ -1,14 +1,13 @@
-"""Shared pieces: scratch tables in the shared folder, and vectorised scanning of Arrow text."""
+"""Shared pieces: bounded batches, and vectorised scanning of Arrow text."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from contractlens.functions.scratch import Scratch  # noqa: F401  for the operators
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 BLOCK_BYTES = 1 << 20
@@ -30,37 +29,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-class Scratch:
-    """Written tables below the folder that the cluster shares, to cut lineage.
-
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests, a
-    single machine) a temporary folder is made and set.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="contractlens-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self._path(self.root, lambda fs, p: fs.deleteOnExit(p))
-
-    def _path(self, path: str, act) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        act(p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p)
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Free a table that nothing reads any more."""
-        self._path(f"{self.root}/{name}", lambda fs, p: fs.delete(p, True))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on an array of uint64."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
