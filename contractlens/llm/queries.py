@@ -79,7 +79,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
+_WORDS = r"words as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_substring_dedup": "with "
+    + _WORDS
+    + """,
+windows as (select r, i, array_to_string(w[i:i + 34], ' ') as k from (select r, w, unnest(range(1, len(w) - 33)) as i from words where len(w) >= 35)),
+twice as (select k from windows group by k having count(*) > 1),
+gone as (select distinct r, p from (select r, unnest(range(i, i + 35)) as p from windows join twice using (k))),
+placed as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from words),
+cut as (select x.r, count(g.p) as n_removed, string_agg(word, ' ' order by x.p) filter (where g.p is null) as kept from placed x left join gone g on x.r = g.r and x.p = g.p group by x.r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from words left join cut using (r)""",
+    "op9_quality_rules": "with "
+    + _WORDS
+    + r""",
+windows as (select r, i, array_to_string(w[i:i + 7], ' ') as k from (select r, w, unnest(range(1, len(w) - 6)) as i from words where len(w) >= 8)),
+twice as (select r, k from windows group by r, k having count(*) > 1),
+covered as (select r, count(*) as n_repeat_words from (select distinct r, p from (select r, unnest(range(i, i + 8)) as p from windows join twice using (r, k))) group by r),
+lines as (select r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) as l from words),
+m as (
+  select doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    len(l) - len(list_distinct(l)) as n_dup_lines, len(l) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as n_letters,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) as n_capitals, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) as n_same_next
+  from words join lines using (r) left join covered using (r)),
+f as (
+  select *, (n_words < 20)::int + 2 * (100 * n_repeat_words > 30 * n_words)::int + 4 * (100 * n_symbols > 50 * n_words)::int + 8 * (n_dup_lines >= 3 and 100 * n_dup_lines > 30 * n_lines)::int
+    + 16 * (n_letters >= 40 and 100 * n_capitals > 60 * n_letters)::int + 32 * (n_words > 0 and (word_chars < 2 * n_words or word_chars > 25 * n_words))::int + 64 * (n_words >= 20 and 100 * n_same_next > 30 * n_words)::int as failures from m)
+select doc_id, n_words::bigint as n_words, word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+  failures & 3 <> 0 as base_failed, failures = 0 as kept, failures::bigint as failures from f""",
     "op6_chat_formatting": r"""
 with recursive messages as materialized (select row_number() over () as r, * from conversations),
 lines as (
