@@ -1,9 +1,9 @@
-"""Licence scan by a positional index of rare words, in DataFrame expressions alone.
+"""Licence scan by a positional index of template words, in DataFrame expressions alone.
 
 Licence notices are templates of words with positions.  One pass over the texts finds base
 phrases and which template words a text holds.  From that come the words' document frequencies
-over all documents.  Each text's rarest template words are then looked up in the postings; a
-posting votes for where the template would begin, and the place with most votes is the alignment.
+over all documents.  All template words of a text are then looked up in the postings; a posting
+votes for where the template would begin, and the place with most votes is the alignment.
 A template counts if two of its words, or all that it has, agree on a place, and all its key
 phrases stand in the text.
 
@@ -22,12 +22,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from contractlens.llm.common import Scratch
 
-#: Rarest template words of a text that are looked up.
-LOOKED_UP = 6
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels (fixed values).
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -121,21 +118,16 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     if not idf:
         return _result(rows.select("*", F.array().cast("array<string>").alias("found"), F.lit(0.0).alias("best")))
 
-    weights = spark.createDataFrame([(w, x) for w, x in sorted(idf.items())], "w string, idf double")
-    per_row = rows.where("norm is not null").select("row", F.explode("held").alias("w")).join(F.broadcast(weights), "w")
-    rarest = Window.partitionBy("row").orderBy(F.desc("idf"), "w")  # no more rows than template words
-    looked = per_row.withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= LOOKED_UP).select("row", "w", "idf")
-
     places = rows.where("norm is not null").select("row", F.posexplode(F.split(F.trim("norm"), " ")).alias("at", "w"))
-    post = spark.createDataFrame(index, "w string, t int, pos int").join(weights, "w")
-    votes = places.join(F.broadcast(post), "w").join(looked.select(F.col("row").alias("row_"), F.col("w").alias("w_")), (F.col("row") == F.col("row_")) & (F.col("w") == F.col("w_")))
+    post = spark.createDataFrame([(w, t, pos, idf[w]) for w, t, pos in index if w in idf], "w string, t int, pos int, idf double")
+    votes = places.join(F.broadcast(post), "w")
     aligned = votes.groupBy("row", "t", (F.col("at") - F.col("pos")).alias("begin")).agg(F.sum("idf").alias("weight"), F.count(F.lit(1)).alias("words"))
 
     whole, sizes = {}, {}
     for t in range(len(templates)):
         own = [w for w, x, _ in index if x == t]
         sizes[t] = min(2, len(own))
-        whole[t] = sum(sorted((idf.get(w, math.log(1 + documents)) for w in own), reverse=True)[:LOOKED_UP])
+        whole[t] = sum(idf.get(w, math.log(1 + documents)) for w in own)
     about = spark.createDataFrame([(t, templates[t].label, sizes[t], float(whole[t])) for t in sizes], "t int, label string, needs int, whole double")
     best = aligned.join(F.broadcast(about), "t").where("words >= needs").groupBy("row", "t", "label").agg(F.max(F.least(F.lit(1.0), F.col("weight") / F.col("whole"))).alias("score"))
     keyed = F.coalesce(*(F.when(F.col("t") == t, F.forall(F.array(*(F.lit(f" {k} ") for k in x.keys)), lambda k: F.contains("norm", k))) for t, x in enumerate(templates)))

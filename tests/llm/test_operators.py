@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from contractlens.llm import chat, common, license_scan, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts, topk
 from contractlens.llm.components import components
+from tests.llm.conftest import words as noise
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -334,6 +335,19 @@ def test_templates_align(spark):
     assert got[100]["labels"] == "" and got[101]["labels"] == ""
 
 
+def test_rarer_words_elsewhere_hide_no_notice(spark):
+    """A long text with every notice, or with rare template words scattered, keeps the labels of commoner words."""
+    rare = "mozilla filler eclipse filler affero filler unencumbered filler creative filler attribution filler lesser filler domain "
+    rows = [(i, f"{rare * 3}{noise(400, i)} {t.text} {noise(300, 50 + i)}") for i, t in enumerate(license_scan.TEMPLATES)]
+    rows += [(100, f" {noise(90, 99)} ".join(t.text for t in license_scan.TEMPLATES)), (101, rare * 20)]
+    rows += [(200 + i, license_scan.TEMPLATES[i % 6].text) for i in range(60)]  # makes some words common
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in enumerate(license_scan.TEMPLATES):
+        assert t.label in got[i]["labels"].split(","), t
+        assert abs(got[i]["score"] - 1) < 1e-9
+    assert {t.label for t in license_scan.TEMPLATES} <= set(got[100]["labels"].split(",")) and got[101]["labels"] == ""
+
+
 # -- classifier ------------------------------------------------------------------------------------
 
 
