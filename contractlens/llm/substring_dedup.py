@@ -18,8 +18,8 @@ Words are compared as they are, in the automaton; hashes of 64 bits only choose
 and texts and segments have identities of 128 bits.
 
 Defined cases: a null or empty text has no words and keeps none; a null doc_id stays null;
-repeated rows are copies of one another, so their windows recur; an empty table gives an empty
-result; extra columns are ignored by :func:`repeated_words` and kept by :func:`strip_documents`.
+repeated rows are copies of one another, so their windows recur; different texts under one doc_id,
+or without one, are different texts; an empty table gives an empty result; extra columns are ignored by :func:`repeated_words` and kept by :func:`strip_documents`.
 """
 
 from __future__ import annotations
@@ -141,8 +141,6 @@ def _segments(window: int):
                     if last < first:
                         continue
                     joined = b.joined(d)
-                    if xxhash.xxh3_128_digest(joined) != hs[at + d]:
-                        continue  # another text under the same doc_id
                     least = a.least[first : last + 1]
                     recurs = np.isin(least, wanted[at + d].values.to_numpy().view(_U))
                     run_start = np.flatnonzero(recurs & np.concatenate([[True], (least[1:] != least[:-1]) | ~recurs[:-1]]))
@@ -279,7 +277,10 @@ def _changes(docs: DataFrame, window: int, with_text: bool) -> tuple[DataFrame,
     recurring = scratch.table(texts.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor"), "recurring")
     held = texts.select("h", F.explode(F.array_distinct("anchors")).alias("anchor")).join(recurring, "anchor")
     wanted = held.groupBy("h").agg(F.collect_list("anchor").alias("anchors")).join(texts.select("h", "first_id"), "h")
-    some = scratch.table(source.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("h", "text", "anchors"), "some")
+    # a text is found again by its digest; the doc_id beside it keeps copies under other ids apart
+    named = source.withColumn("text_", F.col("text")).mapInArrow(_hashed(["doc_id", "text"]), f"doc_id {kind}, text string, h_ binary")
+    same = (F.col("h_") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    some = scratch.table(named.join(wanted.hint("shuffle_hash"), same).select("h", "text", "anchors"), "some")
 
     found = scratch.table(some.mapInArrow(_segments(window), _SEGMENT_SCHEMA), "segments")
     shards = found.where("anchor is not null").select("anchor", "sid", "segment", "n").repartition("anchor").sortWithinPartitions("anchor")

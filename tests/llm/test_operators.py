@@ -179,6 +179,19 @@ def test_stripped_documents(docs, texts, empty):
     assert substring_dedup.strip_documents(empty).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    """Different texts share a doc_id or have none, and hold recurring passages; null and short texts lie beside them."""
+    passages = [noise(50, 1000 + k) for k in range(4)]
+    texts = [(i, f"{noise(5 + 7 * k, 100 + 10 * k + (i or 0))} {passages[k]} {noise(60 - 9 * k, 200 + 10 * k + (i or 0))}") for i in (None, 1, 2, 3) for k in range(4)]
+    texts += [(None, None), (1, None), (None, noise(10, 7)), (1, noise(10, 8)), (None, texts[0][1]), (1, texts[4][1]), (2, texts[4][1]), (0, noise(70, 9)), (0, noise(70, 10))]
+    own = spark.createDataFrame([(i, t, len(t or "")) for i, t in texts], "doc_id long, text string, n_chars long").repartition(3)
+    plain = plain_kept(texts, 35)
+    want = Counter((i, len(w), len(w) - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for i, w, k in plain)
+    assert multiset(substring_dedup.repeated_words(own).collect()) == want
+    want = Counter((i, t if len(w) == len(k) else " ".join(k)) for (i, t), (_, w, k) in zip(texts, plain, strict=True))
+    assert multiset(substring_dedup.strip_documents(own).select("doc_id", "text").collect()) == want
+
+
 # -- packing ---------------------------------------------------------------------------------------
 
 
