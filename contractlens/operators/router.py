@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from contractlens.functions.scratch import Scratch
 from contractlens.functions.text import count_present
 from contractlens.operators import evalstats
 
@@ -34,10 +37,17 @@ def weak_label(text: Column, strong=STRONG, weak=WEAK, inert=INERT) -> Column:
 
 
 def held_out(rows: DataFrame, key: str, share: float = HELD_OUT) -> DataFrame:
-    """rows with ``test``: of each label the same share, in the order of a seeded hash."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.col(key), F.lit(42)), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy("label"))
-    return rows.withColumn("test", F.row_number().over(order) <= F.floor(n * share))
+    """rows with ``test``: of each label the same share, in the order of a seeded hash; rows of one key stay together.
+
+    Only keys are ordered; the last one held out of each label is joined back, so texts aren't shuffled.
+    """
+    place = F.struct(F.xxhash64(F.col(key), F.lit(42)).alias("hash"), F.col(key).alias("key"))
+    keys = rows.select(F.col("label").alias("_label"), place.alias("_last"))
+    nth = F.row_number().over(Window.partitionBy("_label").orderBy("_last"))
+    least = F.floor(F.count(F.lit(1)).over(Window.partitionBy("_label")) * share)
+    last = keys.select("_label", "_last", (nth <= least).alias("held")).where("held").groupBy("_label").agg(F.max("_last").alias("_last"))  # a row for each label
+    marked = rows.join(F.broadcast(last), F.col("label").eqNullSafe(F.col("_label")), "left")
+    return marked.withColumn("test", F.coalesce(place <= F.col("_last"), F.lit(False))).drop("_label", "_last")
 
 
 def tfidf(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -54,13 +64,15 @@ def tfidf(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _weigh(counts: DataFrame, idf: list[float]) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
+    """counts with ``features``: a Python function, as no expression makes sparse vectors, and dense ones are as long as the vocabulary."""
+    weights = np.array(idf)
+
+    @F.udf(VectorUDT())
+    def features(v):
+        raw = (1 + np.log(v.values)) * weights[v.indices]
+        return SparseVector(v.size, v.indices, raw / max(float(np.sqrt(raw @ raw)), 1e-12))
 
-    weights = F.array(*map(F.lit, idf))
-    raw = F.zip_with(vector_to_array("counts"), weights, lambda c, w: F.when(c > 0, (1 + F.ln(c)) * w).otherwise(F.lit(0.0)))
-    out = counts.withColumn("_raw", raw)
-    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x * x))
-    return out.withColumn("features", array_to_vector(F.transform("_raw", lambda x: x / F.greatest(norm, F.lit(1e-12))))).drop("_raw")
+    return counts.withColumn("features", features("counts"))
 
 
 class Router:
@@ -92,7 +104,7 @@ def _session():
     return SparkSession.getActiveSession()
 
 
-def train(rows: DataFrame, key: str = "clause_id", text: str = "text", terms: int = 1000) -> tuple[Router, DataFrame]:
+def train(rows: DataFrame, key: str = "clause_id", text: str = "text", terms: int = TERMS) -> tuple[Router, DataFrame]:
     """rows (key, text, label) to a router and its threshold table on the held-out share.
 
     terms is the size of the vocabulary; it stays bounded whatever the corpus.
@@ -100,13 +112,12 @@ def train(rows: DataFrame, key: str = "clause_id", text: str = "text", terms: in
     counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}  # two labels
     if min(counts.get(0, 0), counts.get(1, 0)) < MIN_CLASS:
         raise ValueError(f"each class needs {MIN_CLASS} clauses or more: {counts}")
-    split = held_out(rows, key)
+    split = Scratch(rows.sparkSession, "router").table(held_out(rows.select(key, text, "label"), key), "split")  # read by every pass below
     fit = split.where("not test")
     words = Pipeline(stages=[RegexTokenizer(inputCol=text, outputCol="w1", pattern=r"\W+", minTokenLength=2), NGram(n=2, inputCol="w1", outputCol="w2"), SQLTransformer(statement="SELECT *, concat(w1, w2) AS terms FROM __THIS__"), CountVectorizer(inputCol="terms", outputCol="counts", minDF=MIN_DF, vocabSize=min(terms, TERMS))]).fit(fit)
-    n, df = fit.count(), words.transform(fit).select(F.posexplode(vector_to_array("counts")).alias("i", "c")).where("c > 0").groupBy("i").count().collect()  # one row for each term
-    size = len(words.stages[-1].vocabulary)
-    seen = {r[0]: r[1] for r in df}
-    idf = [math.log((1 + n) / (1 + seen.get(i, 0))) + 1 for i in range(size)]
+    seen = IDF(inputCol="counts", outputCol="idf").fit(words.transform(fit))  # its document frequencies; its weights lack the + 1
+    n = seen.numDocs
+    idf = [math.log((1 + n) / (1 + d)) + 1 for d in seen.docFreq]
     total = sum(counts.values())
     weight = F.when(F.col("label") == 1, F.lit(total / (2 * counts[1]))).otherwise(F.lit(total / (2 * counts[0])))
     ready = _weigh(words.transform(fit), idf).withColumn("weight", weight).withColumn("label", F.col("label").cast("double"))

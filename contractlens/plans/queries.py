@@ -441,7 +441,7 @@ def router_tfidf(spark, sf_dir):
 @query()
 def router_lr(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("label")), "doc_id")
-    fitted, swept = router.train(docs.select("doc_id", "text", "label"), "doc_id", terms=500)
+    fitted, swept = router.train(docs.select("doc_id", "text", "label"), "doc_id")
     return swept
 
 

@@ -1,11 +1,14 @@
 """Segmentation, cleaning and the whole audit on small papers of our own."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from contractlens.operators import furniture, rulebook, segment, versions
 from contractlens.plans import audit
 from contractlens.streaming import stream
+from tests.harness import DATA
 
 LEASE = """RENT AGREEMENT BETWEEN THE PARTIES NAMED BELOW FOR THE HOUSE
 
@@ -136,6 +139,31 @@ def test_router(spark):
         router.train(spark.createDataFrame(rows[:6], "clause_id long, text string, label int"))
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_registered_router_keeps_its_terms(spark, monkeypatch):
+    """The vocabulary of the registered query is all terms in two documents or more, up to TERMS, and its features are tf-idf."""
+    from contractlens.operators import router
+    from contractlens.plans import queries
+
+    train, seen = router.train, {}
+
+    def spy(rows, *a, **k):
+        seen["fit"] = router.held_out(rows, "doc_id").where("not test")
+        seen["fitted"], swept = train(rows, *a, **k)
+        return seen["fitted"], swept
+
+    monkeypatch.setattr(router, "train", spy)
+    assert queries.QUERIES["router_lr"](spark, DATA).count() == 13
+    fit, fitted = seen["fit"].cache(), seen["fitted"]
+    weights = {(r[0], r[1]): r[2] for r in router.tfidf(fit, "doc_id", "text").collect()}
+    vocabulary = fitted.words.stages[-1].vocabulary
+    assert len(vocabulary) == min(len({t for _, t in weights}), router.TERMS) > 500
+    if len(vocabulary) < router.TERMS:
+        for r in router._weigh(fitted.words.transform(fit), fitted.idf).select("doc_id", "features").limit(5).collect():
+            own = {vocabulary[i]: x for i, x in zip(r["features"].indices.tolist(), r["features"].values.tolist(), strict=True)}
+            assert own == pytest.approx({t: x for (d, t), x in weights.items() if d == r["doc_id"]})
+
+
 def test_sources(spark, tmp_path):
     import json
     import zipfile
