@@ -566,7 +566,7 @@ def draft_diff_status(spark, sf_dir):
 @query()
 def draft_diff_fuzzy(spark, sf_dir):
     old, new = _drafts(spark, sf_dir)
-    return versions.match_clauses(old.where("length(text) > 40"), new.where("length(text) > 40"))
+    return versions.match_clauses(old, new)
 
 
 @query("""with t as (select conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) as t from conversations)

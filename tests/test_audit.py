@@ -164,6 +164,20 @@ def test_registered_router_keeps_its_terms(spark, monkeypatch):
             assert own == pytest.approx({t: x for (d, t), x in weights.items() if d == r["doc_id"]})
 
 
+def test_registered_drafts_keep_short_lines(spark, tmp_path):
+    """Every line of either draft has one row, however short."""
+    from contractlens.plans import queries
+
+    text = "short one\nshort two\nalpha beta gamma delta\nx\n\nshort one\n" + "a line of more than forty characters stands here too"
+    spark.createDataFrame([(1, text), (2, "tiny"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    old, new = queries._drafts(spark, str(tmp_path))
+    got = queries.QUERIES["draft_diff_fuzzy"](spark, str(tmp_path)).collect()
+    for side, df in (("old_idx", old), ("new_idx", new)):
+        want = sorted((r["doc_id"], r["idx"]) for r in df.collect())
+        assert sorted((r["doc_id"], r[side]) for r in got if r[side] is not None) == want and len(want) > 5
+    assert (1, 2, 2) in {(r["doc_id"], r["old_idx"], r["new_idx"]) for r in got}  # reworded, 22 characters
+
+
 def test_sources(spark, tmp_path):
     import json
     import zipfile
