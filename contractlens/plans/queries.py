@@ -664,7 +664,12 @@ def rules_catalogue(spark, sf_dir):
 
 @query()
 def evaluate_clause(spark, sf_dir):
-    """Rules by supplied parameters, of JSON in the events table and of three fixed ones."""
+    """Rules by supplied parameters, of JSON in the events table and of three fixed ones.
+
+    An event names no kind of paper, so its parameters are judged as each of the three.
+    """
     fixed = [("employment", '{"bond_present": true, "penalty_amount_stated": true}'), ("rental", '{"deposit_months": 3, "premises_type": "residential"}'), ("loan", '{"guarantee_uncapped": true, "prepayment_penalty": true}')]
-    found = audit.evaluate_clause(spark.createDataFrame(fixed, "doc_type string, params string"))
+    kinds = F.explode(F.array(*(F.lit(k) for k, _ in fixed))).alias("doc_type")
+    params = spark.createDataFrame(fixed, "doc_type string, params string").unionByName(table(spark, sf_dir, "events").select(kinds, F.col("props").alias("params")))
+    found = audit.evaluate_clause(params)
     return found.select("doc_type", F.explode("findings").alias("f")).select("doc_type", "f.rule_id", "f.severity", "f.category")

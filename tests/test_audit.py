@@ -178,6 +178,24 @@ def test_registered_drafts_keep_short_lines(spark, tmp_path):
     assert (1, 2, 2) in {(r["doc_id"], r["old_idx"], r["new_idx"]) for r in got}  # reworded, 22 characters
 
 
+def test_registered_rules_read_events(spark, tmp_path):
+    """The findings are those of the three fixed rows and of every event's JSON."""
+    from contractlens.plans import queries
+
+    def findings(name, props):
+        spark.createDataFrame([(p,) for p in props], "props string").write.parquet(f"{tmp_path}/{name}/events.parquet")
+        return sorted(map(tuple, queries.QUERIES["evaluate_clause"](spark, f"{tmp_path}/{name}").collect()))
+
+    fixed = findings("none", [])
+    own = ['{"guarantee_uncapped": true, "prepayment_penalty": true}', "no JSON", None]
+    silent = findings("silent", ["{}"])
+    got = findings("own", own)
+    assert len(fixed) > 0 and {r for r in fixed if r[0] == "loan"} <= set(got)
+    for r in (r for r in fixed if r[0] == "loan"):
+        assert got.count(r) >= 2 * fixed.count(r)
+    assert len(silent) >= len(fixed)
+
+
 def test_sources(spark, tmp_path):
     import json
     import zipfile
