@@ -11,8 +11,8 @@ from contractlens.functions.scratch import Scratch  # noqa: F401  for the operat
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 BLOCK_BYTES = 1 << 20
-#: Rows in an Arrow batch: bounds what a Python worker holds when texts are long.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch: bound what a Python worker holds, however long the texts are.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -25,8 +25,13 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that the session sends to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the Arrow batches that the session sends to Python workers, where it has Spark's own bounds.
+
+    Frames are returned before they run, so the bounds can't be taken back; a session's own stay.
+    """
+    for key, usual, value in (("maxRecordsPerBatch", 10_000, BATCH_ROWS), ("maxBytesPerBatch", 64 << 20, BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b") == str(usual):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -13,12 +13,13 @@ has tokens, whatever the corpus.  So the plan is made on the driver from bounded
 The plan says which ranks of which length go to which run of sequences.  Pieces are ranked within
 their length without a shuffle of the texts, and look their place up in the plan.
 
-Defined cases: a null or empty text is a document of the end id alone; a null doc_id stays null;
-repeated rows are packed each; an empty table gives an empty result; extra columns are ignored.
+Defined cases: a null or empty text is a document of the end id alone; a text of any length, long
+runs of blanks included, is encoded whole; a null doc_id stays null; repeated rows are packed each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 import zlib
@@ -46,7 +47,9 @@ class Encoder:
     """Ids of a byte-level BPE vocabulary as packed little-endian uint32.
 
     Where the ids are in the order of the merges, the faster of two libraries gives the same ids;
-    texts that hold an added token's string go to the other.
+    texts that hold an added token's string go to the other, and so do those that the faster one
+    refuses (its pattern search gives up on runs of about a million blanks), before anything is
+    put out.
     """
 
     def __init__(self, path: str):
@@ -78,9 +81,10 @@ class Encoder:
         return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        if self.words is None or self.added.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return self.words.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        if self.words is not None and not self.added.search(text):
+            with contextlib.suppress(ValueError):
+                return self.words.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def encoder(path: str) -> Encoder:

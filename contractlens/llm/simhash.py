@@ -7,7 +7,8 @@ and those that collide are linked.  With r = 2 a fingerprint has 2081 variants.
 Variants are dealt out by a linear code of their bits: a fingerprint goes once to each shard in
 which one of its variants falls, and the shard makes just those variants.  That is the shuffle on
 variants with each fingerprint written once for a shard instead of once for a variant.  The
-number of shards follows the number of distinct fingerprints, so that a shard's work is bounded.
+number of shards follows the number of distinct fingerprints, so that a shard's variants are
+bounded, and a task takes one shard after the other from sorted input.
 
 Copies share a fingerprint and are one node.  Within a bucket each fingerprint is linked to the
 next one only, and a task passes on a spanning forest, so large groups give no pairs.
@@ -19,6 +20,7 @@ get a row; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,10 +36,14 @@ from contractlens.llm.components import components, forest
 SEED = 42
 SHINGLE = 4
 RADIUS = 4
-#: Fingerprints a shard is meant for; from 64 shards on their number follows the input.
-SHARD_FINGERPRINTS = 1 << 14
+#: Variants a shard is meant for, 64 MB of fingerprints at most; from 64 shards on their number follows the input.
+SHARD_VARIANTS = 1 << 23
+#: Partitions that shards are dealt to at most; a task holds one shard at a time, however many it gets.
+PARTITIONS = 1 << 16
 #: Variants that a shard makes at once.
 VARIANTS_AT_ONCE = 1 << 21
+#: Links that a task holds before it passes their forest on.
+HELD_LINKS = 1 << 21
 _U = np.uint64
 
 
@@ -60,22 +66,22 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             raw = memoryview(data)
             values = [fingerprint(bytes(raw[a:b]), shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(values, dtype=_U).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(np.array(values, dtype=_U).view(np.int64))], [*keep, "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keep columns, fp): fp is the fingerprint's 64 bits as a signed long."""
     small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle), f"doc_id {kind}, fp long")
+    schema = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
+    return docs.select(*keep, "text").mapInArrow(_fingerprints(shingle, list(keep)), f"{schema}, fp long")
 
 
 class Ball:
@@ -180,16 +186,31 @@ def _deal(radius: int, code_bits: int):
 def _meet(radius: int, code_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ball = Ball(radius, code_bits)
-        shards: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for shard, fps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shards.setdefault(shard, []).append(fps)
         a = b = np.zeros(0, dtype=np.int64)
-        for shard in sorted(shards):
-            x, y = links(np.frombuffer(b"".join(shards.pop(shard)), dtype=_U), shard, ball)
-            a, b = forest(np.concatenate([a, x.view(np.int64)]), np.concatenate([b, y.view(np.int64)]))
-        for i in range(0, len(a), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], ["a", "b"])
+        held: list[bytes] = []
+        last = None
+
+        def met(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            x, y = links(np.frombuffer(b"".join(held), dtype=_U), last, ball)
+            held.clear()
+            return forest(np.concatenate([a, x.view(np.int64)]), np.concatenate([b, y.view(np.int64)]))
+
+        def out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], ["a", "b"])
+
+        for batch in batches:  # sorted by shard
+            for shard, fps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and shard != last:
+                    a, b = met(a, b)
+                    if len(a) > HELD_LINKS:
+                        yield from out(a, b)
+                        a = b = np.zeros(0, dtype=np.int64)
+                last = shard
+                held.append(fps)
+        if held:
+            a, b = met(a, b)
+        yield from out(a, b)
 
     return run
 
@@ -201,28 +222,36 @@ def fingerprint_links(fps: DataFrame, distinct: int, radius: int = RADIUS) -> Da
     """
     if radius % 2:
         raise ValueError("ball hashing needs an even radius")
-    code_bits = min(32, max(6, (max(distinct, 1) // SHARD_FINGERPRINTS).bit_length()))
+    ball = sum(math.comb(64, k) for k in range(radius // 2 + 1))
+    code_bits = min(32, max(6, (max(distinct, 1) * ball // SHARD_VARIANTS).bit_length()))
     dealt = fps.mapInArrow(_deal(radius // 2, code_bits), "shard long, fps binary")
-    return dealt.repartition(1 << min(code_bits, 12), "shard").mapInArrow(_meet(radius // 2, code_bits), "a long, b long")
+    sharded = dealt.repartition(min(1 << code_bits, PARTITIONS), "shard").sortWithinPartitions("shard")
+    return sharded.mapInArrow(_meet(radius // 2, code_bits), "a long, b long")
+
+
+def _rooted(prints: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """prints (doc_id, fp): (fp, least, root), a row for each fingerprint, with its smallest doc_id and its component."""
+    nodes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(fingerprint_links(nodes.select("fp"), nodes.count(), radius), scratch)
+    # written tables on both sides of a join let Spark split the partition of a large group
+    return scratch.table(nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root")), "rooted")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.table(fingerprints(docs, shingle), "prints")
-    nodes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(fingerprint_links(nodes.select("fp"), nodes.count(), radius), scratch)
-    # written tables on both sides of a join let Spark split the partition of a large group
-    rooted = scratch.table(nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root")), "rooted")
+    rooted = _rooted(prints, radius, scratch)
     smallest = scratch.table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     named = scratch.table(rooted.join(smallest, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group, with all their columns.
+    """The rows of docs whose doc_id is the smallest of its group, with all their columns, for tables whose ids name rows.
 
     Of several rows with that doc_id one stays.  Rows without a doc_id can't be named and all stay.
+    Where ids repeat or are missing, :func:`one_row_of_each` tells rows apart by what they hold.
     """
     kept = near_duplicates(docs, radius).where("doc_id = component_id").groupBy("doc_id").count().withColumnsRenamed({"doc_id": "_kept_id", "count": "_kept_n"})
     kept = Scratch(docs.sparkSession, "kept").table(kept, "kept")
@@ -232,3 +261,32 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     if kept.where("_kept_n > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null"))
+
+
+def one_row_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Exactly one row of each group of near-duplicates, with all its columns.
+
+    The row with the smallest doc_id stays, one without a doc_id only if its whole group has none; of
+    several such rows the one of the least fingerprint and then of the least hash of all columns, so
+    the choice is the same on every run.  Rows that are equal in all of these are one.  Different
+    texts under one doc_id, or without one, are rows of their own.
+    """
+    scratch = Scratch(docs.sparkSession, "survivors")
+    names = [f"c{i}_" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    id_, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    mark = F.xxhash64(*(F.to_json(c) if "map<" in kind else F.col(c) for c, kind in plain.dtypes))
+    marked = plain.select("*", mark.alias("mark_"))
+    prints = fingerprints(marked.select(F.col(id_).alias("doc_id"), F.col(text).alias("text"), "mark_"), keep=("doc_id", "mark_"))
+    # one row for each different row of docs: copies are counted before they meet anything
+    kinds = scratch.table(prints.groupBy("doc_id", "mark_", "fp").agg(F.count(F.lit(1)).alias("copies")), "kinds")
+    rooted = _rooted(kinds, radius, scratch)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "mark_", "copies")
+    kept = kinds.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("k"))
+    kept = scratch.table(kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark_").alias("kept_mark"), F.col("k.copies").alias("copies")), "kept")
+    # the ids grow with the documents: never broadcast, and hashed, so that texts are not sorted
+    same = (F.col("mark_") == F.col("kept_mark")) & F.col(id_).eqNullSafe(F.col("kept_id"))
+    out = marked.join(kept.select("kept_id", "kept_mark").hint("shuffle_hash"), same, "left_semi")
+    if kept.where("copies > 1").limit(1).count():
+        out = out.dropDuplicates([id_, "mark_"])
+    return out.select(*names).toDF(*docs.columns)

@@ -444,3 +444,47 @@ def test_quotation_linking(spark):
     }
     assert chat.format_conversations(df).count() == len(rows)
     assert chat.format_conversations(df.where("turn < 0")).count() == 0
+
+
+def test_long_runs_of_blanks_are_encoded(spark, tokenizers):
+    """The faster library gives up on such runs; the other's ids are the result."""
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "a" + " \n" * 300_000 + "b"):
+        want = np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert packing.encoder(path).ids(text) == want
+    rows = packing.pack(spark.createDataFrame([(1, " " * 1_000_000)], "doc_id long, text string"), path).collect()
+    assert sum(r["length"] for r in rows) == 1_000_001
+
+
+def test_one_row_of_each_group(spark, docs, texts):
+    """Exactly one row of each group stays, whatever the ids are, and always the same one."""
+    ids, prints = [i for i, _ in texts], [plain_fingerprint(t) for _, t in texts]
+    kept = simhash.one_row_of_each(docs)
+    assert kept.columns == docs.columns
+    got = multiset((r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect())
+    groups = plain_components(list(range(len(texts))), prints)
+    want = Counter()
+    for g in set(groups):
+        rows = [k for k in range(len(texts)) if groups[k] == g]
+        first = min((ids[k] is None, ids[k] or 0, np.uint64(prints[k]).view(np.int64), k) for k in rows)[3]
+        want[texts[first]] += 1
+    assert got == want and got[31, texts[-2][1]] == got[31, texts[-1][1]] == 1
+    # two texts under one id, one of them a near copy of a smaller id; a null id only beside named copies; equal rows
+    base, other = noise(80, 500), noise(80, 501)
+    rows = [(1, base), (9, base), (9, other), (None, other), (None, noise(80, 502)), (None, noise(80, 502)), (4, None), (3, "")]
+    own = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.create_map(F.lit("a"), F.lit(1))).repartition(3)
+    for _ in range(2):
+        got = multiset(simhash.one_row_of_each(own).select("doc_id", "text").collect())
+        assert got == Counter([(1, base), (9, other), (None, noise(80, 502)), (3, "")])
+    assert simhash.one_row_of_each(own.where("doc_id = -1")).count() == 0
+
+
+def test_many_small_shards_give_the_same_components(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_VARIANTS", 1 << 8)
+    monkeypatch.setattr(simhash, "HELD_LINKS", 1)
+    ids, prints = [i for i, _ in texts], [plain_fingerprint(t) for _, t in texts]
+    want = Counter(zip(ids, prints, plain_components(ids, prints), strict=True))
+    assert Counter((i, fp % 2**64, c) for i, fp, c in simhash.near_duplicates(docs).collect()) == want
