@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 class Scratch:
     """Tables below ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a single machine) a temporary folder is made and set.
+    Only where that is unset and the session is one process (tests, a single machine) a temporary
+    folder is made and set; executors of a cluster would not share it, so there it is an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="contractlens-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
