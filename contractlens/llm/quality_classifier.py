@@ -1,12 +1,14 @@
 """Quality classifier on supervised subword embeddings.
 
-A document is the mean of the vectors of its words, of the character n-grams of each word within
-boundary marks, and of a pattern feature for each word that repeats the two before it.  Features
-are hashed into a fixed number of buckets.  A softmax over the mean gives the classes; vectors and
+A document is the mean of the vectors of its words, of the n-grams of characters (code points) of
+each word within boundary marks, and of its pairs of neighbouring words.  Features are hashed into a
+fixed number of buckets; a pair's hash is the exclusive or of its words' hashes, so the order of
+the two does not count and all repeated words share a bucket.  A softmax over the mean gives the classes; vectors and
 output weights are learned together by numpy stochastic gradient descent.
 
 The fit uses at most MAX_DOCUMENTS labelled documents, those with the least hash of their id; they
 are picked from the labels alone and then read by a broadcast of the ids, so no text is shuffled.
+Of several rows under a picked id the one with the least hash of its text counts.
 As the output is linear in the mean, scoring needs one number for each bucket.
 
 Defined cases: a null or empty text has the one feature that every document has, and gets its
@@ -17,8 +19,8 @@ every score is the share of label 1 (0.5 without any); extra columns are ignored
 
 from __future__ import annotations
 
-import operator
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,6 @@ from contractlens.llm.common import small_batches
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 GRAMS = (2, 3, 4)
-#: Times that a repeated word's feature counts, as a word has many others.
-REPEAT_WEIGHT = 8
 MAX_DOCUMENTS = 2000
 EPOCHS = 6
 RATE = 0.5
@@ -40,37 +40,38 @@ SEED = 7
 THRESHOLD = 0.7
 #: Words in a worker's cache.
 CACHE = 300_000
-#: Buckets of the features of every document, and of repeated words.
-ALWAYS, REPEAT = 0, 1
+#: The bucket of the feature of every document.
+ALWAYS = 0
 
 
 def word_buckets(word: bytes) -> list[int]:
-    """The buckets of a word and of its n-grams (of bytes) within boundary marks."""
+    """The buckets of a word and of its n-grams of characters within boundary marks."""
     marked = b"<" + word + b">"
-    crc, span, n = zlib.crc32, BUCKETS - 2, len(marked)
-    out = [crc(marked, 1) % span + 2]
+    crc, span = zlib.crc32, BUCKETS - 1
+    out = [crc(marked, 1) % span + 1]
+    if word.isascii():
+        for k in GRAMS:
+            out += [crc(marked[i : i + k]) % span + 1 for i in range(len(marked) - k + 1)]
+        return out
+    edges = [i for i, b in enumerate(marked) if b & 0xC0 != 0x80] + [len(marked)]
     for k in GRAMS:
-        out += [crc(marked[i : i + k]) % span + 2 for i in range(n - k + 1)]
+        out += [crc(marked[a:b]) % span + 1 for a, b in zip(edges, edges[k:], strict=False)]
     return out
 
 
-def repeats(words: list[bytes]) -> int:
-    """What the words that equal both words before them count."""
-    same = list(map(operator.eq, words, words[1:]))
-    return REPEAT_WEIGHT * sum(map(operator.and_, same, same[1:]))
+def pair_buckets(hashes: np.ndarray) -> np.ndarray:
+    """The buckets of neighbouring words, from the words' hashes."""
+    return (hashes[1:] ^ hashes[:-1]) % (BUCKETS - 1) + 1
 
 
 def document_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of a whole text."""
     words = text.split()
-    kinds: dict[bytes, int] = {}
-    for w in words:
-        kinds[w] = kinds.get(w, 0) + 1
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for w, n in kinds.items():
+    for w, n in Counter(words).items():
         np.add.at(counts, word_buckets(w), n)
+    counts += np.bincount(pair_buckets(np.array(list(map(zlib.crc32, words)), dtype=np.int64)), minlength=BUCKETS)
     counts[ALWAYS] += 1
-    counts[REPEAT] += repeats(words)
     at = np.flatnonzero(counts)
     return at, counts[at]
 
@@ -81,8 +82,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text").to_pylist():
             a, c = document_counts((text or "").encode())
             at.append(a.astype("<u2").tobytes())
-            n.append(np.minimum(c, 65535).astype("<u2").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["doc_id", "label", "buckets", "counts"])
+            n.append(c.astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("h"), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["doc_id", "label", "h", "buckets", "counts"])
 
 
 def held_out() -> Column:
@@ -98,11 +99,13 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_DOCUMENTS) -> np.nd
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and label is not null").where(~held_out()).groupBy("doc_id").agg(F.avg("label").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("picked_id"), (F.col("label") >= 0.5).cast("int").alias("label"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("doc_id", "text", "label")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("doc_id", "text", "label", F.xxhash64("text").alias("h"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInArrow(_counted, f"doc_id {kind}, label int, buckets binary, counts binary").collect()
+    counted = sample.mapInArrow(_counted, f"doc_id {kind}, label int, h long, buckets binary, counts binary")
+    # one row for each picked id, so no more than limit come to the driver
+    rows = counted.groupBy("doc_id").agg(F.min(F.struct("h", "buckets", "counts", "label")).alias("r")).select("doc_id", "r.label", "r.buckets", "r.counts").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[2], r[3]))
-    return train([(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(c, "<u2").astype(np.float64)) for _, _, b, c in rows], np.array([r[1] for r in rows], dtype=np.int64))
+    return train([(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(c, "<i8").astype(np.float64)) for _, _, b, c in rows], np.array([r[1] for r in rows], dtype=np.int64))
 
 
 def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> np.ndarray:
@@ -133,15 +136,16 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
 
 
 class Scorer(dict):
-    """Words with the sum of their features' logits and their number; a bounded cache."""
+    """Words with the sum of their features' logits, their number, and the word's hash; a bounded cache."""
 
     def __init__(self, logits: np.ndarray):
         super().__init__()
-        self.logits = logits.astype(float).tolist()
+        self.array = logits.astype(float)
+        self.logits = self.array.tolist()
 
-    def __missing__(self, word: bytes) -> tuple[float, int]:
+    def __missing__(self, word: bytes) -> tuple[float, int, int]:
         own = word_buckets(word)
-        value = sum([self.logits[b] for b in own]), len(own)
+        value = sum([self.logits[b] for b in own]), len(own), zlib.crc32(word)
         if len(word) <= 64:
             if len(self) >= CACHE:
                 self.clear()
@@ -150,11 +154,10 @@ class Scorer(dict):
 
     def score(self, text: bytes) -> float:
         """The probability of label 1."""
-        words = text.split()
-        got = list(map(self.__getitem__, words))
-        again = repeats(words)
-        total = sum([g[0] for g in got]) + self.logits[ALWAYS] + again * self.logits[REPEAT]
-        n = sum([g[1] for g in got]) + 1 + again
+        got = list(map(self.__getitem__, text.split()))
+        pairs = pair_buckets(np.array([g[2] for g in got], dtype=np.int64))
+        total = sum([g[0] for g in got]) + float(self.array[pairs].sum()) + self.logits[ALWAYS]
+        n = sum([g[1] for g in got]) + len(pairs) + 1
         return float(1 / (1 + np.exp(-np.clip(total / n, -500, 500))))
 
 

@@ -488,3 +488,98 @@ def test_many_small_shards_give_the_same_components(spark, docs, texts, monkeypa
     ids, prints = [i for i, _ in texts], [plain_fingerprint(t) for _, t in texts]
     want = Counter(zip(ids, prints, plain_components(ids, prints), strict=True))
     assert Counter((i, fp % 2**64, c) for i, fp, c in simhash.near_duplicates(docs).collect()) == want
+
+
+def test_top_k_of_large_and_repeated_vectors(spark):
+    """Finite vectors of any size, one id in several rows, against whole numbers of any size."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=2) * 10.0 ** rng.integers(-1, 3)).tolist()) for i in range(60)]
+    rows += [(100, [1e13, 1e13]), (101, [-1e13, 1e5]), (102, [3e15, 7.0]), (103, [1e200, -1e200]), (104, [1.7e308, 0.0]), (105, [0.0, 0.0]), (110, [1e13, -1.0])]
+    rows += [(50, [4.0, 4.0]), (50, [4.0, 4.0]), (50, [-3.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = multiset(topk.top_k(topk.integer_vectors(df), F.col("vec_id") % 10 == 0).collect())
+    ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if all(np.isfinite(256 * x) for x in v)]
+    assert len(ok) == len(rows) - 1
+    want = Counter()
+    fit = lambda s: max(-(2**63 - 1), min(2**63 - 1, s))
+    for q, a in ok:
+        if q % 10 == 0:
+            scores = sorted((-fit(sum(x * y for x, y in zip(a, b, strict=True))), i) for i, b in ok if i != q)
+            want.update((q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5]))
+    assert got == want
+
+
+def test_places_keep_the_order():
+    x = np.array([-2.0**63, -1e17, -257.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0, 2.0**53, 2.0**63])
+    assert (np.diff(topk.places(x)) > 0).all() and topk.places(np.array([0.0, 1.0, -1.0])).tolist() == [0, 1, -1]
+
+
+def plain_descent(samples, labels, buckets, dims, epochs, rate, seed):
+    """Softmax regression on a document's mean vector, one feature and one number at a time."""
+    rng = np.random.default_rng(seed)
+    vectors = rng.uniform(-1 / dims, 1 / dims, (buckets, dims)).tolist()
+    output = [[0.0] * dims for _ in range(2)]
+    step, steps = 0, epochs * len(samples)
+    for _ in range(epochs):
+        for i in rng.permutation(len(samples)).tolist():
+            at, counts = samples[i]
+            total = float(sum(counts))
+            mean = [sum(vectors[b][d] * n / total for b, n in zip(at, counts, strict=True)) for d in range(dims)]
+            scores = [sum(w * m for w, m in zip(o, mean, strict=True)) for o in output]
+            odds = [np.exp(s - max(scores)) for s in scores]
+            error = [o / sum(odds) - (c == labels[i]) for c, o in enumerate(odds)]
+            now = rate * (1 - step / steps)
+            back = [sum(error[c] * output[c][d] for c in range(2)) for d in range(dims)]
+            for c in range(2):
+                for d in range(dims):
+                    output[c][d] -= now * error[c] * mean[d] * dims
+            for b, n in zip(at, counts, strict=True):
+                for d in range(dims):
+                    vectors[b][d] -= now * dims * n / total * back[d]
+            step += 1
+    return [sum(v * (b - a) for v, a, b in zip(x, output[0], output[1], strict=True)) for x in vectors]
+
+
+def test_training_equals_plain_descent(monkeypatch):
+    monkeypatch.setattr(quality_classifier, "BUCKETS", 97)
+    rng = np.random.default_rng(4)
+    samples = [(np.sort(rng.choice(97, 8, replace=False)), rng.integers(1, 90_000, 8).astype(float)) for _ in range(30)]
+    labels = rng.integers(0, 2, 30)
+    want = plain_descent([(a.tolist(), c.tolist()) for a, c in samples], labels.tolist(), 97, quality_classifier.DIMENSIONS, 3, 0.5, 7)
+    assert np.allclose(quality_classifier.train(samples, labels, 3, 0.5, 7), want, atol=1e-5)
+
+
+def plain_buckets(text):
+    """The features of a text, by their plain definition."""
+    crc, span = lambda t, start=0: zlib.crc32(t.encode(), start), quality_classifier.BUCKETS - 1
+    own, out = re.findall(SPACE, text), [0]
+    for w in own:
+        marked = f"<{w}>"
+        out += [crc(marked, 1) % span + 1, *(crc(marked[i : i + k]) % span + 1 for k in (2, 3, 4) for i in range(len(marked) - k + 1))]
+    return Counter(out + [(crc(a) ^ crc(b)) % span + 1 for a, b in zip(own, own[1:], strict=False)])
+
+
+def test_features_and_scores(texts):
+    logits = np.random.default_rng(5).normal(size=quality_classifier.BUCKETS).astype(np.float32)
+    scorer = quality_classifier.Scorer(logits)
+    for _, t in texts:
+        want = plain_buckets(t or "")
+        at, n = quality_classifier.document_counts((t or "").encode())
+        assert dict(zip(at.tolist(), n.tolist(), strict=True)) == want
+        mean = sum(float(logits[b]) * k for b, k in want.items()) / want.total()
+        assert abs(scorer.score((t or "").encode()) - 1 / (1 + np.exp(-mean))) < 1e-9
+
+
+def test_training_bound_holds_for_repeated_ids_and_long_texts(spark, monkeypatch):
+    learned = next(i for i in range(20, 40) if zlib.crc32(str(i).encode()) % 4 != 2)
+    own = spark.createDataFrame([(i % 20, f"text {i}") for i in range(2000)] + [(learned, "long " * 70_000)], "doc_id long, text string")
+    labels = spark.range(40).selectExpr("id as doc_id", "cast(id % 2 as int) as label")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "train", lambda samples, y: seen.append(samples) or np.zeros(quality_classifier.BUCKETS, dtype=np.float32))
+    quality_classifier.fit(own, labels, 10)
+    quality_classifier.fit(own.repartition(5), labels, 10)
+    assert len(seen[0]) == len(seen[1]) <= 10
+    assert all((a == b).all() and (m == n).all() for (a, m), (b, n) in zip(*seen, strict=True))
+    seen.clear()
+    quality_classifier.fit(own, labels)
+    assert max(n.max() for _, n in seen[0]) >= 69_999
