@@ -12,10 +12,13 @@ window that starts anywhere else.
    meet in one shard, and a common passage is one row a task.
 3. Automata: a shard counts the windows of its segments word by word, compiles those found twice
    or more into an Aho-Corasick automaton, and streams its segments through it.
-4. The spans found are joined back to every place of their segment and cut out of the texts.
+4. An anchor that occurs over ANCHOR_PLACES times (a few common words in many surroundings) would
+   make a shard without a bound.  Its windows are dealt out by their own identity instead: summed
+   before they are shuffled, and those found twice or more joined back to their segments.
+5. The spans found are joined back to every place of their segment and cut out of the texts.
 
 Words are compared as they are, in the automaton; hashes of 64 bits only choose what is compared,
-and texts and segments have identities of 128 bits.
+and texts, segments and the windows of frequent anchors have identities of 128 bits.
 
 Defined cases: a null or empty text has no words and keeps none; a null doc_id stays null;
 repeated rows are copies of one another, so their windows recur; different texts under one doc_id,
@@ -40,8 +43,12 @@ WINDOW = 35
 GRAM = 8
 #: Segments that one automaton is compiled for, about.
 SHARD_SEGMENTS = 4000
+#: Places of an anchor up to which its segments go to one shard; beyond, windows are dealt out.
+ANCHOR_PLACES = 256
 #: Segments whose counts a task holds before it passes them on.
 HELD_SEGMENTS = 100_000
+#: Distinct words that can each be a character of a string; beyond, windows are sequences of numbers.
+LETTERS = 1_000_000
 _U = np.uint64
 
 
@@ -79,7 +86,7 @@ class Anchors:
 
 
 def _texts(window: int):
-    names = ["doc_id", "h", "n_words", "all_sha256", "anchors"]
+    names = ["doc_id", "h", "n_words", "all_sha256", "anchors", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,11 +96,10 @@ def _texts(window: int):
                 doc, value = Anchors(b, window).chosen()
                 order = np.lexsort((value, doc))
                 doc, value = doc[order], value[order]
-                same = np.zeros(len(doc), dtype=np.int8)  # an anchor that a text has twice or more stands twice
-                same[1:] = (doc[1:] == doc[:-1]) & (value[1:] == value[:-1])
-                third = np.zeros(len(doc), dtype=bool)
-                third[2:] = (same[2:] == 1) & (same[1:-1] == 1)
-                doc, value = doc[~third], value[~third]
+                first = np.ones(len(doc), dtype=bool)
+                first[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+                times = np.diff(np.flatnonzero(np.append(first, True)))
+                doc, value = doc[first], value[first]
                 offsets = np.searchsorted(doc, np.arange(docs + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -102,6 +108,7 @@ def _texts(window: int):
                         pa.array(np.diff(b.words).astype(np.int64)),
                         pa.array([hashlib.sha256(j).hexdigest() for j in joined], pa.string()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int64))),
                     ],
                     names,
                 )
@@ -109,13 +116,16 @@ def _texts(window: int):
     return run
 
 
-_SEGMENT_SCHEMA = "h binary, starts array<int>, sids array<binary>, anchor long, sid binary, segment binary, n long"
+_SEGMENT_SCHEMA = "h binary, starts array<int>, sids array<binary>, anchor long, sid binary, segment binary, windows array<binary>, n long"
 
 
 def _segments(window: int):
-    """Rows of two kinds: the places of a text's segments, and segments with their number in this task."""
+    """Rows of three kinds: the places of a text's segments, and segments with their number in this task.
+
+    Segments have their words, or the identities of their windows if their anchor is a frequent one.
+    """
     names = [x.split()[0] for x in _SEGMENT_SCHEMA.split(", ")]
-    kinds = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+    kinds = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64()]
 
     def rows(*columns) -> pa.RecordBatch:
         n = max(len(c) for c in columns)
@@ -128,11 +138,11 @@ def _segments(window: int):
             items = list(held.items())
             for i in range(0, len(items), 2000):
                 part = items[i : i + 2000]
-                yield rows([], [], [], [v[0] for _, v in part], [k for k, _ in part], [v[1] for _, v in part], [v[2] for _, v in part])
+                yield rows([], [], [], [v[0] for _, v in part], [k for k, _ in part], [v[1] for _, v in part], [v[2] for _, v in part], [v[3] for _, v in part])
             held.clear()
 
         for batch in batches:
-            hs, wanted = batch.column("h").to_pylist(), batch.column("anchors")
+            hs, wanted, frequent = batch.column("h").to_pylist(), batch.column("anchors"), batch.column("frequent")
             for at, b in blocks(batch.column("text")):
                 a = Anchors(b, window)
                 out_h, out_starts, out_sids = [], [], []
@@ -147,22 +157,25 @@ def _segments(window: int):
                     run_end = np.flatnonzero(recurs & np.concatenate([(least[1:] != least[:-1]) | ~recurs[1:], [True]]))
                     sizes = b.end[first : last + window] - b.start[first : last + window]
                     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
+                    often = np.isin(least[run_start], frequent[at + d].values.to_numpy().view(_U)).tolist()
                     starts, sids = [], []
-                    for s, e in zip(run_start.tolist(), run_end.tolist(), strict=True):
+                    for s, e, split in zip(run_start.tolist(), run_end.tolist(), often, strict=True):
                         segment = joined[begin[s] : begin[e + window] - 1]
                         sid = xxhash.xxh3_128_digest(segment)
                         starts.append(s)
                         sids.append(sid)
                         if sid in held:
-                            held[sid][2] += 1
+                            held[sid][3] += 1
+                        elif split:
+                            held[sid] = [None, None, [xxhash.xxh3_128_digest(joined[begin[i] : begin[i + window] - 1]) for i in range(s, e + 1)], 1]
                         else:
-                            held[sid] = [int(least[s : s + 1].view(np.int64)[0]), segment, 1]
+                            held[sid] = [int(least[s : s + 1].view(np.int64)[0]), segment, None, 1]
                     if starts:
                         out_h.append(hs[at + d])
                         out_starts.append(starts)
                         out_sids.append(sids)
                 if out_h:
-                    yield rows(out_h, out_starts, out_sids, [], [], [], [])
+                    yield rows(out_h, out_starts, out_sids, [], [], [], [], [])
                 if len(held) > HELD_SEGMENTS:
                     yield from flush()
         yield from flush()
@@ -177,23 +190,25 @@ def locate(segments: list[tuple[bytes, bytes, int]], window: int) -> Iterator[tu
     """
     import ahocorasick
 
-    letters: dict[bytes, str] = {}
-
-    def letter(word: bytes) -> str:
-        if word not in letters:
-            i = len(letters) + 1
-            letters[word] = chr(i if i < 0xD800 else i + 0x800)
-        return letters[word]
-
-    texts: dict[bytes, tuple[str, int]] = {}
+    letters: dict[bytes, int] = {}
+    texts: dict[bytes, list] = {}  # its words as letters, and how often it is there
     for sid, segment, n in segments:
-        had = texts.get(sid)
-        texts[sid] = (had[0], had[1] + n) if had else ("".join(map(letter, segment.split(b" "))), n)
+        if sid in texts:
+            texts[sid][1] += n
+        else:
+            texts[sid] = [[letters.setdefault(w, len(letters) + 1) for w in segment.split(b" ")], n]
+    if len(letters) <= LETTERS:
+        for t in texts.values():
+            t[0] = "".join([chr(i if i < 0xD800 else i + 0x800) for i in t[0]])
+        automaton = ahocorasick.Automaton()
+    else:
+        for t in texts.values():
+            t[0] = tuple(t[0])
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     found: Counter = Counter()
     for text, n in texts.values():
         for i in range(len(text) - window + 1):
             found[text[i : i + window]] += n
-    automaton = ahocorasick.Automaton()
     for phrase, n in found.items():
         if n > 1:
             automaton.add_word(phrase, 0)
@@ -269,27 +284,37 @@ def _changes(docs: DataFrame, window: int, with_text: bool) -> tuple[DataFrame,
     scratch = Scratch(spark, "substrings")
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", "text")
-    rows = scratch.table(source.mapInArrow(_texts(window), f"doc_id {kind}, h binary, n_words long, all_sha256 string, anchors array<long>"), "rows")
+    rows = scratch.table(source.mapInArrow(_texts(window), f"doc_id {kind}, h binary, n_words long, all_sha256 string, anchors array<long>, times array<long>"), "rows")
     long = rows.where(F.col("n_words") >= window)
-    texts = scratch.table(long.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.first("anchors").alias("anchors")), "texts")
+    texts = scratch.table(long.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.first("anchors").alias("anchors"), F.first("times").alias("times")), "texts")
 
     # written, as other right sides of joins below: Spark splits large partitions of plain shuffles only
-    recurring = scratch.table(texts.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor"), "recurring")
-    held = texts.select("h", F.explode(F.array_distinct("anchors")).alias("anchor")).join(recurring, "anchor")
-    wanted = held.groupBy("h").agg(F.collect_list("anchor").alias("anchors")).join(texts.select("h", "first_id"), "h")
+    placed = texts.select("h", F.explode(F.arrays_zip("anchors", "times")).alias("a")).select("h", F.col("a.anchors").alias("anchor"), F.col("a.times").alias("times"))
+    summed = placed.groupBy("anchor").agg(F.sum("times").alias("places")).where("places > 1")
+    recurring = scratch.table(summed.select("anchor", (F.col("places") > ANCHOR_PLACES).alias("often")), "recurring")
+    held = placed.select("h", "anchor").join(recurring, "anchor")
+    listed = held.groupBy("h").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("often"), F.col("anchor"))).alias("frequent"))
+    wanted = listed.join(texts.select("h", "first_id"), "h")
     # a text is found again by its digest; the doc_id beside it keeps copies under other ids apart
     named = source.withColumn("text_", F.col("text")).mapInArrow(_hashed(["doc_id", "text"]), f"doc_id {kind}, text string, h_ binary")
     same = (F.col("h_") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    some = scratch.table(named.join(wanted.hint("shuffle_hash"), same).select("h", "text", "anchors"), "some")
+    some = scratch.table(named.join(wanted.hint("shuffle_hash"), same).select("h", "text", "anchors", "frequent"), "some")
 
     found = scratch.table(some.mapInArrow(_segments(window), _SEGMENT_SCHEMA), "segments")
     shards = found.where("anchor is not null").select("anchor", "sid", "segment", "n").repartition("anchor").sortWithinPartitions("anchor")
     spans = scratch.table(shards.mapInArrow(_located(window), "sid binary, spans array<int>"), "spans")
-    places = found.where("anchor is null").select("h", F.explode(F.arrays_zip("starts", "sids")).alias("p")).select("h", F.col("p.starts").alias("start"), F.col("p.sids").alias("sid"))
+    windows = found.where("windows is not null").select("sid", "n", F.posexplode("windows").alias("at", "window"))
+    twice = scratch.table(windows.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window"), "twice")
+    covered = windows.select("sid", "at", "window").join(twice, "window").groupBy("sid").agg(F.collect_set("at").alias("at"))  # windows of one segment
+    split = scratch.table(covered.select("sid", F.flatten(F.transform("at", lambda i: F.array(i, i + window))).alias("spans")), "split")
+    spans = spans.unionByName(split)
+    places = found.where("h is not null").select("h", F.explode(F.arrays_zip("starts", "sids")).alias("p")).select("h", F.col("p.starts").alias("start"), F.col("p.sids").alias("sid"))
     hit = places.distinct().join(spans, "sid").groupBy("h").agg(F.collect_list(F.struct("start", "spans")).alias("spans"))
     schema = "h binary, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     cut = some.select("h", "text").join(hit.hint("shuffle_hash"), "h").mapInArrow(_cut(with_text), schema).dropDuplicates(["h"])
     changed = scratch.table(texts.select("h", "copies").join(cut, "h", "left").where("copies > 1 or n_removed is not null"), "changed")
+    for name in ("texts", "recurring", "some", "segments", "spans", "twice", "split"):
+        scratch.drop(name)
     return rows.select("doc_id", "h", "n_words", "all_sha256"), changed
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from contractlens.llm import chat, common, license_scan, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts, topk
 from contractlens.llm.components import components
+from tests.llm.conftest import PASSAGE
 from tests.llm.conftest import words as noise
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -583,3 +584,24 @@ def test_training_bound_holds_for_repeated_ids_and_long_texts(spark, monkeypatch
     seen.clear()
     quality_classifier.fit(own, labels)
     assert max(n.max() for _, n in seen[0]) >= 69_999
+
+
+@pytest.mark.parametrize("places", [0, 3, 256])
+def test_frequent_anchors_are_split(spark, monkeypatch, places):
+    """A few common words, and a passage just short of a window, in many surroundings; a third of the rows hold them."""
+    monkeypatch.setattr(substring_dedup, "ANCHOR_PLACES", places)
+    notice, nearly, whole = noise(8, 700), noise(34, 701), noise(50, 702)
+    texts = [(i, f"{noise(30, 1000 + i)} {notice} {noise(30, 2000 + i)}") for i in range(60)]
+    texts += [(100 + i, f"{noise(10, 3000 + i)} {nearly} {noise(10, 4000 + i)}") for i in range(30)]
+    texts += [(200 + i, f"{noise(5 + i, 5000 + i)} {whole} {noise(5, 6000 + i)}") for i in range(5)]
+    texts += [(300, " ".join(f"{noise(20, 7000 + k)} {notice}" for k in range(40))), (301, f"{whole} " * 3), (302, notice + " " + whole)]
+    own = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    want = Counter((i, len(w), len(w) - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for i, w, k in plain_kept(texts, 35))
+    assert multiset(substring_dedup.repeated_words(own).collect()) == want
+
+
+def test_more_words_than_letters(monkeypatch):
+    rows = [(bytes([k]), f"{noise(20, 800 + k)} {PASSAGE} {noise(9, 900 + k)}".encode(), 1) for k in range(3)] + [(b"x", noise(40, 950).encode(), 2)]
+    want = list(substring_dedup.locate(rows, 35))
+    monkeypatch.setattr(substring_dedup, "LETTERS", 5)
+    assert list(substring_dedup.locate(rows, 35)) == want and len(want) == 4
