@@ -38,7 +38,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_documents(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+    return sentencepiece_codec.encode_documents(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), spans=True, ids=False)
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,8 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_re
 windows as (select r, i, array_to_string(w[i:i + 7], ' ') as k from (select r, w, unnest(range(1, len(w) - 6)) as i from words where len(w) >= 8)),
 twice as (select r, k from windows group by r, k having count(*) > 1),
 covered as (select r, count(*) as n_repeat_words from (select distinct r, p from (select r, unnest(range(i, i + 8)) as p from windows join twice using (r, k))) group by r),
-lines as (select r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) as l from words),
+lines as (select r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) as l from words),
 m as (
   select doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
     len(l) - len(list_distinct(l)) as n_dup_lines, len(l) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as n_letters,

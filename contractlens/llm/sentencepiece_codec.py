@@ -3,7 +3,7 @@
 A model file is read as plain protobuf fields.  Text is normalised by longest prefix through the
 compiled character map (a double-array trie and a pool of replacements), each normalised byte
 remembering the original byte it comes from; every piece is then projected to a span of original
-bytes.  A map without entries takes a short way with the same alignment.
+bytes.  Without a map only spaces change, so the alignment is a sum of the pieces' original sizes.
 
 Merges are made chunk by chunk: a chunk is a run of space marks and what follows up to the next
 one.  That is exact where no piece holds a mark after another character, which is verified for the
@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from contractlens.llm.common import small_batches
 
 MARK = "▁"
+_MARK = MARK.encode()
 #: Entries of a worker's cache of chunks, none longer than CACHED_CHARS.
 CACHE = 400_000
 CACHED_CHARS = 48
@@ -139,6 +141,11 @@ class Model:
         self.unknown = self.types.index(UNKNOWN)
         self.end = self.id_of.get("</s>", -1)
         self.byte_ids = [self.id_of.get(f"<0x{b:02X}>", self.unknown) for b in range(256)]
+        #: The text of each id, None where it depends on its neighbours; an ASCII byte is a character whatever stands beside it.
+        self.surface = [p.replace(MARK, " ") if t == NORMAL else "" if t == CONTROL else None for p, t in zip(self.pieces, self.types, strict=True)]
+        for b in {*range(128)} - {32}:
+            if self.types[self.byte_ids[b]] == BYTE:
+                self.surface[self.byte_ids[b]] = chr(b)
         self.chunked = self.escape and not any(MARK in p.lstrip(MARK) for p in self.score_of)
 
     @classmethod
@@ -204,10 +211,7 @@ class Model:
         if len(parts) > SHORT:
             return self._merge_long(parts)
         pairs = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        while pairs:
-            best = max(pairs)
-            if best == none:
-                break
+        while pairs and (best := max(pairs)) > none:
             i = pairs.index(best)
             parts[i] += parts.pop(i + 1)
             del pairs[i]
@@ -291,6 +295,15 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks are spaces, byte runs are UTF-8, one space of the dummy prefix goes."""
+        if self.remove_extra:
+            return self._decode_each(ids)
+        try:
+            whole = "".join(map(self.surface.__getitem__, ids))
+        except TypeError:  # bytes of longer characters, or unknown pieces
+            return self._decode_each(ids)
+        return whole.removeprefix(" ") if self.dummy_prefix else whole
+
+    def _decode_each(self, ids: list[int]) -> str:
         out: list[str] = []
         run = bytearray()
         first = True
@@ -350,22 +363,27 @@ class ChunkCache(dict):
 
 
 def plain_chunks(m: Model, text: str) -> list[str] | None:
-    """The chunks of a text that normalising would not change but for its marks; else None."""
+    """The chunks of a text whose normalising is a mark for each space and one before it; else None."""
     if m.chars or m.remove_extra or not (m.chunked and m.dummy_prefix) or MARK in text:
         return None
-    return [MARK + p for p in text.split(" ")] if text and "  " not in text and text[0] != " " and text[-1] != " " else None
+    if text and "  " not in text and text[0] != " " and text[-1] != " ":
+        return [MARK + p for p in text.split(" ")]
+    return m.chunks(MARK + text.replace(" ", MARK)) if text else []
 
 
 def _chunk(m: Model):
-    decimal = {p: b"%d" % m.id_of[p] for p in m.score_of}
+    known = {p: (b"%d" % m.id_of[p], m.id_of[p], len(p.encode()) - 2 * p.count(MARK)) for p in m.score_of}
 
-    def make(chunk: str) -> tuple[bytes, str]:
-        """Decimal ids, and the decoded text with all its spaces."""
+    def make(chunk: str) -> tuple[bytes, bytes, bytes]:
+        """Decimal ids, ids, and the original bytes of each id's piece, where each mark stands for a space."""
         try:
-            return b" ".join([decimal[p] for p in m.merge(chunk)]), chunk.replace(MARK, " ")
+            decimal, ids, sizes = zip(*[known[p] for p in m.merge(chunk)], strict=True)
         except KeyError:  # some character is unknown
-            ids = m.ids(chunk)[0]
-            return b" ".join([b"%d" % i for i in ids]), m.decode([m.unknown, *ids])[len(m.unknown_text) :]
+            ids, ends = m.ids(chunk)
+            raw = chunk.encode()
+            sizes = [b - a - 2 * raw.count(_MARK, a, b) for a, b in zip([0, *ends], ends, strict=False)]
+            decimal = [b"%d" % i for i in ids]
+        return b" ".join(decimal), array("i", ids).tobytes(), array("i", sizes).tobytes()
 
     return make
 
@@ -373,52 +391,64 @@ def _chunk(m: Model):
 _chunk_caches: dict[str, ChunkCache] = {}
 
 
-def _encoded(path: str, spans: bool):
+def encoder(path: str):
+    """text -> (decimal ids, ids, starts, ends) with the end id; starts and ends are offsets of its UTF-8 bytes."""
+    m = model(path)
+    get = _chunk_caches.setdefault(path, ChunkCache(_chunk(m))).__getitem__
+    end = b"%d" % m.end
+
+    def encode(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        chunks, size = plain_chunks(m, text), len(text.encode())
+        if chunks is None:
+            own, where = m.encode(text)
+            ids = np.array([*own, m.end], dtype=np.int32)
+            starts, ends = np.array([*where, (size, size)], dtype=np.int32).T
+            return b" ".join([b"%d" % i for i in ids.tolist()]), ids, starts, ends
+        got = [get(c) for c in chunks]
+        ids = np.frombuffer(b"".join([g[1] for g in got]), dtype=np.int32)
+        ends = np.empty(len(ids) + 1, dtype=np.int32)
+        np.cumsum(np.frombuffer(b"".join([g[2] for g in got]), dtype=np.int32), out=ends[:-1])
+        ends[:-1] -= 1  # the first mark stands for no space
+        ends[-1] = size
+        starts = np.empty_like(ends)
+        starts[0], starts[1:] = 0, ends[:-1]
+        return b" ".join([*(g[0] for g in got), end]), np.append(ids, np.int32(m.end)), starts, ends
+
+    return encode
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    edges = np.zeros(len(parts) + 1, dtype=np.int32)
+    np.cumsum([len(p) for p in parts], out=edges[1:])
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+
+
+def _encoded(path: str, spans: bool, ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        get = _chunk_caches.setdefault(path, ChunkCache(_chunk(m))).__getitem__
-        end = b"%d" % m.end
+        m, encode = model(path), encoder(path)
         for batch in batches:
-            n, ids_sha, text_sha, ids_out, starts, stops = [], [], [], [], [], []
+            got, ids_sha, text_sha = [], [], []
             for text in batch.column("text").to_pylist():
-                text = text or ""
-                plain = None if spans else plain_chunks(m, text)
-                got = [get(c) for c in (m.chunks(m.normalise(text)[0]) if plain is None else plain)] if not spans else None
-                if spans:
-                    ids, where = m.encode(text)
-                    ids.append(m.end)
-                    where.append((len(text.encode()),) * 2)
-                    ids_out.append(ids)
-                    starts.append([a for a, _ in where])
-                    stops.append([b for _, b in where])
-                    joined, decoded = b" ".join(b"%d" % i for i in ids), m.decode(ids)
-                else:
-                    joined = b" ".join([*(g[0] for g in got), end])
-                    decoded = "".join([g[1] for g in got])
-                    if m.dummy_prefix or m.remove_extra:
-                        decoded = decoded.lstrip(" ") if m.remove_extra else decoded.removeprefix(" ")
-                n.append(joined.count(b" ") + 1)
+                joined, *rest = encode(text or "")
+                got.append(rest)
                 ids_sha.append(hashlib.sha256(joined).hexdigest())
-                text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                text_sha.append(hashlib.sha256(m.decode(rest[0].tolist()).encode()).hexdigest())
+            columns = [batch.column("doc_id"), pa.array([len(g[0]) for g in got], pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if spans:
-                kind = pa.list_(pa.int32())
-                columns += [pa.array(ids_out, kind), pa.array(starts, kind), pa.array(stops, kind)]
-                names += ["ids", "starts", "ends"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            more = ["ids"] * ids + ["starts", "ends"] * spans
+            columns += [_lists([g[("ids", "starts", "ends").index(c)] for g in got]) for c in more]
+            yield pa.RecordBatch.from_arrays(columns, names + more)
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, spans: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; with spans also ids, starts and ends (byte offsets)."""
+def encode_documents(docs: DataFrame, path: str, spans: bool = False, ids: bool | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; with spans also ids (unless they are declined), starts and ends (byte offsets)."""
     small_batches(docs.sparkSession)
+    ids = spans if ids is None else ids
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    if spans:
-        schema += ", ids array<int>, starts array<int>, ends array<int>"
-    return docs.select("doc_id", "text").mapInArrow(_encoded(path, spans), schema)
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", starts array<int>, ends array<int>" * spans
+    return docs.select("doc_id", "text").mapInArrow(_encoded(path, spans, ids), schema)
 
 
 def _decoded(path: str):

@@ -605,3 +605,77 @@ def test_more_words_than_letters(monkeypatch):
     want = list(substring_dedup.locate(rows, 35))
     monkeypatch.setattr(substring_dedup, "LETTERS", 5)
     assert list(substring_dedup.locate(rows, 35)) == want and len(want) == 4
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_unknown_runs_count_as_the_library_counts_them(tokenizers, fallback):
+    sp = pytest.importorskip("sentencepiece")
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    proto = pb.ModelProto.FromString(open(tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    proto.trainer_spec.model_type = 1
+    for p in proto.pieces:
+        p.score = max(p.score, -40_000.0)
+        if not fallback and p.type == 6:
+            p.type = 1
+    proto.trainer_spec.byte_fallback = fallback
+    lib, own = sp.SentencePieceProcessor(model_proto=proto.SerializeToString()), sentencepiece_codec.Model(proto.SerializeToString())
+    search = token_counts.Viterbi(own)
+    for t in ["🙂", "🙂🙃🙂", "a🙂🙃 🙂b 🙃🙂", "🙂 🙂", "x🙂y🙃z", "⿕⿔ ⿓"]:
+        assert sum(search.count(c)[0] for c in own.chunks(own.normalise(t)[0])) == len(lib.encode(t)), t
+
+
+def test_spans_are_on_the_main_path(spark, docs, texts, tokenizers):
+    """The query's own columns: spans of the library for every text, and no text lost between them."""
+    sp = pytest.importorskip("sentencepiece")
+    path = tokenizers.path("piece_bpe_32k.model")
+    lib = sp.SentencePieceProcessor(model_file=path)
+    more = [*texts, (900, "  lead and tail  "), (901, "▁ mark ▁▁"), (902, "🙂 🙂🙂\n\n"), (903, "日本 語 é"), (904, " "), (905, "word " * 60_000)]
+    own = spark.createDataFrame(more, "doc_id long, text string").repartition(3)
+    got = multiset((r["doc_id"], r["n_tokens"], tuple(r["starts"]), tuple(r["ends"])) for r in sentencepiece_codec.encode_documents(own, path, spans=True, ids=False).collect())
+    want = Counter()
+    for i, t in more:
+        pieces = lib.encode(t or "", return_type="proto").pieces
+        size = len((t or "").encode())
+        want[i, len(pieces) + 1, (*(p.begin for p in pieces), size), (*(p.end for p in pieces), size)] += 1
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chat_equals_its_sql_on_nested_quotes(spark, tmp_path, seed):
+    """Generated conversations: replies quote whole messages, single lines and quotes of quotes, some reworded or from nowhere."""
+    import random
+
+    import duckdb
+
+    from contractlens.llm import queries
+    from tests.harness import rows_of
+
+    r = random.Random(seed)
+    rows = []
+    for conv in range(12):
+        said: list[list[str]] = []
+        for turn in range(r.randint(1, 14)):
+            lines = []
+            for _ in range(r.randint(0, 2) if said else 0):
+                source = r.choice(said)
+                part = source if r.random() < 0.6 else [r.choice(source)]
+                mark = r.choice([">", "> ", " >", ">> ", "> > "])
+                lines += [mark + (x.upper() if r.random() < 0.2 else x) for x in part]
+            if r.random() < 0.1:
+                lines.append("> nobody said this")
+            own = [" ".join(noise(r.randint(1, 4), r.randint(0, 60)).split()) for _ in range(r.randint(1, 3))]
+            lines += own + [""] * r.randint(0, 1)
+            rows.append((conv, turn, r.choice(["user", "assistant", None]), "\n".join(lines)))
+            said.append(lines)
+    rows.append((20, 0, "user", "a long message " * 20_000))
+    rows.append((20, 1, "user", "> " + "a long message " * 20_000 + "\nso it is"))
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    df.toPandas().to_parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op6_chat_formatting(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet'")
+    asked = c.execute(queries.ORACLE_SQL["op6_chat_formatting"])
+    columns = [d[0] for d in asked.description]
+    have = rows_of(got.columns, [tuple(x) for x in got.collect()])
+    assert have == rows_of(columns, asked.fetchall())
+    assert got.where("parent_turn is not null").count() > 20 and got.where("depth > 1").count() > 3
