@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contractlens.functions.text import matches
+from contractlens.functions.text import UNICODE, matches, squeeze
 
 # Patterns and numbers (fixed values).
 NUMBER_WORD = r"(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|fifteen|eighteen|twenty|twenty[- ]four|twenty[- ]five|thirty|thirty[- ]six|forty|fifty)"
@@ -36,7 +36,7 @@ DEPOSIT_THEN_MONTHS = r"deposit[^.\n]{0,100}?\b" + _NUMBER + _OF_RENT
 MONTHS_THEN_DEPOSIT = r"\b" + _NUMBER + _OF_RENT + r"[^.\n]{0,40}?deposit"
 DEPOSIT_MONEY = r"security\s+deposit[^.\n\d]{0,40}?(?:rs\.?|inr|₹)\s*([\d,]+(?:\.\d+)?)"
 RENT_MONEY = (r"monthly\s+rent[^.\n\d]{0,30}?(?:rs\.?|inr|₹)\s*([\d,]+)", r"\brent\b[^.\n\d]{0,30}?(?:rs\.?|inr|₹)\s*([\d,]+)(?:/-)?\s*(?:per\s+month|a\s+month|monthly|p\.?\s?m\.?)")
-#: What cuts a window: a numbered heading on a new line, or an empty line.
+#: What cuts a window: a numbered heading on a new line, or an empty line (a fixed value).
 BOUNDARY = r"\n\s*(?:\d{1,2}[.)]\s|\n)"
 WINDOW = 200
 
@@ -45,13 +45,45 @@ def _all(x: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(x, F.lit("(?iuU)" + pattern), F.lit(group))
 
 
-def in_provision(x: Column, lead: str, near: str, window: int = WINDOW) -> Column:
-    """Whether near stands within a window of characters of lead, with no provision's boundary between."""
-    marked = F.regexp_replace(x, "(?U)" + BOUNDARY, "\x01$0")
-    provisions = F.split(marked, "\x01")
-    gap = "(?s).{0,%d}?" % window
-    either = f"(?:{lead}){gap}(?:{near})|(?:{near}){gap}(?:{lead})"
-    return F.exists(provisions, lambda p: matches(p, either))
+def windows(x: Column, lead: str, width: int = WINDOW) -> Column:
+    """The text around each match of lead: up to width characters on either side, cut at the nearest boundary."""
+    # the signs mark where a lead begins and ends, and boundaries; they keep the texts' lengths
+    plain = F.translate(x, "\x01\x02\x03", "   ")
+    pieces = F.split(F.regexp_replace(plain, "(?iuU)" + lead, "\x01$0\x02"), "\x01")
+    none = F.array().cast("array<struct<at:int,size:int>>")
+
+    def step(acc: Column, piece: Column) -> Column:
+        size = F.instr(piece, "\x02") - 1
+        at = F.array(F.struct(acc["at"].alias("at"), size.alias("size")))
+        return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["leads"], at).alias("leads"))
+
+    start = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), none.alias("leads"))
+    leads = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda acc: acc["leads"])
+    cut = lambda part: F.regexp_replace(part, UNICODE + BOUNDARY, "\x03")
+
+    def around(m: Column) -> Column:
+        first = F.greatest(m["at"] - width, F.lit(0))
+        left = F.substring(plain, first + 1, m["at"] - first)
+        right = F.substring(plain, m["at"] + m["size"] + 1, F.lit(width))
+        return F.concat(F.substring_index(cut(left), "\x03", -1), F.substring(plain, m["at"] + 1, m["size"]), F.substring_index(cut(right), "\x03", 1))
+
+    return F.transform(leads, around)
+
+
+def shown_near(x: Column, lead: str, near: str, width: int = WINDOW) -> Column:
+    """The first window of lead that holds near, squeezed; null without one."""
+    return F.get(F.transform(F.filter(windows(x, lead, width), lambda w: matches(w, near)), squeeze), F.lit(0))
+
+
+def in_provision(x: Column, lead: str, near: str, width: int = WINDOW) -> Column:
+    """Whether near stands in the window of some lead."""
+    return F.exists(windows(x, lead, width), lambda w: matches(w, near))
+
+
+def mention(x: Column, pattern: str) -> Column:
+    """The first match with 60 characters before and 100 after it, squeezed; null without one."""
+    found = F.regexp_extract(x, "(?iuUs).{0,60}?(?:" + pattern + ").{0,100}", 0)
+    return F.when(found != "", squeeze(found))
 
 
 def _number(raw: Column) -> Column:
@@ -108,3 +140,17 @@ def read_document(text: Column, doc_type: Column) -> Column:
         "doc__notice_period_mentioned": matches(x, NOTICE),
     }
     return F.struct(*(F.when(doc_type == kind, values[f]).alias(f) for f, kind in FACTS.items()))
+
+
+#: What shows a boolean fact, where words do.
+CONTEXTS = {
+    "doc__penal_charge_quantified": (PENAL, AMOUNT), "doc__penal_quantum_withheld": (PENAL, WITHHELD), "doc__prepayment_charge_quantified": (PREPAYMENT, AMOUNT),
+    "doc__kfs_present": (KEY_FACTS, None), "doc__registration_mentioned": (REGISTRATION, None), "doc__notice_period_mentioned": (NOTICE, None),
+}
+
+
+def read_contexts(text: Column, doc_type: Column) -> Column:
+    """A struct of the words that show each boolean fact; null where there are none."""
+    x = F.coalesce(text, F.lit(""))
+    shown = {f: mention(x, lead) if near is None else shown_near(x, lead, near) for f, (lead, near) in CONTEXTS.items()}
+    return F.struct(*(F.when(doc_type == FACTS[f], c).alias(f) for f, c in shown.items()))

@@ -16,8 +16,8 @@ TRAINING_COST = r"(?:cost\s+of\s+training|training\s+cost|cost\s+of\s+the\s+trai
 NOT_NEGOTIABLE = r"(?:not\s+negotiable|non-?negotiable|under\s+any\s+circumstance|cannot\s+be\s+waived|no\s+\w+\s+can\s+waive|mandatory)"
 PLACEHOLDER = r"\[[A-Za-z][^\]\n]{2,40}\]"
 PLACEHOLDER_ALLOWED = r"^(?:sic|\.\.\.|etc|see|and|or|the\s+company|emphasis\s+added)$"
-DAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
-DAY_RANGE = r"({d})\s*(?:-|to|–|—)\s*({d})".format(d="|".join(DAYS))
+DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+DAY_RANGE = r"(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\s*(?:-|to|–|—)\s*(monday|tuesday|wednesday|thursday|friday|saturday|sunday)"
 TIME_RANGE = r"(\d{1,2})[:.](\d{2})\s*(am|pm)?\s*(?:-|to|–|—)\s*(\d{1,2})[:.](\d{2})\s*(am|pm)?"
 SETTLEMENT = r"(?:full\s+and\s+final\s+settlement|final\s+settlement|experience\s+certificate|relieving\s+letter|service\s+certificate)"
 CONDITIONAL = r"(?:is\s+mandatory|only\s+(?:upon|after|if)|subject\s+to|shall\s+not\s+be\s+(?:issued|released|paid)|withheld|conditional\s+upon|required\s+(?:to|in\s+order)\s+to\s+receive)"

@@ -12,11 +12,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from contractlens.functions.scratch import Scratch
 from contractlens.functions.text import count_present
 from contractlens.operators import evalstats
+from contractlens.operators.curate import numbered
 
 #: Markers (fixed values).
 STRONG = [
@@ -43,9 +43,8 @@ def held_out(rows: DataFrame, key: str, share: float = HELD_OUT) -> DataFrame:
     """
     place = F.struct(F.xxhash64(F.col(key), F.lit(42)).alias("hash"), F.col(key).alias("key"))
     keys = rows.select(F.col("label").alias("_label"), place.alias("_last"))
-    nth = F.row_number().over(Window.partitionBy("_label").orderBy("_last"))
-    least = F.floor(F.count(F.lit(1)).over(Window.partitionBy("_label")) * share)
-    last = keys.select("_label", "_last", (nth <= least).alias("held")).where("held").groupBy("_label").agg(F.max("_last").alias("_last"))  # a row for each label
+    placed = numbered(keys, "_label", F.col("_last"), "nth", F.shiftright(F.col("_last.hash"), 56))
+    last = placed.where(F.col("nth") <= F.floor(F.col("n") * share)).groupBy("_label").agg(F.max("_last").alias("_last"))  # a row for each label
     marked = rows.join(F.broadcast(last), F.col("label").eqNullSafe(F.col("_label")), "left")
     return marked.withColumn("test", F.coalesce(place <= F.col("_last"), F.lit(False))).drop("_label", "_last")
 

@@ -88,24 +88,46 @@ PROFILES = {
     "employment": {
         "slug": "employment", "label": "Employment Offer Letter", "jurisdiction": "IN", "version": 1,
         "corpus": [{"id": "ica_1872", "path": "employment/indian_contract_act_1872.txt"}, {"id": "sra_1963", "path": "employment/specific_relief_act_1963.txt"}, {"id": "copyright_1957", "path": "employment/copyright_act_1957.txt"}],
-        "taxonomy": "compensation_structure probation_and_confirmation notice_period employment_bond non_compete non_solicit confidentiality ip_assignment working_hours_and_leave termination_grounds garden_leave variable_pay_clawback dispute_resolution boilerplate".split(),
+        "taxonomy": [
+            "compensation_structure", "probation_and_confirmation", "notice_period", "employment_bond", "non_compete", "non_solicit", "confidentiality", "ip_assignment",
+            "working_hours_and_leave", "termination_grounds", "garden_leave", "variable_pay_clawback", "dispute_resolution", "boilerplate",
+        ],
         "severity_scale": ["none", "low", "medium", "high"],
     },
     "rental": {
         "slug": "rental", "label": "Residential Rental Agreement", "jurisdiction": "IN", "version": 1,
         "corpus": [{"id": "mta_2021", "path": "rental/model_tenancy_act_2021.txt"}, {"id": "tpa_1882", "path": "rental/transfer_of_property_act_1882.txt"}, {"id": "reg_1908", "path": "rental/registration_act_1908.txt"}, {"id": "ica_1872", "path": "rental/indian_contract_act_1872.txt"}],
-        "taxonomy": "rent_and_escalation security_deposit lock_in_period notice_period maintenance_and_repairs entry_and_inspection subletting_and_guests use_restrictions alterations renewal_terms termination_and_eviction dispute_resolution registration_and_stamp_duty boilerplate".split(),
+        "taxonomy": [
+            "rent_and_escalation", "security_deposit", "lock_in_period", "notice_period", "maintenance_and_repairs", "entry_and_inspection", "subletting_and_guests",
+            "use_restrictions", "alterations", "renewal_terms", "termination_and_eviction", "dispute_resolution", "registration_and_stamp_duty", "boilerplate",
+        ],
         "severity_scale": ["none", "low", "medium", "high"],
     },
     "loan": {
         "slug": "loan", "label": "Loan Agreement", "jurisdiction": "IN", "version": 1,
         "corpus": [{"id": "ica_1872", "path": "loan/indian_contract_act_1872.txt"}, {"id": "rbi_penal_2023", "path": "loan/rbi_penal_charges_2023.txt"}],
-        "taxonomy": "interest_rate penal_charges prepayment_and_foreclosure processing_and_fees security_and_collateral guarantor_obligations default_and_acceleration recovery_and_repossession disclosure_and_kfs insurance_bundling assignment_and_securitisation set_off_and_lien dispute_resolution boilerplate".split(),
+        "taxonomy": [
+            "interest_rate", "penal_charges", "prepayment_and_foreclosure", "processing_and_fees", "security_and_collateral", "guarantor_obligations",
+            "default_and_acceleration", "recovery_and_repossession", "disclosure_and_kfs", "insurance_bundling", "assignment_and_securitisation", "set_off_and_lien",
+            "dispute_resolution", "boilerplate",
+        ],
         "severity_scale": ["none", "low", "medium", "high"],
     },
 }
 
 #: Fields that are not boolean.
-KINDS = {f: "double" for f in "deposit_months doc__deposit_months doc__term_months entry_notice_hours escalation_percent garden_leave_days notice_days_employee term_months weekly_hours weekly_hours_net".split()} | {"premises_type": "string"}
+KINDS = {
+    "deposit_months": "double",
+    "doc__deposit_months": "double",
+    "doc__term_months": "double",
+    "entry_notice_hours": "double",
+    "escalation_percent": "double",
+    "garden_leave_days": "double",
+    "notice_days_employee": "double",
+    "term_months": "double",
+    "weekly_hours": "double",
+    "weekly_hours_net": "double",
+    "premises_type": "string",
+}
 #: Fields that only the pattern reader may set (fixed values).
 READER_ONLY = ("weekly_hours", "weekly_hours_net", "unfilled_placeholder", "settlement_conditional", "unpaid_work_period", "material_terms_elsewhere")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from contractlens.functions.scratch import Scratch
 from contractlens.functions.text import sentences, squeeze, tokens
+from contractlens.operators.rulebook import PROFILES
 
 WINDOW_SENTENCES, STRIDE, MIN_CHUNK = 4, 2, 80
 K1, B = 1.5, 0.75
 MIN_SECTION, MIN_SPAN, OPENING = 40, 120, 120
 WIDTHS = (900, 1800, 3200)
+#: Asked terms, over all queries, up to which they are broadcast.
+SMALL_QUERIES = 200_000
 #: A line that opens a section (fixed value).
 MARKER = r"^\s*(?:\d+\[\s*)?(?:section\s+)?(\d+[A-Z]{0,2})\s*[.:\-–—]"
 
@@ -29,34 +33,44 @@ def chunks(acts: DataFrame, flags: str = "(?U)") -> DataFrame:
     return kept.withColumn("over", F.coalesce(F.max(F.col("last").cast("int")).over(first_last), F.lit(0))).where("over = 0").select("corpus_id", "start", "chunk")
 
 
-def postings(passages: DataFrame, key: str = "chunk_id", text: str = "chunk", terms: DataFrame | None = None) -> DataFrame:
-    """(key, term, tf, size): term frequencies and the size of each passage in tokens; of some terms only, if given."""
-    own = passages.select(key, tokens(F.col(text)).alias("t")).withColumn("size", F.size("t"))
-    found = own.select(key, "size", F.explode("t").alias("term"))
-    found = found if terms is None else found.join(terms, "term", "left_semi")
-    return found.groupBy(key, "size", "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(passages: DataFrame, key: str = "chunk_id", text: str = "chunk", terms: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep columns, size, term, tf): term frequencies and the size of each passage in tokens; of some terms only, if given.
+
+    Each passage has a row without a term too, for its size alone, so one pass gives all statistics.
+    """
+    own = passages.select(key, *keep, tokens(F.col(text)).alias("t")).select("*", F.size("t").alias("size"))
+    found = own.select(key, *keep, "size", F.explode(F.concat(F.array(F.lit(None).cast("string")), "t")).alias("term"))
+    if terms is not None:
+        found = found.join(terms.withColumn("asked_", F.lit(True)), "term", "left").where("term is null or asked_").drop("asked_")
+    return found.groupBy(key, *keep, "size", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(passages: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "chunk", pool: Column | None = None, k: int | None = None) -> DataFrame:
-    """queries (query_id, query) against passages: (query_id, key, score, rank), score over zero, ties to the smaller key.
+def bm25(passages: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "chunk", pool: Column | None = None, k: int | None = None, within: str | None = None) -> DataFrame:
+    """queries (query_id, query) against passages: (query_id, key, score, rank), raw scores over zero ranked, ties to the smaller key.
 
-    Statistics are of all passages even where a pool restricts what is returned.  The shuffle is
-    on terms, and each query holds its own; a repeated query term counts as often.
+    Statistics are of all passages even where a pool, or a column that query and passage must share,
+    restricts what is returned.  Texts are read once; up to SMALL_QUERIES asked terms are broadcast,
+    so that a term of every passage makes no large group.  A repeated query term counts as often.
+    The weights of a pair are summed in the order of its terms: equal passages tie exactly.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    post = postings(passages, key, text, asked.select("term").distinct())  # before the shuffle
-    totals = passages.select(F.size(tokens(F.col(text))).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    scratch = Scratch(passages.sparkSession, "bm25")
+    both = [within] if within else []
+    asked = scratch.table(queries.select("query_id", *both, F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", *both, "term").agg(F.count(F.lit(1)).alias("times")), "asked")
+    few = F.broadcast if asked.count() <= SMALL_QUERIES else (lambda df: df)
+    post = scratch.table(postings(passages, key, text, few(asked.select("term").distinct()), tuple(both)), "postings")
+    totals = post.where("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
+    df = post.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    # the totals are one row, the terms asked for are few beside the postings
-    hits = post.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(totals))
-    scored = hits.groupBy("query_id", key).agg(F.sum(F.col("times") * idf * weight).alias("raw")).where("raw > 0")
+    known = scratch.table(asked.join(df, "term").crossJoin(F.broadcast(totals)), "known")  # totals are one row
+    hits = post.where("term is not null").join(few(known), ["term", *both])
     if pool is not None:
-        scored = scored.join(passages.where(pool).select(key), key, "left_semi")
-    scored = scored.withColumn("score", F.round("raw", 3))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
-    return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", key, "score", "rank")
+        hits = hits.join(passages.where(pool).select(key), key, "left_semi")
+    parts = F.sort_array(F.collect_list(F.struct("term", (F.col("times") * idf * weight).alias("w"))))  # terms of one query
+    raw = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["w"])
+    scored = hits.groupBy("query_id", key).agg(raw.alias("raw")).where("raw > 0")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), key)))
+    return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", key, F.round("raw", 3).alias("score"), "rank")
 
 
 def sections(acts: DataFrame) -> DataFrame:
@@ -93,24 +107,32 @@ def widened(span: Column, anchors: Column) -> Column:
     return out
 
 
+def canonical(corpus_id: Column) -> Column:
+    """The short id of an act that is named by its file's stem; others stay as they are."""
+    stems = {c["path"].rsplit("/", 1)[-1].rsplit(".", 1)[0]: c["id"] for p in PROFILES.values() for c in p["corpus"]}
+    return F.coalesce(*(F.when(corpus_id == stem, F.lit(own)) for stem, own in sorted(stems.items())), corpus_id)
+
+
 def cite(findings: DataFrame, acts: DataFrame) -> DataFrame:
     """findings with source and anchors get citation_source and citation_span.
 
-    A section is looked up; where there is none the best passage by BM25 of the act answers the
-    query, the provision or the act's name.
+    acts (corpus_id, text), named by their short ids or by the stems of their files.  A section is
+    looked up; where there is none the best passage by BM25 of that act answers the query, the
+    provision or the act's name.
     """
+    acts = acts.withColumn("corpus_id", canonical(F.col("corpus_id")))
     found = sections(acts)
-    hit = findings.join(found.select(F.col("corpus_id").alias("c_"), F.col("section").alias("s_"), F.col("span").alias("span_")), (F.col("source.corpus_id") == F.col("c_")) & (F.upper("source.section") == F.col("s_")), "left")
+    act = canonical(F.col("source.corpus_id"))
+    hit = findings.withColumn("act_", act).join(found.select(F.col("corpus_id").alias("c_"), F.col("section").alias("s_"), F.col("span").alias("span_")), (F.col("act_") == F.col("c_")) & (F.upper("source.section") == F.col("s_")), "left")
     ask = F.coalesce("source.query", "source.provision", F.replace(F.col("source.act"), F.lit("_"), F.lit(" ")))
     passages = chunks(acts).withColumn("chunk_id", F.concat_ws("#", "corpus_id", F.lpad(F.col("start").cast("string"), 6, "0")))
-    queries = findings.where("basis <> 'norm'").select(F.col("source.corpus_id").alias("corpus_id"), ask.alias("query")).distinct().withColumn("query_id", F.concat_ws("|", "corpus_id", "query"))
-    ranked = bm25(passages, queries).join(passages.select("chunk_id", F.col("corpus_id").alias("in_"), "chunk"), "chunk_id").join(queries.select("query_id", "corpus_id"), "query_id").where("in_ = corpus_id")
-    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    best = ranked.withColumn("k", F.row_number().over(top)).where("k = 1").select(F.col("query_id").alias("q_"), F.col("chunk").alias("chunk_"))
-    both = hit.withColumn("ask_", F.concat_ws("|", "source.corpus_id", ask)).join(best, F.col("ask_") == F.col("q_"), "left")
+    queries = findings.where("basis <> 'norm'").select(act.alias("corpus_id"), ask.alias("query")).distinct().withColumn("query_id", F.concat_ws("|", "corpus_id", "query"))
+    best = bm25(passages, queries, k=1, within="corpus_id").select(F.col("query_id").alias("q_"), "chunk_id")
+    best = best.join(passages.select("chunk_id", F.col("chunk").alias("chunk_")), "chunk_id").drop("chunk_id")
+    both = hit.withColumn("ask_", F.concat_ws("|", "act_", ask)).join(best, F.col("ask_") == F.col("q_"), "left")
     grounded = F.col("basis") != "norm"
     span = F.when(F.col("span_").isNotNull(), widened(F.col("span_"), F.col("anchors"))).otherwise(F.col("chunk_"))
-    return both.withColumn("citation_span", F.when(grounded, span)).withColumn("citation_source", F.when(grounded & span.isNotNull(), F.concat_ws(" s.", "source.corpus_id", "source.section"))).drop("c_", "s_", "span_", "ask_", "q_", "chunk_")
+    return both.withColumn("citation_span", F.when(grounded, span)).withColumn("citation_source", F.when(grounded & span.isNotNull(), F.concat_ws(" s.", "source.corpus_id", "source.section"))).drop("act_", "c_", "s_", "span_", "ask_", "q_", "chunk_")
 
 
 def reject_reason(basis: Column, section: Column, span: Column, anchors: Column) -> Column:
@@ -132,8 +154,8 @@ def verify(findings: DataFrame) -> DataFrame:
     return out.withColumn("verified", F.col("reason").isNull())
 
 
-def stale(files: DataFrame, indexed: DataFrame, built_at: Column) -> Column:
-    """Whether an index (stem) of files (stem, modified) is out of date, as a one-row DataFrame's value."""
+def stale(files: DataFrame, indexed: DataFrame, built_at: Column) -> bool:
+    """Whether an index (stem) of files (stem, modified) is out of date."""
     newer = files.where(F.col("modified") > built_at).limit(1)
     differ = files.select("stem").exceptAll(indexed.select("stem")).unionByName(indexed.select("stem").exceptAll(files.select("stem"))).limit(1)
     return bool(newer.count() or differ.count())
@@ -151,6 +173,55 @@ def propose_anchor(candidates: DataFrame) -> DataFrame:
     return shown.groupBy("rule_id").agg(F.min_by("phrase", "ord").alias("anchor"))
 
 
+def save_index(acts: DataFrame, path: str) -> None:
+    """The index of acts (corpus_id, text): sections, passages and their postings, as tables below a folder."""
+    sections(acts).write.mode("overwrite").parquet(f"{path}/sections")
+    passages = chunks(acts).withColumn("chunk_id", F.concat_ws("#", "corpus_id", F.lpad(F.col("start").cast("string"), 6, "0")))
+    passages.write.mode("overwrite").parquet(f"{path}/passages")
+    postings(acts.sparkSession.read.parquet(f"{path}/passages")).write.mode("overwrite").parquet(f"{path}/postings")
+
+
+class Index:
+    """A saved index; statistics are fitted anew from the stored postings when it is loaded."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.sections, self.passages, self.postings = (spark.read.parquet(f"{path}/{name}") for name in ("sections", "passages", "postings"))
+
+    def statistics(self) -> DataFrame:
+        """(term, df, n, mean): document frequencies beside the number of passages and their mean size."""
+        totals = self.postings.where("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
+        return self.postings.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals))  # totals are one row
+
+    def lookup(self, corpus_id: str, section: str) -> DataFrame:
+        """(corpus_id, section, span) of a section."""
+        return self.sections.where((F.col("corpus_id") == canonical(F.lit(corpus_id))) & (F.col("section") == section.upper())).select("corpus_id", "section", "span")
+
+    def search(self, query: str, k: int = 5) -> DataFrame:
+        """(rank, chunk_id, corpus_id, chunk, score) of the best passages."""
+        asked = self.passages.sparkSession.createDataFrame([("q", query)], "query_id string, query string")
+        found = bm25(self.passages, asked, k=k).select("rank", "chunk_id", "score")
+        return found.join(self.passages.select("chunk_id", "corpus_id", "chunk"), "chunk_id").select("rank", "chunk_id", "corpus_id", "chunk", "score")
+
+    def stale(self, files: DataFrame, built_at: Column) -> bool:
+        """Whether files (stem, modified) are newer than the index or others than its acts."""
+        return stale(files.withColumn("stem", canonical(F.col("stem"))), self.passages.select(F.col("corpus_id").alias("stem")).distinct(), built_at)
+
+
+def poisoned(findings: DataFrame) -> DataFrame:
+    """Grounded findings with citations made wrong in each of three ways, for the verifier to reject.
+
+    ``poison`` names the way: the text of another section (where one is cited), a heading alone,
+    words without an anchor (where there is one).
+    """
+    grounded = findings.where("basis <> 'norm' and citation_span is not null")
+    other = F.concat(F.lit("999. "), F.regexp_replace("citation_span", r"^\s*\S+\s*", ""))
+    head = F.left("citation_span", F.lit(40))
+    bare = F.concat(F.coalesce("source.section", F.lit("1")), F.lit(". "), F.repeat(F.lit("nothing of the kind is said here; "), F.lit(8)))
+    way = lambda name, span: F.struct(F.lit(name).alias("poison"), span.alias("span"))
+    ways = F.array_compact(F.array(F.when(F.col("source.section").isNotNull(), way("other section", other)), way("heading alone", head), F.when(F.size("anchors") > 0, way("no anchor", bare))))
+    return grounded.withColumn("way", F.explode(ways)).withColumn("citation_span", F.col("way.span")).withColumn("poison", F.col("way.poison")).drop("way")
+
+
 def tool_views(acts: DataFrame) -> None:
     """Views that answer a lookup by corpus and section, and a table of passages to search."""
     sections(acts).createOrReplaceTempView("statute_sections")

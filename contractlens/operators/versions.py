@@ -27,9 +27,12 @@ def exact_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def candidates(old: DataFrame, new: DataFrame) -> DataFrame:
     """Pairs of a document's clauses that share a heading word or a token, with both similarities."""
-    o = old.select("doc_id", F.col("idx").alias("old_idx"), F.col("key").alias("old_key"), F.col("tokens").alias("old_tokens"))
+    o = old.select(F.col("doc_id").alias("o_doc"), F.col("idx").alias("old_idx"), F.col("key").alias("old_key"), F.col("tokens").alias("old_tokens"))
     n = new.select("doc_id", F.col("idx").alias("new_idx"), F.col("key").alias("new_key"), F.col("tokens").alias("new_tokens"))
-    pairs = o.join(n, "doc_id")  # clauses of one document on both sides, which a document bounds
+    # clauses of one document on both sides, which a document bounds; sizes rule most pairs out before sets are compared
+    least = lambda a, b, share: F.least(F.size(a), F.size(b)) >= share * F.greatest(F.size(a), F.size(b))
+    near = least("old_tokens", "new_tokens", BODY_MIN) | ((F.size("old_key") > 0) & least("old_key", "new_key", HEADING_MIN))
+    pairs = o.join(n, (F.col("o_doc") == F.col("doc_id")) & near)
     scored = pairs.select("doc_id", "old_idx", "new_idx", (F.size("old_key") > 0).alias("named"), (F.array_sort("old_key") == F.array_sort("new_key")).alias("same_key"), jaccard(F.col("old_key"), F.col("new_key")).alias("heading"), jaccard(F.col("old_tokens"), F.col("new_tokens")).alias("body"))
     return scored.where((F.col("heading") >= HEADING_MIN) | (F.col("body") >= BODY_MIN) | (F.col("same_key") & F.col("named")))
 
@@ -75,11 +78,13 @@ def status(before: Column, after: Column, has_new: Column, changed: Column) -> C
 def diff(pairs: DataFrame, old: DataFrame, new: DataFrame, old_findings: DataFrame, new_findings: DataFrame) -> DataFrame:
     """(doc_id, old_idx, new_idx, rule_id, status, severity, similarity) for every finding of either draft.
 
-    findings: doc_id, idx, rule_id, severity; of several of a rule on a clause the last counts.
+    findings: doc_id, idx, rule_id, severity, and ord if there is one; of several of a rule on a
+    clause the last by ord counts, without ord the least severe, as findings lie high ones first.
     """
     hashes = lambda df, side: df.select("doc_id", F.col("idx").alias(f"{side}_idx"), text_digest(F.col("text")).alias(f"{side}_hash"))
     keyed = pairs.join(hashes(old, "old"), ["doc_id", "old_idx"], "left").join(hashes(new, "new"), ["doc_id", "new_idx"], "left")
-    own = lambda df, side: df.groupBy("doc_id", F.col("idx").alias(f"{side}_idx"), "rule_id").agg(F.last("severity").alias(f"{side}_severity"))
+    place = lambda df: F.struct(F.col("ord") if "ord" in df.columns else F.lit(0), F.coalesce(*(F.when(F.col("severity") == x, F.lit(i)) for i, x in enumerate(("high", "medium", "low", "none")))))
+    own = lambda df, side: df.groupBy("doc_id", F.col("idx").alias(f"{side}_idx"), "rule_id").agg(F.max_by("severity", place(df)).alias(f"{side}_severity"))
     before = keyed.join(own(old_findings, "old"), ["doc_id", "old_idx"]).select("doc_id", "old_idx", "new_idx", "rule_id", "old_severity")
     after = keyed.join(own(new_findings, "new"), ["doc_id", "new_idx"]).select("doc_id", "old_idx", "new_idx", "rule_id", "new_severity")
     same = lambda a, b: a.eqNullSafe(b)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from contractlens.functions.scratch import Scratch
 from contractlens.functions.text import computed
 from contractlens.operators import docfacts, extract, facts, gates, guard, rulebook, rules, segment, statutes, triage
 
@@ -22,8 +23,17 @@ def document_columns(docs: DataFrame) -> DataFrame:
     own = computed(own, "scores", guard.scores(F.col("hay")))
     own = computed(own, "verdict", guard.check(F.col("doc_type"), F.col("scores"), F.col("hay")))
     own = computed(own, "doc_facts", docfacts.read_document(F.col("text"), F.col("doc_type")))
-    problem = F.when(~F.col("doc_type").isin(list(rulebook.RULES)) | F.col("doc_type").isNull(), F.lit("unknown type")).when(F.length(F.trim("text")) < MIN_TEXT, F.lit("too short"))
-    return own.withColumn("problem", problem).drop("hay")
+    return own.withColumn("problem", unreadable(F.col("doc_type"), F.col("text"))).drop("hay")
+
+
+def unreadable(doc_type: Column, text: Column) -> Column:
+    """Why a document can't be audited, before it is cut; null if it can."""
+    return F.when(~doc_type.isin(list(rulebook.RULES)) | doc_type.isNull(), F.lit("unknown type")).when(F.length(F.trim(F.coalesce(text, F.lit("")))) < MIN_TEXT, F.lit("too short"))
+
+
+def first_clauses(clauses: DataFrame, n: int) -> DataFrame:
+    """The first n clauses of each document."""
+    return clauses.where(F.col("order") < n)
 
 
 def clause_facts(clauses: DataFrame, extractor: Extractor | None = extract.keyword_params, supplied: str | None = None) -> DataFrame:
@@ -69,18 +79,20 @@ def audit(docs: DataFrame, acts: DataFrame | None = None, extractor: Extractor |
 
     acts (corpus_id, text) are what findings are cited from; without them those that need a source
     are withheld.  errors (clause_id) are clauses that an extractor failed on: they count as unread.
+    Documents of more than MAX_CLAUSES clauses are refused and have no findings.  Verdicts and
+    clauses are written once, as findings and summary both read them.
     """
-    documents = document_columns(docs)
-    clauses = segment.segment(documents.where("problem is null").select("doc_id", "doc_type", "text"))
-    by_doc = Window.partitionBy("doc_id")  # a document's clauses
-    clauses = computed(clauses.withColumn("n_clauses", F.count(F.lit(1)).over(by_doc)), "triage", triage.decide(F.col("text")))
+    scratch = Scratch(docs.sparkSession, "audit")
+    documents = scratch.table(document_columns(docs).drop("text"), "documents")
+    readable = docs.where(unreadable(F.col("doc_type"), F.col("text")).isNull()).select("doc_id", "doc_type", "text")
+    clauses = computed(segment.segment(readable), "triage", triage.decide(F.col("text")))
     clauses = clauses.withColumn("keep", F.col("triage.keep") | (F.col("n_clauses") < triage.MIN_CLAUSES))
-    clauses = clauses.join(documents.select("doc_id", "doc_facts"), "doc_id")
+    clauses = scratch.table(clauses.join(documents.select("doc_id", "doc_facts"), "doc_id"), "clauses")
     if errors is not None:
         clauses = clauses.join(errors.select("clause_id", F.lit(True).alias("failed")), "clause_id", "left")
     else:
         clauses = clauses.withColumn("failed", F.lit(False))
-    read = clause_findings(clause_facts(clauses.where("keep"), extractor), norms)
+    read = clause_findings(clause_facts(clauses.where("keep").where(F.col("n_clauses") <= MAX_CLAUSES), extractor), norms)
     found = read.select("doc_id", "doc_type", "clause_id", "order", "heading", F.col("text").alias("clause_text"), "evidence", "params", F.explode("findings").alias("f"))
     found = found.select("*", "f.*").drop("f", "sort_rank")
     found = found.withColumn("from_text", (F.size(F.array_intersect("fields", F.map_keys("evidence"))) > 0) & F.forall(_used(found), lambda x: F.map_contains_key("evidence", x)))

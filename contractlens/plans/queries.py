@@ -156,9 +156,9 @@ post as (select doc_id, len(t) as size, unnest(t) as term from p), tf as (select
 df as (select term, count(*) as df from tf group by term), tot as (select count(*) as n, avg(len(t)) as mean from p),
 asked as (select item_id as query_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from benchmark) group by all),
 scored as (
-  select query_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * size / mean)))), 3) as score
+  select query_id, doc_id, list_reduce(list_prepend(0.0::double, list(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * size / mean))) order by term)), lambda a, b: a + b) as raw
   from tf join asked using (term) join df using (term) cross join tot group by query_id, doc_id)
-select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from scored) where rank <= 5""")
+select query_id, doc_id, round(raw, 3) as score, rank from (select *, row_number() over (partition by query_id order by raw desc, doc_id)::int as rank from scored) where rank <= 5""")
 def bm25_topk(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return statutes.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), asked, "doc_id", "text", k=5)

@@ -20,9 +20,17 @@ def micros(ts: str) -> Column:
 
 
 def trailing_tokens(calls: DataFrame, by: str, ts: str, tokens: str, seconds: int = WINDOW_S) -> DataFrame:
-    """calls with ``used``: the tokens of the same key in the trailing seconds, this call included."""
-    span = Window.partitionBy(by).orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
-    return calls.withColumn("used", F.sum(tokens).over(span))
+    """calls with ``used``: the tokens of the same key in the trailing seconds, this call included.
+
+    Calls are dealt by key and by stretches of so many seconds, and each stretch gets the one before
+    it too, so a key of a third of all calls is spread over time.
+    """
+    span = seconds * 1_000_000
+    own = calls.withColumn("us_", micros(ts)).withColumn("stretch_", F.floor(F.col("us_") / span))
+    both = own.withColumn("on_", F.explode(F.array(F.lit(0), F.lit(1))))
+    frame = Window.partitionBy(by, "stretch_").orderBy("us_").rangeBetween(-span, 0)
+    used = both.withColumn("stretch_", F.col("stretch_") + F.col("on_")).withColumn("used", F.sum(tokens).over(frame))
+    return used.where("on_ = 0").drop("us_", "stretch_", "on_")
 
 
 def _budget(limit: int, seconds: int):
