@@ -38,7 +38,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_documents(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), spans=True, ids=False)
+    return sentencepiece_codec.encode_documents(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), spans=True, ids=False, starts=False)  # a piece starts where the one before it ends
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

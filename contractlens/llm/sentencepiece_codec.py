@@ -20,7 +20,6 @@ import hashlib
 import heapq
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -372,18 +371,19 @@ def plain_chunks(m: Model, text: str) -> list[str] | None:
 
 
 def _chunk(m: Model):
-    known = {p: (b"%d" % m.id_of[p], m.id_of[p], len(p.encode()) - 2 * p.count(MARK)) for p in m.score_of}
+    pair = struct.Struct("=ii").pack
+    known = {p: (b"%d" % m.id_of[p], pair(m.id_of[p], len(p.encode()) - 2 * p.count(MARK))) for p in m.score_of}
 
-    def make(chunk: str) -> tuple[bytes, bytes, bytes]:
-        """Decimal ids, ids, and the original bytes of each id's piece, where each mark stands for a space."""
+    def make(chunk: str) -> tuple[bytes, bytes]:
+        """Decimal ids; and pairs of an id and the original bytes of its piece, where each mark stands for a space."""
         try:
-            decimal, ids, sizes = zip(*[known[p] for p in m.merge(chunk)], strict=True)
+            decimal, pairs = zip(*[known[p] for p in m.merge(chunk)], strict=True)
         except KeyError:  # some character is unknown
             ids, ends = m.ids(chunk)
             raw = chunk.encode()
-            sizes = [b - a - 2 * raw.count(_MARK, a, b) for a, b in zip([0, *ends], ends, strict=False)]
             decimal = [b"%d" % i for i in ids]
-        return b" ".join(decimal), array("i", ids).tobytes(), array("i", sizes).tobytes()
+            pairs = [pair(i, b - a - 2 * raw.count(_MARK, a, b)) for i, a, b in zip(ids, [0, *ends], ends, strict=False)]
+        return b" ".join(decimal), b"".join(pairs)
 
     return make
 
@@ -404,15 +404,16 @@ def encoder(path: str):
             ids = np.array([*own, m.end], dtype=np.int32)
             starts, ends = np.array([*where, (size, size)], dtype=np.int32).T
             return b" ".join([b"%d" % i for i in ids.tolist()]), ids, starts, ends
-        got = [get(c) for c in chunks]
-        ids = np.frombuffer(b"".join([g[1] for g in got]), dtype=np.int32)
-        ends = np.empty(len(ids) + 1, dtype=np.int32)
-        np.cumsum(np.frombuffer(b"".join([g[2] for g in got]), dtype=np.int32), out=ends[:-1])
+        decimal, pairs = zip(*map(get, chunks), strict=True) if chunks else ((), ())
+        both = np.frombuffer(b"".join(pairs), dtype=np.int32).reshape(-1, 2)
+        ids = np.append(both[:, 0], np.int32(m.end))
+        ends = np.empty(len(ids), dtype=np.int32)
+        np.cumsum(both[:, 1], out=ends[:-1])
         ends[:-1] -= 1  # the first mark stands for no space
         ends[-1] = size
         starts = np.empty_like(ends)
         starts[0], starts[1:] = 0, ends[:-1]
-        return b" ".join([*(g[0] for g in got), end]), np.append(ids, np.int32(m.end)), starts, ends
+        return b" ".join((*decimal, end)), ids, starts, ends
 
     return encode
 
@@ -423,7 +424,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
 
 
-def _encoded(path: str, spans: bool, ids: bool):
+def _encoded(path: str, more: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, encode = model(path), encoder(path)
         for batch in batches:
@@ -435,20 +436,22 @@ def _encoded(path: str, spans: bool, ids: bool):
                 text_sha.append(hashlib.sha256(m.decode(rest[0].tolist()).encode()).hexdigest())
             columns = [batch.column("doc_id"), pa.array([len(g[0]) for g in got], pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            more = ["ids"] * ids + ["starts", "ends"] * spans
             columns += [_lists([g[("ids", "starts", "ends").index(c)] for g in got]) for c in more]
             yield pa.RecordBatch.from_arrays(columns, names + more)
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, spans: bool = False, ids: bool | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; with spans also ids (unless they are declined), starts and ends (byte offsets)."""
+def encode_documents(docs: DataFrame, path: str, spans: bool = False, ids: bool | None = None, starts: bool | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; with spans also ids, starts and ends (byte offsets).
+
+    ids and starts can be declined; a piece starts where the one before it ends, the first at 0.
+    """
     small_batches(docs.sparkSession)
-    ids = spans if ids is None else ids
+    more = ["ids"] * (spans if ids is None else ids) + ["starts"] * (spans if starts is None else starts) + ["ends"] * spans
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", starts array<int>, ends array<int>" * spans
-    return docs.select("doc_id", "text").mapInArrow(_encoded(path, spans, ids), schema)
+    schema = ", ".join([f"doc_id {kind}", "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(f"{c} array<int>" for c in more)])
+    return docs.select("doc_id", "text").mapInArrow(_encoded(path, more), schema)
 
 
 def _decoded(path: str):
