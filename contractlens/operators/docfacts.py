@@ -72,7 +72,7 @@ def windows(x: Column, lead: str, width: int = WINDOW) -> Column:
 
 def shown_near(x: Column, lead: str, near: str, width: int = WINDOW) -> Column:
     """The first window of lead that holds near, squeezed; null without one."""
-    return F.get(F.transform(F.filter(windows(x, lead, width), lambda w: matches(w, near)), squeeze), F.lit(0))
+    return F.get(F.transform(F.filter(windows(x, lead, width), lambda w: matches(w, near)), lambda w: squeeze(w)), F.lit(0))
 
 
 def in_provision(x: Column, lead: str, near: str, width: int = WINDOW) -> Column:

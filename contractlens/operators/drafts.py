@@ -63,6 +63,15 @@ def draft(findings: DataFrame) -> DataFrame:
     return sorted_.select("doc_id", F.concat(opening, text, closing).alias("draft"))
 
 
+def checked_draft(first: Column, second: Column, template: Column, wrong) -> Column:
+    """A model's message, its second try if the first states what the findings don't support, else the template.
+
+    wrong: a message to its :func:`problems`.
+    """
+    sound = lambda text: F.coalesce((F.trim(text) != "") & (F.size(wrong(text)) == 0), F.lit(False))
+    return F.when(sound(first), first).when(sound(second), second).otherwise(template)
+
+
 def straight(x: Column) -> Column:
     return F.translate(F.coalesce(x, F.lit("")), "“”„‟«»‘’", '""""""' + "''")
 

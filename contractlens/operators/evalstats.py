@@ -119,3 +119,48 @@ def coerce_suggestion(category: Column, severity: Column, rationale: Column, tax
 def diagnosis(extracted: Column, fired: Column, withheld: Column, failures: Column, clauses: Column) -> Column:
     """Where a document's findings got lost, if there are none."""
     return F.when(failures >= clauses, F.lit("extractor dead")).when(failures > 0, F.lit("extractor flaky")).when(extracted == 0, F.lit("nothing extracted")).when((fired == 0) & (withheld == 0), F.lit("nothing fired")).when(fired == 0, F.lit("all withheld")).otherwise(F.lit("ok"))
+
+
+def token_estimate(prompt: Column, max_tokens: int, typical: int = 300) -> Column:
+    """About four characters a token, and a usual reply."""
+    return F.floor(F.length(prompt) / 4).cast("int") + min(max_tokens, typical)
+
+
+def triage_coverage(decided: DataFrame, by: str = "doc_type") -> DataFrame:
+    """decided (by, keep): kept, skipped and the share that is skipped."""
+    sums = decided.groupBy(by).agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("skipped"))
+    return sums.withColumn("skip_rate", F.round(F.col("skipped") / (F.col("kept") + F.col("skipped")), 4))
+
+
+def blind(labels: DataFrame) -> DataFrame:
+    """Labels that were given without seeing a suggestion."""
+    return labels.where(~F.coalesce("assisted", F.lit(False)))
+
+
+def labelled(clauses: DataFrame, labels: DataFrame, key: str = "clause_id") -> DataFrame:
+    """Labels whose clause is there, with it."""
+    return labels.join(clauses.select(key, "text"), key)
+
+
+def with_suggestions(clauses: DataFrame, suggestions: DataFrame, key: str = "clause_id") -> DataFrame:
+    """All clauses, with a suggestion where there is one; of several the surest."""
+    names = [c for c in suggestions.columns if c != key]
+    best = suggestions.groupBy(key).agg(F.max_by(F.struct(*names), "confidence").alias("s"))
+    return clauses.join(best, key, "left").select(*clauses.columns, *(F.col(f"s.{c}").alias(f"suggested_{c}") for c in names))
+
+
+def alerts(findings: DataFrame) -> DataFrame:
+    """Findings that are worth a sign to the reader: grounded, verified and high."""
+    return findings.where("basis <> 'norm' and verified and severity = 'high'")
+
+
+def unmuted(pages: DataFrame, muted: DataFrame, url: str = "url") -> DataFrame:
+    """Pages whose host is not on the list (host)."""
+    hosts = muted.select(F.lower("host").alias("host_")).distinct()
+    return pages.withColumn("host_", F.lower(F.parse_url(F.col(url), F.lit("HOST")))).join(hosts, "host_", "left_anti").drop("host_")
+
+
+def counters(read: DataFrame) -> DataFrame:
+    """read (doc_id, extracted, fired, withheld, failed by clause): sums and :func:`diagnosis` of each document."""
+    sums = read.groupBy("doc_id").agg(F.count(F.lit(1)).alias("clauses"), *(F.sum(c).alias(c) for c in ("extracted", "fired", "withheld")), F.count_if("failed").alias("failures"))
+    return sums.withColumn("diagnosis", diagnosis(F.col("extracted"), F.col("fired"), F.col("withheld"), F.col("failures"), F.col("clauses")))

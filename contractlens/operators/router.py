@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -111,6 +112,9 @@ def train(rows: DataFrame, key: str = "clause_id", text: str = "text", terms: in
     counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}  # two labels
     if min(counts.get(0, 0), counts.get(1, 0)) < MIN_CLASS:
         raise ValueError(f"each class needs {MIN_CLASS} clauses or more: {counts}")
+    share = counts[1] / sum(counts.values())
+    if share > MAX_POSITIVE:
+        warnings.warn(f"{share:.0%} of the clauses are positive: the labels keep too much for a router to save anything", stacklevel=2)
     split = Scratch(rows.sparkSession, "router").table(held_out(rows.select(key, text, "label"), key), "split")  # read by every pass below
     fit = split.where("not test")
     words = Pipeline(stages=[RegexTokenizer(inputCol=text, outputCol="w1", pattern=r"\W+", minTokenLength=2), NGram(n=2, inputCol="w1", outputCol="w2"), SQLTransformer(statement="SELECT *, concat(w1, w2) AS terms FROM __THIS__"), CountVectorizer(inputCol="terms", outputCol="counts", minDF=MIN_DF, vocabSize=min(terms, TERMS))]).fit(fit)

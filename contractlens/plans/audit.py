@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql.window import Window
 
 from contractlens.functions.scratch import Scratch
 from contractlens.functions.text import computed
-from contractlens.operators import docfacts, extract, facts, gates, guard, rulebook, rules, segment, statutes, triage
+from contractlens.operators import docfacts, extract, facts, gates, guard, router, rulebook, rules, segment, statutes, triage
 
-MIN_TEXT, MAX_CLAUSES = 100, 60
+MIN_TEXT, MAX_CLAUSES, MAX_TRIES = 100, 60, 2
 Extractor = Callable[[Column, Column], dict[str, Column]]
 
 
@@ -111,6 +112,41 @@ def _used(found: DataFrame) -> Column:
     return F.array_intersect("fields", present)
 
 
+def retried(clauses: DataFrame, run: Callable[[DataFrame, int], DataFrame], most: int = MAX_TRIES) -> DataFrame:
+    """Verified findings of run(clauses, try), a clause with a withheld one being read again, most times in all.
+
+    An extractor that gives the same answer each time gains nothing by it; one that doesn't may cite
+    better.  The last reading counts.
+    """
+    scratch = Scratch(clauses.sparkSession, "retries")
+    left, out = clauses, []
+    for k in range(most):
+        found = scratch.table(run(left, k), f"found{k}")
+        bad = scratch.table(found.where("reason is not null").select("clause_id").distinct(), f"bad{k}")
+        out.append(found if k == most - 1 else found.join(bad, "clause_id", "left_anti"))
+        left = left.join(bad, "clause_id", "left_semi")
+    return reduce(DataFrame.unionByName, out)
+
+
+def split_findings(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(findings, reassurances): what is risky, and what speaks for a paper."""
+    return found.where("risky"), found.where("not risky")
+
+
+def rule_labels(clauses: DataFrame, extractor: Extractor | None = extract.keyword_params) -> DataFrame:
+    """clauses (doc_type, text) with ``label``: 1 if a rule of their type fires, the weak label where the type has no rules."""
+    none = F.struct(*(F.lit(None).cast(rulebook.KINDS.get(f, "boolean")).alias(f) for f in docfacts.FACTS))
+    read = clause_findings(clause_facts(clauses.withColumn("doc_facts", none), extractor))
+    fired = F.when(F.size("findings") > 0, F.lit(1)).otherwise(F.lit(0))
+    label = F.when(F.col("doc_type").isin(list(rulebook.RULES)), fired).otherwise(router.weak_label(F.col("text")))
+    return read.select(*clauses.columns, label.alias("label"))
+
+
+def failed_clauses(answers: DataFrame) -> DataFrame:
+    """answers (clause_id, answer JSON): the clauses whose reading failed, as the audit's errors."""
+    return answers.where(F.try_parse_json("answer").isNull()).select("clause_id").distinct()
+
+
 def summary(documents: DataFrame, clauses: DataFrame, shown: DataFrame) -> DataFrame:
     """One row for each document with its counts and what may be done with them."""
     risky = shown.where("risky").groupBy("doc_id").agg(

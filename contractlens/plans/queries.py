@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,18 +34,9 @@ def query(sql: str | None = None):
     return register
 
 
-#: Tables of long texts: work on a row is heavy.
-TEXTS = ("documents", "pages")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of texts that lies in fewer pieces than there are cores is dealt out first.
-
-    A large table lies in more pieces than that and is read as it is.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
+    """A table as it lies; how it is cut is for the reader's split size."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -119,12 +110,14 @@ def clause_ids(spark, sf_dir):
 
 @query()
 def hard_cut_3000(spark, sf_dir):
-    def cut(frames):
-        for f in frames:
-            sizes = [[len(p) for p in segment.hard_cut(t or "")] for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n_pieces": [len(s) for s in sizes], "longest": [max(s) for s in sizes]})
+    """Pieces of whole texts packed from sentences, over Arrow batches."""
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(cut, "doc_id long, n_pieces int, longest int")
+    def cut(batches):
+        for b in batches:
+            sizes = [[len(p) for p in segment.hard_cut(t or "")] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sizes], pa.int32()), pa.array([max(s) for s in sizes], pa.int32())], ["doc_id", "n_pieces", "longest"])
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(cut, "doc_id long, n_pieces int, longest int")
 
 
 @query()
@@ -673,3 +666,6 @@ def evaluate_clause(spark, sf_dir):
     params = spark.createDataFrame(fixed, "doc_type string, params string").unionByName(table(spark, sf_dir, "events").select(kinds, F.col("props").alias("params")))
     found = audit.evaluate_clause(params)
     return found.select("doc_type", F.explode("findings").alias("f")).select("doc_type", "f.rule_id", "f.severity", "f.category")
+
+
+from contractlens.plans import checks, shipped  # noqa: E402, F401  register their own queries here

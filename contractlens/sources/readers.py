@@ -9,10 +9,13 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contractlens.functions.scratch import Scratch
 from contractlens.functions.text import unix_lines
+from contractlens.operators import furniture
 from contractlens.operators import rules as rule_engine
 from contractlens.operators.rulebook import PROFILES, RULES
 
@@ -24,6 +27,7 @@ SUFFIXES = (".txt", ".md", ".docx", ".pdf")
 DROPPED, CHROME = ("script", "style", "table"), ("script", "style", "nav", "header", "footer")
 BLOCKS = ("p", "div", "br", "tr", "li", "h1", "h2", "h3", "h4", "h5", "h6")
 PAGE_CHARS = 60_000
+PAGE_BREAK = "\x0c"
 
 
 def stem(path: Column) -> Column:
@@ -31,9 +35,11 @@ def stem(path: Column) -> Column:
 
 
 def read_text(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(path, stem, modified, text): one row for each file, bytes that are no UTF-8 replaced, Unix line ends."""
+    """(path, stem, modified, text): one row for each file, bytes that are no UTF-8 left out, Unix line ends."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{txt,md}").load(path)
-    return files.select("path", stem(F.col("path")).alias("stem"), F.col("modificationTime").alias("modified"), unix_lines(F.col("content").cast("string")).alias("text"))
+    raw = F.col("content").cast("string")
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
+    return files.select("path", stem(F.col("path")).alias("stem"), F.col("modificationTime").alias("modified"), unix_lines(text).alias("text"))
 
 
 def docx_text(data: bytes) -> str:
@@ -44,8 +50,14 @@ def docx_text(data: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{w}t")) for p in root.iter(f"{w}p"))
 
 
+def pdf_pages(data: bytes) -> list[str]:
+    from pypdf import PdfReader
+
+    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
+
+
 def file_text(name: str, data: bytes) -> tuple[str | None, str | None]:
-    """(text, problem) of a file by its suffix."""
+    """(text, problem) of a file by its suffix; the pages of a PDF file are parted by form feeds."""
     suffix = name[name.rfind(".") :].lower() if "." in name else ""
     if suffix in (".txt", ".md"):
         return data.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n"), None
@@ -56,10 +68,11 @@ def file_text(name: str, data: bytes) -> tuple[str | None, str | None]:
             return None, "this is no readable word-processor file"
     if suffix == ".pdf":
         try:
-            from pypdf import PdfReader
+            return PAGE_BREAK.join(x.replace(PAGE_BREAK, "\n") for x in pdf_pages(data)), None
         except ImportError:
             return None, "reading PDF files needs the pypdf library"
-        return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages), None
+        except Exception as e:  # whatever a broken file makes the library raise
+            return None, f"this is no readable PDF file ({type(e).__name__})"
     return None, f"files of type {suffix or '(none)'} are not supported"
 
 
@@ -69,9 +82,44 @@ def _files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": frame["path"], "text": [t for t, _ in got], "problem": [x for _, x in got]})
 
 
+def without_page_furniture(texts: DataFrame) -> DataFrame:
+    """(path, text) of paged texts without running heads and feet, the pages joined."""
+    pages = texts.select("path", F.posexplode(F.split("text", PAGE_BREAK)).alias("page_no", "page"))
+    lines = pages.select("path", "page_no", F.posexplode(F.split("page", "\n")).alias("line_no", "line"))
+    kept = furniture.positional_furniture(lines, "path")
+    own = kept.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("page_no", "line_no", "line"))).alias("l"))  # lines of one file
+    return texts.select("path").join(own, "path", "left").select("path", F.coalesce(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("")).alias("text"))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, problem) of files of all supported types; unsupported ones have a problem and no text."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(_files, "path string, text string, problem string")
+    """(path, text, problem) of files of all supported types; unsupported or broken ones have a problem and no text."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(_files, "path string, text string, problem string")
+    paged = F.lower("path").endswith(".pdf") & F.col("text").isNotNull()
+    clean = without_page_furniture(read.where(paged)).withColumn("problem", F.lit(None).cast("string"))
+    return read.where(~paged).unionByName(clean)
+
+
+def statute_texts(files: DataFrame, least: int = 5000) -> DataFrame:
+    """Files (path, text, problem) that hold enough text to be an act."""
+    return files.where(F.col("problem").isNull() & (F.length("text") >= least))
+
+
+def listed_exhibits(hits: DataFrame, kinds: tuple[str, ...] = ("EX-10",)) -> DataFrame:
+    """hits (url, file_type, ...) of a filings search: exhibits of the kinds, each url once."""
+    kind = F.exists(F.array(*map(F.lit, kinds)), lambda k: F.startswith(F.upper("file_type"), k))
+    return hits.where(F.coalesce(kind, F.lit(False))).dropDuplicates(["url"])
+
+
+def settings(path: str, environment: dict[str, str]) -> tuple[dict[str, str], list[str]]:
+    """(values, conflicts) of a file of NAME=value lines; what the environment has already wins, and differences are named."""
+    values: dict[str, str] = {}
+    with open(path, encoding="utf-8") as f:
+        for line in map(str.strip, f):
+            if line and not line.startswith("#") and "=" in line:
+                name, _, value = line.partition("=")
+                values[name.strip()] = value.strip().strip("\"'")
+    conflicts = sorted(k for k, v in values.items() if k in environment and environment[k] != v)
+    return values | {k: environment[k] for k in values if k in environment}, conflicts
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -218,35 +266,77 @@ def is_the_act(text: Column, sections: tuple[int, ...] = (11, 15, 17), least: in
     return out
 
 
-def private_rows(rows: DataFrame, known: str, deny: tuple[str, ...] = ()) -> DataFrame:
-    """Rows whose doc_id is not shaped like the corpus's, or that hold a denied word."""
+def private_rows(rows: DataFrame, known: str, deny: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """Rows whose doc_id is not shaped like the corpus's, that hold a denied word, or that are longer than most."""
     denied = F.exists(F.array(*map(F.lit, deny)), lambda w: F.contains(F.lower("text"), w)) if deny else F.lit(False)
-    return rows.where(~F.coalesce(F.col("doc_id").cast("string").rlike(known), F.lit(False)) | denied)
+    long = F.length("text") > most if most else F.lit(False)
+    return rows.where(~F.coalesce(F.col("doc_id").cast("string").rlike(known), F.lit(False)) | F.coalesce(denied | long, F.lit(False)))
 
 
 # -- versions and results ------------------------------------------------------------------------
 
 
+#: Folders that a version's documents are dealt into, so that a folder holds many documents.
+VERSION_BUCKETS = 64
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(VERSION_BUCKETS)).cast("int")
+
+
 def save_version(clauses: DataFrame, path: str, version: str) -> None:
-    """Clauses (doc_id, idx, heading, text, ...) under their document and version; saving again replaces."""
-    mode = "spark.sql.sources.partitionOverwriteMode"
+    """Clauses (doc_id, idx, heading, text, ...) under their version; saving a document's version again replaces it.
+
+    Folders are by version and a hash of the document; those of the documents saved are written anew
+    together with the other documents that they hold.
+    """
     spark = clauses.sparkSession
-    was = spark.conf.get(mode)
-    spark.conf.set(mode, "dynamic")
+    new = clauses.withColumn("saved_at", F.current_timestamp()).withColumn("version", F.lit(version)).withColumn("bucket", _bucket())
+    scratch = Scratch(spark, "versions")
+    new = scratch.table(new, "new")
     try:
-        clauses.withColumn("version", F.lit(version)).withColumn("saved_at", F.current_timestamp()).write.mode("overwrite").partitionBy("doc_id", "version").parquet(path)
-    finally:
-        spark.conf.set(mode, was)
+        had = spark.read.schema(new.schema).parquet(path).where(F.col("version") == version)
+        others = had.join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select("doc_id").distinct(), "doc_id", "left_anti")
+        new = scratch.table(new.unionByName(others.select(*new.columns)), "merged")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    new.repartition("version", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(path)
 
 
 def load_version(spark: SparkSession, path: str, version: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("version") == version)
+    return spark.read.parquet(path).where(F.col("version").cast("string") == version).drop("bucket")
 
 
 def list_versions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("doc_id", "version").agg(F.max("saved_at").alias("saved_at"), F.count(F.lit(1)).alias("clauses"))
 
 
+def record_sample(found: DataFrame, summary: DataFrame, path: str, name: str) -> None:
+    """A sample audit as JSON lines below a folder, and its line in the index; refused unless it is complete."""
+    row = summary.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("problem").isNotNull()).alias("bad"), F.sum("unread").alias("unread"), F.sum("flagged").alias("flagged"), F.sum("high").alias("high")).first()
+    if not row["n"] or row["bad"] or row["unread"]:
+        raise ValueError(f"sample {name} is not complete: {row['n']} documents, {row['bad']} with a problem, {row['unread']} unread clauses")
+    write_jsonl(found, f"{path}/{name}/findings")
+    write_jsonl(summary, f"{path}/{name}/summary")
+    line = found.sparkSession.createDataFrame([(name, row["n"], row["flagged"], row["high"])], "name string, documents long, flagged long, high long")
+    line.write.mode("append").json(f"{path}/index")
+
+
+def suggest_pending(clauses: DataFrame, path: str, suggest, schema: str, key: str = "clause_id") -> DataFrame:
+    """Suggestions for the clauses that have none yet are appended below a folder; all that are there are returned."""
+    spark = clauses.sparkSession
+    try:
+        done = spark.read.schema(schema).json(path)
+        left = Scratch(spark, "pending").table(pending(clauses, done, key), "left")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        left = clauses
+    write_jsonl(suggest(left), path, "append")
+    return spark.read.schema(schema).json(path)
+
+
 def pending(rows: DataFrame, done: DataFrame, key: str = "clause_id") -> DataFrame:
     """Rows that are not done yet."""
     return rows.join(done.select(key).distinct(), key, "left_anti")
