@@ -80,8 +80,8 @@ def audit(docs: DataFrame, acts: DataFrame | None = None, extractor: Extractor |
 
     acts (corpus_id, text) are what findings are cited from; without them those that need a source
     are withheld.  errors (clause_id) are clauses that an extractor failed on: they count as unread.
-    Documents of more than MAX_CLAUSES clauses are refused and have no findings.  Verdicts and
-    clauses are written once, as findings and summary both read them.
+    Documents of more than MAX_CLAUSES clauses are refused and have no findings.  Verdicts,
+    clauses and findings are written once, as what follows reads them more than once.
     """
     scratch = Scratch(docs.sparkSession, "audit")
     documents = scratch.table(document_columns(docs).drop("text"), "documents")
@@ -97,12 +97,13 @@ def audit(docs: DataFrame, acts: DataFrame | None = None, extractor: Extractor |
     found = read.select("doc_id", "doc_type", "clause_id", "order", "heading", F.col("text").alias("clause_text"), "evidence", "params", F.explode("findings").alias("f"))
     found = found.select("*", "f.*").drop("f", "sort_rank")
     found = found.withColumn("from_text", (F.size(F.array_intersect("fields", F.map_keys("evidence"))) > 0) & F.forall(_used(found), lambda x: F.map_contains_key("evidence", x)))
+    found = scratch.table(found, "found")  # citing, checking and counting all read it
     cited = statutes.cite(found, acts) if acts is not None else found.withColumns({"citation_span": F.lit(None).cast("string"), "citation_source": F.lit(None).cast("string")})
     verified = statutes.verify(cited)
     first = Window.partitionBy("doc_id", "rule_id").orderBy("order")  # a document's clauses at most
     kept = verified.where("verified").withColumn("k", F.row_number().over(first)).where("scope <> 'document' or k = 1").drop("k")
     verdicts = documents.select("doc_id", F.col("verdict.status").alias("type_status"), F.col("verdict.suggested").alias("type_suggested"))
-    shown = kept.join(verdicts, "doc_id").where("type_status <> 'mismatch'")
+    shown = scratch.table(kept.join(verdicts, "doc_id").where("type_status <> 'mismatch'"), "shown")
     return shown, summary(documents, clauses, shown)
 
 
