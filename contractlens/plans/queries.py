@@ -34,9 +34,21 @@ def query(sql: str | None = None):
     return register
 
 
+#: Tables of long texts: work on a row is heavy.
+TEXTS = ("documents", "pages")
+#: A session's setting: into how many parts tables of texts are dealt after reading.
+TEXT_PARTS = "spark.contractlens.textPartitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as it lies; how it is cut is for the reader's split size."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it lies; how it is cut is for the reader's split size.
+
+    A file of one row group can't be split by the reader; a session that reads such files on many
+    cores may set TEXT_PARTS, and tables of texts are then dealt out.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    parts = spark.conf.get(TEXT_PARTS, None)
+    return df.repartition(int(parts)) if parts and name in TEXTS else df
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
