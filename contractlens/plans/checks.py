@@ -58,12 +58,12 @@ def coerced_suggestions(spark, sf_dir):
 
 
 @query("""
-with r as (select doc_id, text, case doc_id % 4 when 0 then left(text, 60) when 1 then upper(left(text, 30)) when 2 then 'no such quote' end as quote, case doc_id % 3 when 0 then 'deposit' else 'odd' end as category, 0.9 as sure from documents),
+with r as (select doc_id, text, case doc_id % 4 when 0 then left(text, 60) when 1 then lower(left(text, 30)) when 2 then 'no such quote' end as quote, case doc_id % 3 when 0 then 'deposit' else 'odd' end as category, 0.9 as sure from documents),
 f as (select *, coalesce(quote, '') <> '' and contains(lower(text), lower(left(coalesce(quote, ''), 40))) as found from r)
 select doc_id, found as quote_verified, case when category = 'deposit' then category else 'boilerplate' end as category, (case when category = 'deposit' then case when found then 0.9 else 0.5 end else 0.4 end)::double as confidence from f""")
 def quote_checks(spark, sf_dir):
     i = F.col("doc_id")
-    quote = F.when(i % 4 == 0, F.left("text", F.lit(60))).when(i % 4 == 1, F.upper(F.left("text", F.lit(30)))).when(i % 4 == 2, F.lit("no such quote"))
+    quote = F.when(i % 4 == 0, F.left("text", F.lit(60))).when(i % 4 == 1, F.lower(F.left("text", F.lit(30)))).when(i % 4 == 2, F.lit("no such quote"))
     got = extract.quote_check(F.col("text"), quote, F.when(i % 3 == 0, F.lit("deposit")).otherwise(F.lit("odd")), F.lit(0.9), ["deposit"])
     return table(spark, sf_dir, "documents").select("doc_id", got.alias("q")).select("doc_id", "q.*")
 
