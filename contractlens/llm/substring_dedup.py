@@ -46,7 +46,7 @@ SHARD_SEGMENTS = 4000
 #: Places of an anchor up to which its segments go to one shard; beyond, windows are dealt out.
 ANCHOR_PLACES = 256
 #: Segments whose counts a task holds before it passes them on.
-HELD_SEGMENTS = 100_000
+HELD_SEGMENTS = 60_000
 #: Distinct words that can each be a character of a string; beyond, windows are sequences of numbers.
 LETTERS = 1_000_000
 _U = np.uint64
@@ -138,7 +138,7 @@ def _segments(window: int):
             items = list(held.items())
             for i in range(0, len(items), 2000):
                 part = items[i : i + 2000]
-                yield rows([], [], [], [v[0] for _, v in part], [k for k, _ in part], [v[1] for _, v in part], [v[2] for _, v in part], [v[3] for _, v in part])
+                yield rows([], [], [], [v[0] for _, v in part], [k for k, _ in part], [v[1] for _, v in part], [v[2] and [v[2][j : j + 16] for j in range(0, len(v[2]), 16)] for _, v in part], [v[3] for _, v in part])
             held.clear()
 
         for batch in batches:
@@ -167,7 +167,7 @@ def _segments(window: int):
                         if sid in held:
                             held[sid][3] += 1
                         elif split:
-                            held[sid] = [None, None, [xxhash.xxh3_128_digest(joined[begin[i] : begin[i + window] - 1]) for i in range(s, e + 1)], 1]
+                            held[sid] = [None, None, b"".join([xxhash.xxh3_128_digest(joined[begin[i] : begin[i + window] - 1]) for i in range(s, e + 1)]), 1]
                         else:
                             held[sid] = [int(least[s : s + 1].view(np.int64)[0]), segment, None, 1]
                     if starts:
