@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contractlens.operators import curate, evalstats, extract, segment, statutes
+from contractlens.operators import curate, evalstats, extract, segment, statutes, versions
 from contractlens.plans import audit
-from contractlens.plans.queries import _DIGESTS, _PAGE, _TAGS, SQL, query, table
+from contractlens.plans.queries import _DIGESTS, _DRAFTS, _PAGE, _TAGS, SQL, _drafts, query, table
 from contractlens.sources import readers
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -235,3 +235,17 @@ g as (select 0::bigint as i, []::bigint[] as gone union all select g.i + 1, case
 last as (select arg_max(gone, i) as gone from g)
 select l.doc_id, l.doc_id = l.leader and not list_contains(gone, l.leader) as kept, case when l.doc_id <> l.leader then l.leader when list_contains(gone, l.doc_id) then list_min(list_filter(t.smaller, lambda a: not list_contains(gone, a))) end as match
 from leads l cross join last left join turns t on t.b = l.doc_id"""
+
+
+@query("with " + _DRAFTS + """,
+pairs as (select coalesce(x.doc_id, y.doc_id) as doc_id, x.idx as old_idx, y.idx as new_idx, x.text as old_text, y.text as new_text, x.hash is distinct from y.hash as changed from old x full join new y on x.doc_id = y.doc_id and x.idx = y.idx),
+f as (select *, coalesce(length(old_text) > 100, false) as b, coalesce(length(new_text) > 108, false) as a from pairs)
+select doc_id, sum((not b and a)::int)::bigint as new, sum((b and a and changed)::int)::bigint as reworded, sum((b and a and not changed)::int)::bigint as persisted, sum((b and not a and new_idx is not null and not changed)::int)::bigint as vanished,
+  sum((b and not a and (new_idx is null or changed))::int)::bigint as resolved from f where a or b group by doc_id""")
+def draft_diff_by_place(spark, sf_dir):
+    """What becomes of findings where clauses are matched by their place, so that changed ones are reworded."""
+    old, new = _drafts(spark, sf_dir)
+    side = lambda df, name: df.select("doc_id", "idx", F.col("idx").alias(name))
+    pairs = side(old, "old_idx").join(side(new, "new_idx"), ["doc_id", "idx"], "full").select("doc_id", "old_idx", "new_idx", F.lit(0.5).alias("similarity"))
+    found = lambda df, n: df.where(F.length("text") > n).select("doc_id", "idx", F.lit("R").alias("rule_id"), F.lit("low").alias("severity"))
+    return versions.summary(versions.diff(pairs, old, new, found(old, 100), found(new, 108)))
