@@ -90,6 +90,10 @@ class Block:
     def word_hashes(self) -> np.ndarray:
         return self.spans(self.start, self.end)
 
+    def word_codes(self) -> np.ndarray:
+        """A number for each word: equal for equal words of the block, and only for those."""
+        return codes(self.buf[self.inside], self.end - self.start)
+
     def per_doc(self, flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """Sums of flags between consecutive edges."""
         sums = np.zeros(len(flags) + 1, dtype=np.int64)
@@ -101,6 +105,14 @@ class Block:
         return b" ".join(self.buf[self.docs[d] : self.docs[d + 1]].tobytes().split())
 
 
+def codes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A number for each run of bytes of ``data``, which holds them on end: equal for equal runs, and only for those."""
+    edges = np.zeros(len(lengths) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=edges[1:])
+    runs = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+    return runs.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of k consecutive word hashes; shorter input gives none."""
     n = len(hashes) - k + 1

@@ -188,14 +188,27 @@ class _Held:
         return self.broadcast.value
 
 
-def score(docs: DataFrame, logits: np.ndarray) -> DataFrame:
-    """All rows and columns of docs, with ``quality_score`` (0 to 1)."""
+def _with_score(docs: DataFrame, logits: np.ndarray) -> DataFrame:
+    """docs with its columns by place (c0_, c1_, ...) and ``score_``."""
     small_batches(docs.sparkSession)
     held = _Held(docs.sparkSession.sparkContext.broadcast(logits), zlib.crc32(logits.tobytes()))
     names = [f"c{i}_" for i in range(len(docs.columns))]
     plain = docs.toDF(*names).withColumn("text_", F.col(names[docs.columns.index("text")]))
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
-    return plain.mapInArrow(_scored(held, names), f"{schema}, score_ double").toDF(*docs.columns, "quality_score")
+    return plain.mapInArrow(_scored(held, names), f"{schema}, score_ double")
+
+
+def score(docs: DataFrame, logits: np.ndarray) -> DataFrame:
+    """All rows and columns of docs, with ``quality_score`` (0 to 1); where docs has a column of that name, with ``quality_score_`` and so on."""
+    name, there = "quality_score", {c.lower() for c in docs.columns}
+    while name in there:
+        name += "_"
+    return _with_score(docs, logits).toDF(*docs.columns, name)
+
+
+def keep_documents(docs: DataFrame, logits: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs with a score of the threshold at least, with all their columns, whatever these are called."""
+    return _with_score(docs, logits).where(F.col("score_") >= threshold).drop("score_").toDF(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, limit: int = MAX_DOCUMENTS) -> DataFrame:

@@ -4,6 +4,9 @@ Every rule is evaluated once for each document.  The ledger stores the measureme
 bitmask, bit i being set if rule i fails.  Policies are versioned sets of rules, applied to the
 stored mask without reading a text again, and ablations are sums over masks.
 
+Words and lines are compared by their bytes, as numbers that a dictionary gives them; a hash only
+proposes windows that may be equal, and their words are compared then.
+
 Defined cases: a null or empty text has no words and fails ``few_words``; a null doc_id stays
 null; repeated rows each get a row; an empty table gives an empty ledger; extra columns are
 ignored by :func:`ledger` and kept by :func:`keep_documents`.
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contractlens.llm.common import Block, blocks, grams, mix, small_batches
+from contractlens.llm.common import Block, blocks, codes, grams, mix, small_batches
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals", "n_same_next")
 WINDOW = 8
@@ -81,25 +84,39 @@ def _later(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _twice(words: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Those of the windows that start at ``at`` whose words make another window of the same document too."""
+    key = grams(mix(words.astype(np.uint64) + np.uint64(1)), WINDOW)[at] ^ mix(owner[at].astype(np.uint64) + np.uint64(1))
+    at = at[_repeats(key)]
+    if not len(at):
+        return at
+    columns = [owner[at], *(words[at + j] for j in range(WINDOW))]
+    order = np.lexsort(columns)
+    same = np.ones(len(at) - 1, dtype=bool)
+    for c in columns:
+        same &= c[order[1:]] == c[order[:-1]]
+    out = np.zeros(len(at), dtype=bool)
+    out[order[1:]] = same
+    out[order[:-1]] |= same
+    return at[out]
+
+
 def measure(b: Block) -> dict[str, np.ndarray]:
     """The measurements of the documents of a block, as arrays."""
     docs = len(b.docs) - 1
-    salt = mix(np.arange(docs, dtype=np.uint64) + np.uint64(1))
     n_words = np.diff(b.words)
     owner = np.repeat(np.arange(docs), n_words)
 
-    hashes = b.word_hashes()
-    covered = np.zeros(len(hashes), dtype=bool)
-    windows = grams(hashes, WINDOW)
-    if len(windows):
-        whole = np.flatnonzero(owner[: len(windows)] == owner[WINDOW - 1 :])
-        first = whole[_repeats(windows[whole] ^ salt[owner[whole]])]
-        step = np.zeros(len(hashes) + 1, dtype=np.int64)
+    words = b.word_codes()
+    covered = np.zeros(len(words), dtype=bool)
+    if len(words) >= WINDOW:
+        first = _twice(words, owner, np.flatnonzero(owner[: len(words) - WINDOW + 1] == owner[WINDOW - 1 :]))
+        step = np.zeros(len(words) + 1, dtype=np.int64)
         step[first] += 1
         step[first + WINDOW] -= 1
         covered = np.cumsum(step[:-1]) > 0
-    same = np.zeros(len(hashes), dtype=bool)
-    same[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+    same = np.zeros(len(words), dtype=bool)
+    same[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
 
     breaks = np.flatnonzero(b.buf == 10)
     line_start = np.union1d(b.docs[:-1], breaks + 1)  # may hold the start of the next document's first line; that is one line
@@ -109,7 +126,11 @@ def measure(b: Block) -> dict[str, np.ndarray]:
     line_end = np.where((line_end > line_start) & (b.buf[line_end - 1] == 10), line_end - 1, line_end) if len(line_start) else line_end
     filled = np.searchsorted(b.start, line_end) > np.searchsorted(b.start, line_start) if len(line_start) else np.zeros(0, bool)
     line_start, line_end, line_doc = line_start[filled], line_end[filled], line_doc[filled]
-    twice = _later(b.spans(line_start, line_end) ^ salt[line_doc])
+    step = np.zeros(len(b.buf) + 1, dtype=np.int8)
+    step[line_start] += 1
+    step[line_end] -= 1  # a line ends before the next starts, but for the last of a document
+    lines = codes(b.buf[np.cumsum(step[:-1]) > 0], line_end - line_start)
+    twice = _later(lines * docs + line_doc)
 
     return {
         "n_words": n_words,

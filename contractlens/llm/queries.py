@@ -61,6 +61,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality_rules.passes().alias("kept"), "failures")
 
 
+def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, alone and with the others, over all documents."""
+    return quality_rules.ablation(quality_rules.ledger(documents(spark, sf_dir)))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_quality_rules": op9_quality_rules,
+    "quality_rule_ablation": quality_rule_ablation,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
@@ -146,3 +152,10 @@ scored as (
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5""",
 }
+
+ORACLE_SQL["quality_rule_ablation"] = f"""
+with book as ({ORACLE_SQL["op9_quality_rules"]}),
+names as (select * from (values (0, 'few_words'), (1, 'repeated_windows'), (2, 'symbols'), (3, 'repeated_lines'), (4, 'capitals'), (5, 'word_length'), (6, 'stutter')) as x(bit, rule))
+select bit, rule, count(*) filter (failures >> bit & 1 = 1) as failed, count(*) filter (failures = (1 << bit)) as failed_alone,
+  count(*) filter (failures & (127 - (1 << bit)) = 0) as kept_without, count(*) as documents
+from book cross join names group by bit, rule"""

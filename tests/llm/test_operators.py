@@ -65,6 +65,20 @@ def test_long_documents_are_whole(spark):
     assert (row["n_words"], row["n_repeat_words"]) == (450_000, 450_000)
 
 
+def thue_morse(n):
+    """Two texts of n letters that every polynomial over their bytes with an odd base takes for one, from 1,024 letters on."""
+    return tuple("".join("ab"[(bin(i).count("1") + k) & 1] for i in range(n)) for k in (0, 1))
+
+
+def test_words_and_lines_are_compared_by_their_bytes(spark):
+    one, other = thue_morse(1024)
+    tail = [f"t{i}" for i in range(7)]
+    texts = [f"{one}\n{other}", f"{one}\n{one}", " ".join([one, *tail, "x", other, *tail, *noise(20, 3).split()]), " ".join([one, *tail, "x", one, *tail, *noise(20, 3).split()]), f"{one} {other} {one} {one}"]
+    got = quality_rules.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert multiset(r[:6] for r in got) == Counter((i, *measured(t)) for i, t in enumerate(texts))
+    assert {r["doc_id"]: r["n_same_next"] for r in got}[4] == 1
+
+
 # -- SimHash ---------------------------------------------------------------------------------------
 
 
@@ -380,9 +394,12 @@ def test_classifier(spark, docs, empty):
     flipped = spark.createDataFrame([(i, (1 - y) if zlib.crc32(str(i).encode()) % 4 == 2 else y) for i, _, y in rows], "doc_id long, label int")
     assert sorted(map(tuple, quality_classifier.classify(own, flipped).collect())) == sorted(map(tuple, got))
     logits = quality_classifier.fit(own, labels)
-    scored = quality_classifier.score(docs.drop("quality_score"), logits)
-    assert scored.columns == [*docs.drop("quality_score").columns, "quality_score"]
-    assert all(0 <= r[0] <= 1 for r in scored.select("quality_score").collect()) and scored.count() == docs.count()
+    scored = quality_classifier.score(docs, logits)
+    assert scored.columns == [*docs.columns, "quality_score_"]
+    assert all(0 <= r[0] <= 1 for r in scored.select("quality_score_").collect()) and scored.count() == docs.count()
+    kept = quality_classifier.keep_documents(docs, logits)
+    assert kept.columns == docs.columns
+    assert multiset(kept.collect()) == multiset(scored.where("quality_score_ >= 0.7").drop("quality_score_").collect())
     assert quality_classifier.classify(empty, labels).count() == 0
     assert all(r["score"] == 0.5 for r in quality_classifier.classify(docs, labels.where("doc_id < 0")).collect())
 

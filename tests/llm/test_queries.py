@@ -42,3 +42,21 @@ def test_pipeline(spark, tokenizers):
     got = {r[0]: r[1] for r in corpus_pipeline.run(spark, DATA).groupBy("doc_id").agg({"length": "sum"}).collect()}
     assert got == want
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality rules", "quality classifier", "simhash near-dedup", "substring dedup", "best-fit packing"]
+
+
+def test_pipeline_on_odd_rows(spark, docs, tokenizers):
+    """Null and repeated ids, null, empty and very long texts, other columns of clashing names; then no rows at all."""
+    import corpus_pipeline
+    from contractlens.llm.common import Scratch
+
+    keep = "doc_id long, text string, lang string, quality_score double, failures long, score_ string, c0_ int, h string, held long"
+    rows = [(r["doc_id"], r["text"], "en", 0.1, 3, "s", 1, "h", 9) for r in docs.select("doc_id", "text").collect()]
+    rows += [(i, f"clean prose {i} " + " ".join(f"w{i * 7 + k * k % 83}" for k in range(90)), "fr", None, None, None, None, None, None) for i in (70, 70, 71)]
+    whole = spark.createDataFrame(rows, keep)
+    for table in (whole, whole.where("doc_id = -1")):
+        scratch, now = Scratch(spark, "odd"), table
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            was, now = now, scratch.table(stage(spark, now, DATA), f"stage{k}")
+            assert k == 4 or now.columns == was.columns
+            assert k == 4 or now.count() <= was.count()
+        assert table is whole or now.count() == 0
