@@ -1,4 +1,8 @@
-"""A corpus pipeline of training-data operators; each stage is written and read again."""
+"""A corpus pipeline of training-data operators; each stage is written and read again.
+
+All stages take whole texts, however long, and other columns by their place, so their names may be
+those that an operator uses inside.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +32,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     logits = quality_classifier.fit(documents(spark, sf_dir), labels)
-    return quality_classifier.score(docs, logits).where(F.col("quality_score") >= quality_classifier.THRESHOLD).drop("quality_score")
+    return quality_classifier.keep_documents(docs, logits)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
