@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlens.llm import chat, license_scan, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts, topk
+from contractlens.llm import chat, license_scan, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts, topk, versioned_merge
 
 
 def _tokenizer(name: str) -> str:
@@ -71,6 +71,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_versioned_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versioned_merge.merge(spark.read.parquet(f"{sf_dir}/client_changes.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "quality_rule_ablation": quality_rule_ablation,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op12_versioned_merge": op12_versioned_merge,
 }
 
 _WORDS = r"words as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents)"
@@ -159,3 +164,30 @@ names as (select * from (values (0, 'few_words'), (1, 'repeated_windows'), (2, '
 select bit, rule, count(*) filter (failures >> bit & 1 = 1) as failed, count(*) filter (failures = (1 << bit)) as failed_alone,
   count(*) filter (failures & (127 - (1 << bit)) = 0) as kept_without, count(*) as documents
 from book cross join names group by bit, rule"""
+
+#: CRC-32 by its table (polynomial 0xEDB88320), for texts of ASCII characters.
+_CRC = "crc_table as (select list(v order by i) as t from (select i, list_reduce(list_prepend(i::bigint, range(8)::bigint[]), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) as x(i)))"
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+ORACLE_SQL["op12_versioned_merge"] = f"""
+with {_CRC},
+moved as materialized (
+  select distinct change_id, client_id, seq, op, source, segment, city, cast(floor(100 * balance + 0.5) as bigint) as balance_cents,
+    valid_at - case when {_crc("change_id::varchar")} % 7 = 0 then interval 36 hour else interval 0 hour end as moved_at
+  from client_changes, crc_table where valid_at is not null),
+firsts as (select * from moved qualify row_number() over (partition by client_id, seq order by change_id, moved_at, op, source, segment, city, balance_cents) = 1),
+kept as (select * from firsts qualify row_number() over (partition by client_id, moved_at order by seq desc) = 1),
+states as (
+  select client_id, moved_at, seq, {{'d': op = 'D', 's': case when op <> 'D' then source end, 'g': case when op <> 'D' then segment end, 'c': case when op <> 'D' then city end, 'b': case when op <> 'D' then balance_cents end}} as v from kept),
+turns as (select *, row_number() over w = 1 or v is distinct from lag(v) over w as new from states window w as (partition by client_id order by moved_at)),
+versions as (select *, row_number() over w as version, lead(moved_at) over w as ends from turns where new window w as (partition by client_id order by moved_at)),
+counts as (
+  select v.client_id, v.version, count(distinct m.change_id) as n_changes
+  from versions v join moved m on m.client_id is not distinct from v.client_id and m.moved_at >= v.moved_at and (v.ends is null or m.moved_at < v.ends) group by all)
+select v.client_id, v.version::int as version, epoch(v.moved_at)::bigint as valid_from, epoch(v.ends)::bigint as valid_to, v.v.d as is_deleted, v.v.s as source, v.v.g as segment, v.v.c as city, v.v.b as balance_cents,
+  v.seq as first_seq, n_changes
+from versions v join counts c on c.client_id is not distinct from v.client_id and c.version = v.version"""
