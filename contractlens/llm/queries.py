@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlens.llm import chat, license_scan, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts, topk, versioned_merge
+from contractlens.llm import chat, license_scan, lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts, topk, versioned_merge
 
 
 def _tokenizer(name: str) -> str:
@@ -71,6 +71,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 def op12_versioned_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versioned_merge.merge(spark.read.parquet(f"{sf_dir}/client_changes.parquet"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "quality_rule_ablation": quality_rule_ablation,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_versioned_merge": op12_versioned_merge,
 }
 
