@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlens.llm import chat, license_scan, lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts, topk, versioned_merge
+from contractlens.llm import chat, conversation_repair, license_scan, lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts, topk, versioned_merge
 
 
 def _tokenizer(name: str) -> str:
@@ -79,6 +79,10 @@ def op12_versioned_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versioned_merge.merge(spark.read.parquet(f"{sf_dir}/client_changes.parquet"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_lm_scoring": op11_lm_scoring,
     "op12_versioned_merge": op12_versioned_merge,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _WORDS = r"words as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents)"
@@ -196,3 +201,10 @@ counts as (
 select v.client_id, v.version::int as version, epoch(v.moved_at)::bigint as valid_from, epoch(v.ends)::bigint as valid_to, v.v.d as is_deleted, v.v.s as source, v.v.g as segment, v.v.c as city, v.v.b as balance_cents,
   v.seq as first_seq, n_changes
 from versions v join counts c on c.client_id is not distinct from v.client_id and c.version = v.version"""
+
+ORACLE_SQL["op13_conversation_repair"] = f"""
+with recursive {_CRC},
+rolled as materialized (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_crc("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as k from conversations, crc_table),
+hurt as (select conv_id, turn, case when k = 4 then 'user' else role end as role, case when k = 1 then '' when k = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, k <> 0 as here, k from rolled),
+damaged as (select * exclude (k) from hurt union all select * exclude (k) from hurt where k = 3),
+{conversation_repair.REPAIR}sha256(coalesce(r.body, '')) as repaired_sha256{conversation_repair.FROM}"""
