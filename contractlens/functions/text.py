@@ -6,6 +6,9 @@ portable one is ASCII and has the same meaning in other SQL engines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,3 +111,14 @@ def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
 def bound(value: Column, use) -> Column:
     """use(value) with the value computed once in the expression."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+_built: dict[tuple, tuple] = {}
+
+
+def once(build: Callable[..., Column], *names: str) -> Column:
+    """build(*columns of these names), made once in a process: large expressions take thousands of calls to put together."""
+    gateway, key = SparkContext._gateway, (build, *names)
+    if _built.get(key, (None,))[0] is not gateway:
+        _built[key] = gateway, build(*map(F.col, names))
+    return _built[key][1]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contractlens.functions.text import matches
+from contractlens.functions.text import bound, matches
 from contractlens.operators.facts import protected_misconduct
 
 #: Field and the patterns that must all occur (fixed values).
@@ -104,3 +105,18 @@ def gated(field: str, value: Column, text: Column, kind: str = "boolean") -> Col
 def dropped(values: dict[str, Column], text: Column, kinds: dict[str, str]) -> Column:
     """The fields that their gates stop, as an array."""
     return F.array_compact(F.array(*(F.when(truthy(v, kinds.get(f, "boolean")) & ~passes(f, text), F.lit(f)) for f, v in values.items())))
+
+
+def stopped(values: Column, text: Column) -> Column:
+    """The fields of a map of field to text that assert something and that their gates stop, sorted.
+
+    The gates are one constant; only those of fields that are there are tried.
+    """
+    table = F.from_json(F.lit(json.dumps({f: ["(?iuU)" + p for p in own] for f, own in GATES.items()})), "map<string,array<string>>")
+
+    def stops(field: Column, value: Column, protected: Column) -> Column:
+        asserts = ~F.coalesce((value.try_cast("double") == 0) | value.isin("false", ""), F.lit(False))
+        subject = F.coalesce(F.forall(F.try_element_at(table, field), lambda p: F.rlike(text, p)), F.lit(True))
+        return asserts & (~subject | (field.isin(*TERMINATION) & protected))
+
+    return bound(protected_misconduct(text), lambda protected: F.sort_array(F.map_keys(F.map_filter(values, lambda f, v: stops(f, v, protected)))))

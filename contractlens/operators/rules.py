@@ -1,16 +1,22 @@
-"""The rule language: condition trees compiled to Catalyst columns.
+"""The rule language, in two forms.
 
 A tree is ``{all: [...]}``, ``{any: [...]}`` or a map of field to condition, all of which hold; a
 condition is a literal or a map of operators.  Silence is null: every comparison with it is false,
 and ``absent`` asks for it.
+
+Over columns (:func:`evaluate`) a tree compiles to one boolean column, which suits a few rules on
+the columns of a wide table.  A rulebook (:func:`judge`) is data: each tree is a postfix programme,
+all programmes are one constant, and one fold over a programme with a stack of booleans judges a map
+of field to value.  The plan is the same for any number of rules and fields.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractlens.operators import rulebook
@@ -143,6 +149,109 @@ def evaluate(df: DataFrame, rules: list[dict], resolve: Resolver | None = None,
     return df.withColumn("findings", findings(validate(rules), resolve or F.col, norms))
 
 
+#: A step of a programme.  ``all`` and ``any`` fold the last n of the stack; the other steps put on it whether they hold for a field.
+STEPS = "array<struct<op:string,field:string,x:double,s:string,n:int>>"
+_SOURCE = ("act", "section", "corpus_id", "provision", "query")
+RULE = (
+    "struct<rule_order:int,rule_id:string,category:string,basis:string,severity:string,risky:boolean,scope:string,metric:string,"
+    f"source:struct<{','.join(f'{k}:string' for k in _SOURCE)}>,anchors:array<string>,fields:array<string>,message:string,when:{STEPS},escalate:{STEPS}>"
+)
+
+
+def _step(op: str, field: str | None = None, x: float | None = None, s: str | None = None, n: int | None = None) -> dict:
+    return {"op": op, "field": field, "x": None if x is None else float(x), "s": s, "n": n}
+
+
+def _leaf_steps(field: str, condition, metric: str | None, norms: dict) -> list[dict]:
+    if isinstance(condition, bool):
+        return [_step("is", field, s=str(condition).lower())]
+    if isinstance(condition, str):
+        return [_step("is", field, s=condition)]
+    if not isinstance(condition, dict):
+        return [_step("eq", field, condition)]
+    if "absent" in condition:
+        return [_step("absent" if condition["absent"] else "present", field)]
+    out = []
+    for op, x in condition.items():
+        if op == "gt_percentile":
+            limit = (norms.get(metric or field) or {}).get(f"p{x}")
+            out.append(_step("any", n=0) if limit is None else _step("gt", field, limit))
+        elif op in OPERATORS:
+            out.append(_step(op, field, x))
+        else:
+            raise RuleError(f"unknown operator {op}")
+    return out if len(out) == 1 else [*out, _step("all", n=len(out))]
+
+
+def programme(tree: dict, metric: str | None = None, norms: dict | None = None) -> list[dict]:
+    """A condition tree as postfix steps."""
+    norms = norms or {}
+    if "all" in tree or "any" in tree:
+        op = "all" if "all" in tree else "any"  # beside all, any is not looked at
+        parts = [programme(t, metric, norms) for t in tree[op]]
+    else:
+        op, parts = "all", [_leaf_steps(f, c, metric, norms) for f, c in tree.items()]
+    return parts[0] if len(parts) == 1 else [*(s for p in parts for s in p), _step(op, n=len(parts))]
+
+
+def records(own: list[dict], norms: dict | None = None) -> list[dict]:
+    """Rules as rows of RULE, in their order; ``severity`` is what an unescalated finding gets."""
+    out = []
+    for i, r in enumerate(validate(own)):
+        source = r.get("source") or {}
+        out.append({
+            "rule_order": i, "rule_id": r["id"], "category": r["category"], "basis": r["basis"], "severity": "medium" if r["basis"] == "norm" and r["severity"] == "high" else r["severity"],
+            "risky": bool(r.get("risky", r["severity"] != "none")), "scope": r.get("scope", "clause"), "metric": r.get("metric"), "source": {k: source.get(k) for k in _SOURCE}, "anchors": r.get("anchors") or [],
+            "fields": required_fields(r), "message": r["message"], "when": programme(r["when"], r.get("metric"), norms), "escalate": programme(r["escalate_to_high_when"], r.get("metric"), norms) if r.get("escalate_to_high_when") else None,
+        })
+    return out
+
+
+def programmes(rulebook_: dict[str, list[dict]], norms: dict | None = None) -> Column:
+    """All rules of a rulebook as one constant: a map of type to array of RULE."""
+    return F.from_json(F.lit(json.dumps({kind: records(own, norms) for kind, own in rulebook_.items()})), f"map<string,array<{RULE}>>")
+
+
+def rules_table(spark: SparkSession, rulebook_: dict[str, list[dict]], norms: dict | None = None) -> DataFrame:
+    """doc_type and the columns of RULE, a row for each rule."""
+    one = spark.range(1).select(F.explode(programmes(rulebook_, norms)).alias("doc_type", "own"))
+    return one.select("doc_type", F.explode("own").alias("r")).select("doc_type", "r.*")
+
+
+def values_of(params: Column) -> Column:
+    """A struct of fields as a map of field to text, without those that are null."""
+    return F.from_json(F.to_json(params), "map<string,string>")
+
+
+def holds(steps: Column, values: Column) -> Column:
+    """Whether a programme holds for a map of field to text."""
+
+    def leaf(s: Column) -> Column:
+        text = F.try_element_at(values, s["field"])
+        op, x, number = s["op"], s["x"], text.try_cast("double")
+        compared = F.when(op == "is", text == s["s"]).when(op == "eq", number == x).when(op == "gt", number > x).when(op == "gte", number >= x).when(op == "lt", number < x).when(op == "lte", number <= x)
+        return F.when(op == "absent", text.isNull()).when(op == "present", text.isNotNull()).otherwise(F.coalesce(compared, F.lit(False)))
+
+    def step(stack: Column, s: Column) -> Column:
+        last = F.slice(stack, F.size(stack) - s["n"] + 1, s["n"])
+        folded = F.when(s["op"] == "all", ~F.array_contains(last, False)).otherwise(F.array_contains(last, True))
+        return F.when(s["op"].isin("all", "any"), F.array_append(F.slice(stack, F.lit(1), F.size(stack) - s["n"]), folded)).otherwise(F.array_append(stack, leaf(s)))
+
+    return F.get(F.aggregate(steps, F.array().cast("array<boolean>"), step), F.lit(0))
+
+
+def judge(values: Column, own: Column) -> Column:
+    """The findings of an array of RULE on a map of field to text, sorted as :func:`findings` sorts them."""
+
+    def found(r: Column) -> Column:
+        level = F.when(F.coalesce(holds(r["escalate"], values), F.lit(False)), F.lit("high")).otherwise(r["severity"])
+        rank = -F.array_position(F.array(*map(F.lit, list(RANK)[1:])), level)  # 0 for none
+        return F.struct(rank.cast("int").alias("sort_rank"), *(r[k].alias(k) for k in ("rule_order", "rule_id", "category", "basis")), level.alias("severity"), *(r[k].alias(k) for k in ("risky", "scope", "metric", "source", "anchors", "fields", "message")))
+
+    fired = F.transform(F.filter(own, lambda r: holds(r["when"], values)), found)
+    return F.coalesce(F.array_sort(fired), F.slice(fired, F.lit(1), F.lit(0)))
+
+
 def params_columns(json: Column, fields: Iterable[str]) -> dict[str, Column]:
     """Typed fields of supplied or extracted parameters in JSON; a wrong type is silence."""
     v = F.try_parse_json(json)

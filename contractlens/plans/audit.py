@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contractlens.functions.scratch import Scratch
-from contractlens.functions.text import computed
+from contractlens.functions.text import computed, once
 from contractlens.operators import docfacts, extract, facts, gates, guard, router, rulebook, rules, segment, statutes, triage
 
 MIN_TEXT, MAX_CLAUSES, MAX_TRIES = 100, 60, 2
 Extractor = Callable[[Column, Column], dict[str, Column]]
+#: Every field that some rule reads.
+FIELDS = sorted({f for own in rulebook.RULES.values() for f in rules.required_params(own)})
+CLAUSE_FIELDS = [f for f in FIELDS if not f.startswith("doc__")]
 
 
 def document_columns(docs: DataFrame) -> DataFrame:
     """docs (doc_id, doc_type, text) with verdict, document facts and whether they can be read."""
     own = docs.select("doc_id", "doc_type", F.coalesce("text", F.lit("")).alias("text"))
     own = computed(own, "hay", guard.normalised(F.col("text")))
-    own = computed(own, "scores", guard.scores(F.col("hay")))
-    own = computed(own, "verdict", guard.check(F.col("doc_type"), F.col("scores"), F.col("hay")))
-    own = computed(own, "doc_facts", docfacts.read_document(F.col("text"), F.col("doc_type")))
+    own = computed(own, "scores", once(guard.scores, "hay"))
+    own = computed(own, "verdict", once(guard.check, "doc_type", "scores", "hay"))
+    own = computed(own, "doc_facts", once(docfacts.read_document, "text", "doc_type"))
     return own.withColumn("problem", unreadable(F.col("doc_type"), F.col("text"))).drop("hay")
 
 
@@ -40,39 +43,41 @@ def first_clauses(clauses: DataFrame, n: int) -> DataFrame:
 def clause_facts(clauses: DataFrame, extractor: Extractor | None = extract.keyword_params, supplied: str | None = None) -> DataFrame:
     """clauses (doc_type, text, doc_facts) with ``params``, ``evidence`` and ``dropped``.
 
-    The order is the reader's facts, the extracted or supplied ones without those that only the
-    reader may set, the gates, the reader over them, and the document's facts below.
+    Params are a map of field to text, without the fields that nothing is said of.  The order is the
+    reader's facts, the extracted or supplied ones without those that only the reader may set, the
+    gates, the reader over them, and the document's facts below.
     """
-    text, kind = F.col("text"), F.col("doc_type")
-    wanted = sorted({f for own in rulebook.RULES.values() for f in rules.required_params(own)})
-    clause_fields = [f for f in wanted if not f.startswith("doc__")]
-    out = computed(clauses, "read", facts.read_facts(text, kind)).withColumn("evidence", facts.read_evidence(text, F.col("read")))
+    out = computed(clauses, "read", once(facts.read_facts, "text", "doc_type")).withColumn("evidence", once(facts.read_evidence, "text", "read"))
     if supplied:
-        given = rules.params_columns(F.col(supplied), clause_fields)
+        given = rules.values_of(F.struct(*(c.alias(f) for f, c in rules.params_columns(F.col(supplied), CLAUSE_FIELDS).items())))
     elif extractor:
-        given = {f: c for f, c in extractor(kind, text).items() if f in clause_fields and f not in rulebook.READER_ONLY}
+        given = once(_extracted(extractor), "doc_type", "text")
     else:
-        given = {}
-    out = computed(out, "given", F.struct(*(c.alias(f) for f, c in given.items())) if given else F.lit(None))
-    values = {f: F.col(f"given.{f}") for f in given}
-    out = computed(out, "dropped", gates.dropped(values, text, rulebook.KINDS) if values else F.array().cast("array<string>"))
+        given = F.create_map().cast("map<string,string>")
+    out = computed(out, "given", given)
+    out = computed(out, "dropped", gates.stopped(F.col("given"), F.col("text")))
+    out = computed(out, "read", rules.values_of(F.col("read")))
+    passed = F.map_filter("given", lambda f, v: ~F.array_contains("dropped", f) & ~F.map_contains_key("read", f))
+    return computed(out, "params", F.map_concat(rules.values_of(F.col("doc_facts")), passed, "read")).drop("read", "given")
 
-    def value(f: str) -> Column:
-        if f.startswith("doc__"):
-            return F.col(f"doc_facts.{f}")
-        kind_of = rulebook.KINDS.get(f, "boolean")
-        passed = F.when(~F.array_contains("dropped", f), values[f]) if f in values else F.lit(None).cast(kind_of)
-        return F.coalesce(F.col(f"read.{f}"), passed) if f in facts.FACTS else passed
 
-    return computed(out, "params", F.struct(*(value(f).cast(rulebook.KINDS.get(f, "boolean")).alias(f) for f in wanted))).drop("read", "given")
+_extractors: dict[Extractor, Callable[[Column, Column], Column]] = {}
+
+
+def _extracted(extractor: Extractor) -> Callable[[Column, Column], Column]:
+    """An extractor's fields as a map of field to text, those left out that no rule reads or only the reader may set."""
+
+    def build(kind: Column, text: Column) -> Column:
+        fields = [c.alias(f) for f, c in extractor(kind, text).items() if f in CLAUSE_FIELDS and f not in rulebook.READER_ONLY]
+        return rules.values_of(F.struct(*fields)) if fields else F.create_map().cast("map<string,string>")
+
+    return _extractors.setdefault(extractor, build)
 
 
 def clause_findings(clauses: DataFrame, norms: dict | None = None) -> DataFrame:
-    """clauses with params get ``findings``, by the rules of their own type."""
-    resolve = lambda f: F.col(f"params.{f}")
-    own = [F.when(F.col("doc_type") == t, rules.findings(rules.validate(r), resolve, norms)) for t, r in rulebook.RULES.items()]
-    empty = F.array_compact(F.array(F.when(F.lit(False), rules.finding(rulebook.LOAN[0], 0, resolve))))
-    return clauses.withColumn("findings", F.coalesce(*own, empty))
+    """clauses with params (a map of field to text) get ``findings``, by the rules of their own type."""
+    own = F.try_element_at(rules.programmes(rulebook.RULES, norms), F.col("doc_type"))
+    return clauses.withColumn("findings", rules.judge(F.col("params"), F.coalesce(own, F.array().cast(f"array<{rules.RULE}>"))))
 
 
 def audit(docs: DataFrame, acts: DataFrame | None = None, extractor: Extractor | None = extract.keyword_params, norms: dict | None = None, errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +101,7 @@ def audit(docs: DataFrame, acts: DataFrame | None = None, extractor: Extractor |
     read = clause_findings(clause_facts(clauses.where("keep").where(F.col("n_clauses") <= MAX_CLAUSES), extractor), norms)
     found = read.select("doc_id", "doc_type", "clause_id", "order", "heading", F.col("text").alias("clause_text"), "evidence", "params", F.explode("findings").alias("f"))
     found = found.select("*", "f.*").drop("f", "sort_rank")
-    found = found.withColumn("from_text", (F.size(F.array_intersect("fields", F.map_keys("evidence"))) > 0) & F.forall(_used(found), lambda x: F.map_contains_key("evidence", x)))
+    found = found.withColumn("from_text", (F.size(F.array_intersect("fields", F.map_keys("evidence"))) > 0) & F.forall(F.array_intersect("fields", F.map_keys("params")), lambda x: F.map_contains_key("evidence", x)))
     found = scratch.table(found, "found")  # citing, checking and counting all read it
     cited = statutes.cite(found, acts) if acts is not None else found.withColumns({"citation_span": F.lit(None).cast("string"), "citation_source": F.lit(None).cast("string")})
     verified = statutes.verify(cited)
@@ -107,12 +112,6 @@ def audit(docs: DataFrame, acts: DataFrame | None = None, extractor: Extractor |
     return shown, summary(documents, clauses, shown)
 
 
-def _used(found: DataFrame) -> Column:
-    """The rule's fields that the clause has a value for."""
-    present = F.array_compact(F.array(*(F.when(F.col(f"params.{f.name}").isNotNull(), F.lit(f.name)) for f in found.schema["params"].dataType)))
-    return F.array_intersect("fields", present)
-
-
 def retried(clauses: DataFrame, run: Callable[[DataFrame, int], DataFrame], most: int = MAX_TRIES) -> DataFrame:
     """Verified findings of run(clauses, try), a clause with a withheld one being read again, most times in all.
 
@@ -167,6 +166,5 @@ def summary(documents: DataFrame, clauses: DataFrame, shown: DataFrame) -> DataF
 
 def evaluate_clause(params: DataFrame, norms: dict | None = None) -> DataFrame:
     """params (doc_type, params JSON) to findings, without gates, readers or verification."""
-    wanted = sorted({f for own in rulebook.RULES.values() for f in rules.required_params(own)})
-    typed = computed(params, "params", F.struct(*(c.alias(f) for f, c in rules.params_columns(F.col("params"), wanted).items())))
+    typed = computed(params, "params", rules.values_of(F.struct(*(c.alias(f) for f, c in rules.params_columns(F.col("params"), FIELDS).items()))))
     return clause_findings(typed, norms)
