@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contractlens.functions.text import heading_key, jaccard, text_digest, token_set
+from contractlens.functions.text import heading_key, text_digest, token_set
+from contractlens.operators import matching
 
-HEADING_MIN, BODY_MIN = 0.70, 0.40
 STATUSES = ("NEW", "REWORDED", "PERSISTED", "VANISHED", "RESOLVED")
 
 
@@ -25,43 +24,18 @@ def exact_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     return side(old, "old_idx").join(side(new, "new_idx"), ["doc_id", "hash", "k"]).select("doc_id", "old_idx", "new_idx")
 
 
-def candidates(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Pairs of a document's clauses that share a heading word or a token, with both similarities."""
-    o = old.select(F.col("doc_id").alias("o_doc"), F.col("idx").alias("old_idx"), F.col("key").alias("old_key"), F.col("tokens").alias("old_tokens"))
-    n = new.select("doc_id", F.col("idx").alias("new_idx"), F.col("key").alias("new_key"), F.col("tokens").alias("new_tokens"))
-    # clauses of one document on both sides, which a document bounds; sizes rule most pairs out before sets are compared
-    least = lambda a, b, share: F.least(F.size(a), F.size(b)) >= share * F.greatest(F.size(a), F.size(b))
-    near = least("old_tokens", "new_tokens", BODY_MIN) | ((F.size("old_key") > 0) & least("old_key", "new_key", HEADING_MIN))
-    pairs = o.join(n, (F.col("o_doc") == F.col("doc_id")) & near)
-    scored = pairs.select("doc_id", "old_idx", "new_idx", (F.size("old_key") > 0).alias("named"), (F.array_sort("old_key") == F.array_sort("new_key")).alias("same_key"), jaccard(F.col("old_key"), F.col("new_key")).alias("heading"), jaccard(F.col("old_tokens"), F.col("new_tokens")).alias("body"))
-    return scored.where((F.col("heading") >= HEADING_MIN) | (F.col("body") >= BODY_MIN) | (F.col("same_key") & F.col("named")))
-
-
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    """One document's pairs: first by heading, then by body, each old clause in order taking the best free one."""
-    rows = list(pairs[["doc_id", "old_idx", "new_idx", "named", "same_key", "heading", "body"]].itertuples(index=False, name=None))
-    by_heading = [(d, i, j, 2.0 if named and same else heading, body) for d, i, j, named, same, heading, body in rows if (named and same) or heading >= HEADING_MIN]
-    by_body = [(d, i, j, body, body) for d, i, j, _, _, _, body in rows if body >= BODY_MIN]
-    taken_old: set[int] = set()
-    taken_new: set[int] = set()
-    out = []
-    for worth in (by_heading, by_body):
-        for d, i, j, _, body in sorted(worth, key=lambda r: (r[1], -r[3], r[2])):
-            if i not in taken_old and j not in taken_new:
-                taken_old.add(i)
-                taken_new.add(j)
-                out.append((d, i, j, round(body, 3)))
-    return pd.DataFrame(out, columns=["doc_id", "old_idx", "new_idx", "similarity"])
-
-
 def match_clauses(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(doc_id, old_idx, new_idx, similarity): exact, by heading, by body; what is left has no partner."""
+    """(doc_id, old_idx, new_idx, similarity): exact, by heading, by body; what is left has no partner.
+
+    What has no exact partner is dealt out by document, once, and matched there (see :mod:`matching`);
+    a document's clauses are what bounds a task.
+    """
     o, n = prepared(old), prepared(new)
     exact = exact_pairs(o, n)
-    left = lambda df, name: df.join(exact.select("doc_id", F.col(name).alias("idx")), ["doc_id", "idx"], "left_anti")
+    left = lambda df, name, new: df.join(exact.select("doc_id", F.col(name).alias("idx")), ["doc_id", "idx"], "left_anti").select("doc_id", F.lit(new).alias("side"), F.col("idx").cast("int").alias("idx"), "key", "tokens")
+    open_ = left(o, "old_idx", False).unionByName(left(n, "new_idx", True)).repartition("doc_id").sortWithinPartitions("doc_id")
     kind = o.schema["doc_id"].dataType.simpleString()
-    fuzzy = candidates(left(o, "old_idx"), left(n, "new_idx")).groupBy("doc_id").applyInPandas(_greedy, f"doc_id {kind}, old_idx int, new_idx int, similarity double")
-    pairs = exact.withColumn("similarity", F.lit(1.0)).unionByName(fuzzy)
+    pairs = exact.withColumn("similarity", F.lit(1.0)).unionByName(open_.mapInArrow(matching.match, f"doc_id {kind}, old_idx int, new_idx int, similarity double"))
     rest = lambda df, name: df.select("doc_id", F.col("idx").alias(name)).join(pairs.select("doc_id", name), ["doc_id", name], "left_anti")
     return pairs.unionByName(rest(o, "old_idx"), allowMissingColumns=True).unionByName(rest(n, "new_idx"), allowMissingColumns=True)
 

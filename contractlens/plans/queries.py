@@ -568,10 +568,45 @@ def draft_diff_status(spark, sf_dir):
     return versions.summary(versions.diff(pairs, old, new, found(old, 100), found(new, 108)))
 
 
-@query()
+def _headed(df: DataFrame, side: str) -> DataFrame:
+    """A draft's lines, every fourth with a heading: a number, which the drafts count differently, and the line's first words; every eighth has a word more in the new draft."""
+    plain = F.regexp_replace("text", " changed$", "") if side == "new" else F.col("text")
+    more = F.when(F.col("idx") % 8 == 4, F.lit(" again")).otherwise(F.lit("")) if side == "new" else F.lit("")
+    heading = F.concat((F.col("idx") + (3 if side == "new" else 1)).cast("string"), F.lit(". "), F.array_join(F.slice(F.split(plain, " "), F.lit(1), F.lit(3)), " "), more)
+    return df.withColumn("heading", F.when(F.col("idx") % 4 == 0, heading))
+
+
+@query("with recursive " + _DRAFTS + r""",
+exact as (select o.doc_id, o.idx as old_idx, n.idx as new_idx from o join n using (doc_id, hash, k)),
+left_over as (
+  select false as side, doc_id, idx, text, case when idx % 4 = 0 then (idx + 1) || '. ' || array_to_string(string_split(text, ' ')[1:3], ' ') end as heading from old anti join (select doc_id, old_idx as idx from exact) using (doc_id, idx)
+  union all select true, doc_id, idx, text, case when idx % 4 = 0 then (idx + 3) || '. ' || array_to_string(string_split(regexp_replace(text, ' changed$', ''), ' ')[1:3], ' ') || case when idx % 8 = 4 then ' again' else '' end end from new anti join (select doc_id, new_idx as idx from exact) using (doc_id, idx)),
+words as (select *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) as t, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce(heading, '')), '^[\s\d.()ivxlc]*[\s.):]', ' '), '[^a-z]+', ' ', 'g')), ' '), lambda x: length(x) >= 2) as w from left_over),
+keyed as materialized (select side, doc_id, idx, t, list_distinct(case when len(list_filter(w, lambda x: length(x) > 2)) > 0 then list_filter(w, lambda x: length(x) > 2) else w end) as h from words),
+pairs as (
+  select a.doc_id, a.idx as old_idx, b.idx as new_idx, case when len(a.h) = 0 or len(b.h) = 0 then 0 else len(list_intersect(a.h, b.h)) / len(list_distinct(list_concat(a.h, b.h))) end as heading,
+    case when len(a.t) = 0 or len(b.t) = 0 then 0 else len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) end as body
+  from keyed a join keyed b on a.doc_id = b.doc_id and not a.side and b.side),
+ways as (
+  select doc_id, 0 as pass, old_idx, new_idx, heading as worth, body from pairs where heading >= 0.7
+  union all select doc_id, 1, old_idx, new_idx, body, body from pairs where body >= 0.4),
+steps as materialized (
+  select *, row_number() over (partition by doc_id order by pass, old_idx) as step
+  from (select doc_id, pass, old_idx, list({'new_idx': new_idx, 'body': body} order by worth desc, new_idx) as ways from ways group by all)),
+taken as (
+  select doc_id, 0::bigint as step, []::int[] as olds, []::int[] as news, null::int as old_idx, null::struct(new_idx int, body double) as pick from (select distinct doc_id from steps)
+  union all
+  select doc_id, step, case when pick is null then olds else list_append(olds, old_idx) end, case when pick is null then news else list_append(news, pick.new_idx) end, old_idx, pick
+  from (
+    select s.doc_id, s.step, g.olds, g.news, s.old_idx, case when not list_contains(g.olds, s.old_idx) then list_filter(s.ways, lambda x: not list_contains(g.news, x.new_idx))[1] end as pick
+    from taken g join steps s on s.doc_id = g.doc_id and s.step = g.step + 1)),
+met as (select doc_id, old_idx, new_idx, 1.0::double as similarity from exact union all select doc_id, old_idx, pick.new_idx, round_even(pick.body, 3) from taken where pick is not null)
+select * from met
+union all select doc_id, idx, null, null from old anti join (select doc_id, old_idx as idx from met) using (doc_id, idx)
+union all select doc_id, null, idx, null from new anti join (select doc_id, new_idx as idx from met) using (doc_id, idx)""")
 def draft_diff_fuzzy(spark, sf_dir):
     old, new = _drafts(spark, sf_dir)
-    return versions.match_clauses(old, new)
+    return versions.match_clauses(_headed(old, "old"), _headed(new, "new"))
 
 
 @query("""with t as (select conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) as t from conversations)
