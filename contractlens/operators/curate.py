@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from contractlens.functions.scratch import Scratch
 from contractlens.functions.stats import index_percentile
 from contractlens.functions.text import text_digest
+from contractlens.operators import greedy
 
 NEAR, IDENTICAL, MIN_USABLE, MAX_USABLE, TEST_SHARE, MIN_SAMPLES = 0.85, 0.999, 150, 4500, 0.35, 8
 
@@ -47,27 +48,12 @@ def same_sets(pieces: DataFrame) -> DataFrame:
 
 
 def kept_documents(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, kept, match) by the greedy rule: kept unless near a kept smaller one.
+    """(doc_id, kept, match) by the greedy rule: kept unless near a kept smaller one; match is the smallest of those.
 
-    edges (a, b) with a < b.  A document whose smaller neighbours are all decided is decided next,
-    so the rounds are as many as the longest chain of neighbours, and each is a join.
+    edges (a, b) with a < b.  The rounds follow the logarithm of the largest component, not the
+    longest chain (see :mod:`greedy`).
     """
-    scratch = Scratch(docs.sparkSession, "kept")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    later = edges.select(F.col("b").alias("doc_id")).distinct()
-    alone = docs.select("doc_id").distinct().join(later, "doc_id", "left_anti")
-    state = scratch.table(alone.select("doc_id", F.lit(True).alias("kept"), F.lit(None).cast(kind).alias("match")), "state0")
-    open_, k = scratch.table(later, "open0"), 0
-    while open_.limit(1).count():
-        k += 1
-        known = edges.join(open_, edges["b"] == open_["doc_id"], "left_semi").join(state.select(F.col("doc_id").alias("a"), F.col("kept").alias("a_kept")), "a", "left")
-        ready = known.groupBy(F.col("b").alias("doc_id")).agg(F.count_if(F.col("a_kept").isNull()).alias("unknown"), F.min(F.when(F.col("a_kept"), F.col("a"))).alias("match"))
-        decided = ready.where("match is not null or unknown = 0").select("doc_id", F.col("match").isNull().alias("kept"), "match")
-        state = scratch.table(state.unionByName(decided), f"state{k}")
-        open_ = scratch.table(open_.join(state, "doc_id", "left_anti"), f"open{k}")
-        scratch.drop(f"state{k - 1}")
-        scratch.drop(f"open{k - 1}")
-    return state
+    return greedy.decide(edges, docs)[0]
 
 
 def first_of_digest(pieces: DataFrame, digest: str = "digest", order: tuple[str, ...] = ("doc_id", "piece_no")) -> DataFrame:
