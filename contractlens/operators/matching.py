@@ -1,4 +1,4 @@
-"""Matching the clauses of two drafts, a batch of whole documents at a time.
+"""Matching the clauses of two drafts, a batch of whole documents at a time: equal ones first, then by heading, then by body.
 
 Sets (heading words, or tokens of a body) that are to reach a Jaccard similarity must share one of
 their first tokens when the rarest of the document come first: of n tokens, the first
@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -89,8 +90,8 @@ def _classes(sets: list[Sets], sides: np.ndarray, docs: np.ndarray) -> np.ndarra
     return np.array([seen.setdefault((int(docs[r]), bool(sides[r]), *(s.of(r) for s in sets)), r) for r in range(len(docs))], dtype=np.int64)
 
 
-def matched(table: pa.Table) -> pa.Table:
-    """Rows (doc_id, side: true for the new draft, idx, key, tokens) of whole documents to pairs (doc_id, old_idx, new_idx, similarity).
+def matched(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """Rows (doc_id, side: true for the new draft, idx, key, tokens) of whole documents to pairs (doc_id, old_idx, new_idx, similarity), and which rows these take.
 
     First by heading, then by body; each old clause in order takes the best free new one, the first of equals.
     """
@@ -134,7 +135,7 @@ def matched(table: pa.Table) -> pa.Table:
                 free[r] = free[best[1]] = False
                 out.append((r, best[1], round(best[2], 3)))
     o, n = (pa.array([x[k] for x in out], pa.int64()) for k in (0, 1))
-    return pa.table({"doc_id": ids.take(o), "old_idx": table.column("idx").take(o), "new_idx": table.column("idx").take(n), "similarity": pa.array([x[2] for x in out], pa.float64())})
+    return pa.table({"doc_id": ids.take(o), "old_idx": table.column("idx").take(o), "new_idx": table.column("idx").take(n), "similarity": pa.array([x[2] for x in out], pa.float64())}), ~free
 
 
 def whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -157,6 +158,33 @@ def whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def exact(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the old and of the new draft that have one digest: the k-th of it in a document meets the k-th on the other side."""
+    code = lambda c: table.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy()  # noqa: E731  a null is a value
+    rows = pd.DataFrame({"doc": code("doc_id"), "digest": code("digest"), "new": table.column("side").to_numpy(), "idx": table.column("idx").to_numpy()})
+    rows["row"] = np.arange(len(rows))
+    rows = rows.sort_values("idx")
+    rows["k"] = rows.groupby(["doc", "digest", "new"]).cumcount()
+    both = rows[~rows["new"]].merge(rows[rows["new"]], on=["doc", "digest", "k"])
+    return both["row_x"].to_numpy(), both["row_y"].to_numpy()
+
+
+def everything(table: pa.Table) -> pa.Table:
+    """Rows (doc_id, side, idx, digest, key, tokens) of whole documents to (doc_id, old_idx, new_idx, similarity), a row for each pair and for each clause without a partner."""
+    ids, idx = table.column("doc_id"), table.column("idx")
+    a, b = exact(table)
+    open_ = np.ones(len(table), dtype=bool)
+    open_[a] = open_[b] = False
+    rest = table.filter(pa.array(open_)).combine_chunks()
+    near, taken = matched(rest)
+    lone = rest.filter(pa.array(~taken))
+    new = lone.column("side").to_numpy()
+    nothing = pa.nulls(len(lone), pa.int32())
+    same = pa.table({"doc_id": ids.take(pa.array(a)), "old_idx": idx.take(pa.array(a)), "new_idx": idx.take(pa.array(b)), "similarity": pa.array(np.ones(len(a)))})
+    left = pa.table({"doc_id": lone.column("doc_id"), "old_idx": pc.if_else(pa.array(new), nothing, lone.column("idx")), "new_idx": pc.if_else(pa.array(new), lone.column("idx"), nothing), "similarity": pa.nulls(len(lone), pa.float64())})
+    return pa.concat_tables([same, near, left])
+
+
 def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in whole_documents(batches):
-        yield from matched(table).to_batches()
+        yield from everything(table).combine_chunks().to_batches(max_chunksize=100_000)

@@ -27,17 +27,13 @@ def exact_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
 def match_clauses(old: DataFrame, new: DataFrame) -> DataFrame:
     """(doc_id, old_idx, new_idx, similarity): exact, by heading, by body; what is left has no partner.
 
-    What has no exact partner is dealt out by document, once, and matched there (see :mod:`matching`);
-    a document's clauses are what bounds a task.
+    Clauses are dealt out by document, once, and matched there (see :mod:`matching`); a document's
+    clauses are what bounds a task.
     """
-    o, n = prepared(old), prepared(new)
-    exact = exact_pairs(o, n)
-    left = lambda df, name, new: df.join(exact.select("doc_id", F.col(name).alias("idx")), ["doc_id", "idx"], "left_anti").select("doc_id", F.lit(new).alias("side"), F.col("idx").cast("int").alias("idx"), "key", "tokens")
-    open_ = left(o, "old_idx", False).unionByName(left(n, "new_idx", True)).repartition("doc_id").sortWithinPartitions("doc_id")
-    kind = o.schema["doc_id"].dataType.simpleString()
-    pairs = exact.withColumn("similarity", F.lit(1.0)).unionByName(open_.mapInArrow(matching.match, f"doc_id {kind}, old_idx int, new_idx int, similarity double"))
-    rest = lambda df, name: df.select("doc_id", F.col("idx").alias(name)).join(pairs.select("doc_id", name), ["doc_id", name], "left_anti")
-    return pairs.unionByName(rest(o, "old_idx"), allowMissingColumns=True).unionByName(rest(n, "new_idx"), allowMissingColumns=True)
+    side = lambda df, new: prepared(df).select("doc_id", F.lit(new).alias("side"), F.col("idx").cast("int").alias("idx"), F.unhex("hash").alias("digest"), "key", "tokens")
+    rows = side(old, False).unionByName(side(new, True)).repartition("doc_id").sortWithinPartitions("doc_id")
+    kind = old.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(matching.match, f"doc_id {kind}, old_idx int, new_idx int, similarity double")
 
 
 def status(before: Column, after: Column, has_new: Column, changed: Column) -> Column:
