@@ -169,13 +169,20 @@ def exact(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return both["row_x"].to_numpy(), both["row_y"].to_numpy()
 
 
+def _words(joined: pa.ChunkedArray) -> pa.ChunkedArray:
+    """Texts as lists of their words; none in the empty text."""
+    return pc.if_else(pc.equal(joined, ""), pa.scalar([], pa.list_(joined.type)), pc.split_pattern(joined, " "))
+
+
 def everything(table: pa.Table) -> pa.Table:
-    """Rows (doc_id, side, idx, digest, key, tokens) of whole documents to (doc_id, old_idx, new_idx, similarity), a row for each pair and for each clause without a partner."""
+    """Rows (doc_id, side, idx, digest, key, tokens; words with a space between them) of whole documents to (doc_id, old_idx, new_idx, similarity), a row for each pair and for each clause without a partner."""
     ids, idx = table.column("doc_id"), table.column("idx")
     a, b = exact(table)
     open_ = np.ones(len(table), dtype=bool)
     open_[a] = open_[b] = False
     rest = table.filter(pa.array(open_)).combine_chunks()
+    for name in ("key", "tokens"):
+        rest = rest.set_column(rest.column_names.index(name), name, _words(rest.column(name)))
     near, taken = matched(rest)
     lone = rest.filter(pa.array(~taken))
     new = lone.column("side").to_numpy()

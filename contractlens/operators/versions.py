@@ -30,7 +30,8 @@ def match_clauses(old: DataFrame, new: DataFrame) -> DataFrame:
     Clauses are dealt out by document, once, and matched there (see :mod:`matching`); a document's
     clauses are what bounds a task.
     """
-    side = lambda df, new: prepared(df).select("doc_id", F.lit(new).alias("side"), F.col("idx").cast("int").alias("idx"), F.unhex("hash").alias("digest"), "key", "tokens")
+    side = lambda df, new: prepared(df).select("doc_id", F.lit(new).alias("side"), F.col("idx").cast("int").alias("idx"), F.unhex("hash").alias("digest"), F.array_join("key", " ").alias("key"), F.array_join("tokens", " ").alias("tokens"))
+    # words are joined: an array of short texts takes several times their room in a shuffle
     rows = side(old, False).unionByName(side(new, True)).repartition("doc_id").sortWithinPartitions("doc_id")
     kind = old.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(matching.match, f"doc_id {kind}, old_idx int, new_idx int, similarity double")
