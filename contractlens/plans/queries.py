@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contractlens.functions import text as tx
+from contractlens.functions.scratch import Scratch
 from contractlens.functions.stats import wilson
 from contractlens.operators import curate, docfacts, evalstats, facts, furniture, gates, guard, router, rules, segment, statutes, triage, versions
 from contractlens.plans import audit
 from contractlens.sources import readers
-from contractlens.streaming import stream
+from contractlens.streaming import state, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -630,6 +631,31 @@ def token_window_60s(spark, sf_dir):
     return stream.trailing_tokens(calls, "event_type", "ts", "one").select("event_id", "used")
 
 
+_CALLS = "select event_type as key, epoch_us(ts) as us, 20 + event_id % 180 as tokens, row_number() over (partition by event_type order by epoch_us(ts), 20 + event_id % 180, event_id) as k from events"
+
+
+@query("""with recursive calls as materialized (""" + _CALLS + """),
+paced as (
+  select key, 0::bigint as k, null::bigint as us, null::bigint as tokens, null::bigint as released_us, 0::bigint as used, []::struct(t bigint, n bigint)[] as w from (select distinct key from calls)
+  union all
+  select key, k, us, tokens, went, used, list_append(list_filter(w, lambda x: went - x.t < 7200000000), {'t': went, 'n': tokens}) from (
+    select *, coalesce(list_sum(list_transform(list_filter(w, lambda x: went - x.t < 7200000000), lambda x: x.n)), 0)::bigint as used from (
+      select key, k, us, tokens, w, list_filter(list_prepend(soonest, list_transform(list_filter(w, lambda x: soonest - x.t < 7200000000), lambda x: x.t + 7200000000)),
+        lambda a: coalesce(list_sum(list_transform(list_filter(w, lambda x: a - x.t < 7200000000), lambda x: x.n)), 0) in (0) or coalesce(list_sum(list_transform(list_filter(w, lambda x: a - x.t < 7200000000), lambda x: x.n)), 0) + tokens <= 500)[1] as went
+      from (select c.key, c.k, c.us, c.tokens, p.w, greatest(c.us, coalesce(p.released_us + 600000000, c.us)) as soonest from paced p join calls c on c.key = p.key and c.k = p.k + 1))))
+select key, us, tokens, released_us, used from paced where k > 0""")
+def paced_calls(spark, sf_dir):
+    """The events replayed as a stream of calls: a gap of ten minutes, and 500 tokens in two hours."""
+    scratch = Scratch(spark, "paced")
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), stream.micros("ts").alias("us"), (F.col("event_id") % 180 + 20).cast("long").alias("tokens"))
+    held = scratch.table(events, "calls")  # a stream reads a folder of files
+    calls = spark.readStream.schema(held.schema).parquet(f"{scratch.root}/calls")
+    with state.rocksdb(spark):
+        query = state.paced(calls, 500, 0.1, 7200).writeStream.format("parquet").option("path", f"{scratch.root}/out").option("checkpointLocation", f"{scratch.root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{scratch.root}/out")
+
+
 @query("select user_id, epoch_us(last) as last_us from (select user_id, max(ts) as last from events group by user_id) where last > (select max(ts) from events) - interval 30 days order by last desc, user_id limit 200")
 def cache_ttl_lru(spark, sf_dir):
     events = table(spark, sf_dir, "events")
