@@ -170,45 +170,39 @@ def bm25_topk(spark, sf_dir):
     return statutes.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), asked, "doc_id", "text", k=5)
 
 
-_ACT = [
-    ("act_a", "PREAMBLE of the act\n1. Short title. This act may be called the sample act and it extends to the whole of the land.\n2. Deposits. The security deposit shall not exceed two months of rent for a home,\nand it shall be given back when the premises are vacated, less what is owed.\n3. Entry.\n4. Entry. The owner may enter after twenty-four hours of notice in writing between sunrise and sunset and no other way."),
-    ("act_b", "2A. Penalty. Only reasonable compensation not exceeding the amount named is due to the party that suffers.\n2A. Penalty in short.\n5. Repeal of everything that was in force before the day on which this act came into force."),
-]
-
-
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
-
-
 @query(r"""
-with acts(corpus_id, text) as (values """ + _values(_ACT) + r"""),
+with acts as (
+  select doc_id::varchar as corpus_id, string_agg(case when i % 3 = 1 then ((i // 3) % 9 + 1) || case when i % 2 = 0 then 'A. ' else '. ' end || l else l end, chr(10) order by i) as text
+  from (select doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(len(string_split(text, chr(10))))) as i from documents) group by doc_id),
 lines as (select corpus_id, i as pos, l, regexp_extract(l, '(?i)^\s*(?:\d+\[\s*)?(?:section\s+)?(\d+[A-Z]{0,2})\s*[.:–—-]', 1) as section
   from (select corpus_id, unnest(string_split(text, chr(10))) as l, unnest(range(len(string_split(text, chr(10))))) as i from acts)),
 parts as (select *, sum((section <> '')::int) over (partition by corpus_id order by pos) as part from lines),
 spans as (select corpus_id, max(section) as section, min(pos) as pos, trim(regexp_replace(string_agg(l, chr(10) order by pos), '\s+', ' ', 'g')) as span from parts where part > 0 group by corpus_id, part)
 select corpus_id, upper(section) as section, span, pos::int as pos from (select *, row_number() over (partition by corpus_id, section order by length(span) desc, pos) as k from spans where length(span) >= 40) where k = 1""")
 def section_spans(spark, sf_dir):
-    return statutes.sections(spark.createDataFrame(_ACT, "corpus_id string, text string"))
-
-
-_CITED = [
-    ("norm", None, None, "anything"), ("statutory", "2", "2. Deposits. The security deposit shall not exceed two months of rent for a home, and it shall be given back when the premises are vacated by the tenant.", "two months"),
-    ("statutory", "3", "2. Deposits. The security deposit shall not exceed two months of rent for a home, and it shall be given back when the premises are vacated by the tenant.", "two months"),
-    ("statutory", "2", "2. Deposits.", "two months"), ("policy", "2", None, "two months"),
-    ("policy", "2", "2. Deposits. The security deposit shall not exceed two months of rent for a home, and it shall be given back when the premises are vacated by the tenant.", "sunrise and sunset"),
-]
+    """Documents as acts: every third line opens a section, nine numbers take turns, and of the sections of one number the longest counts."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("l"), i.alias("i")))
+    numbered = F.transform(lines, lambda x: F.when(x["i"] % 3 == 1, F.concat((F.floor(x["i"] / 3) % 9 + 1).cast("string"), F.when(x["i"] % 2 == 0, F.lit("A. ")).otherwise(F.lit(". ")), x["l"])).otherwise(x["l"]))
+    return statutes.sections(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("corpus_id"), F.array_join(numbered, "\n").alias("text")))
 
 
 @query(r"""
-with c(basis, section, span, anchor) as (values """ + _values(_CITED) + r"""),
+with c as (
+  select doc_id, case doc_id % 5 when 0 then 'norm' when 1 then 'policy' else 'statutory' end as basis, (1 + doc_id % 2)::varchar as section,
+    case doc_id % 7 when 0 then null when 1 then ' ' when 2 then (1 + doc_id % 2) || '. ' || left(text, 60) else (1 + doc_id % 3) || '. ' || text end as span,
+    case when doc_id % 11 = 0 then 'sunrise and sunset' else array_to_string(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ')[2:5], ' ') end as anchor from documents),
 n as (select *, trim(regexp_replace(coalesce(span, ''), '\s+', ' ', 'g')) as tight, trim(regexp_replace(lower(coalesce(span, '')), '[^a-z0-9]+', ' ', 'g')) as hay,
   list_filter(string_split(trim(regexp_replace(lower(anchor), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 2) as words from c)
-select basis, section, anchor, case when basis = 'norm' then null when span is null or tight = '' then 'no span'
+select doc_id, case when basis = 'norm' then null when span is null or tight = '' then 'no span'
   when not list_contains(string_split(regexp_replace(upper(left(tight, 120)), '[^A-Z0-9]+', ' ', 'g'), ' '), upper(section)) then 'wrong section'
-  when length(tight) < 120 then 'heading only' when len(list_filter(words, lambda w: not contains(hay, w))) > 0 then 'no anchor' end as reason from n""")
+  when length(tight) < 120 then 'heading only' when len(words) = 0 or len(list_filter(words, lambda w: not contains(hay, w))) > 0 then 'no anchor' end as reason from n""")
 def verify_cascade(spark, sf_dir):
-    rows = spark.createDataFrame(_CITED, "basis string, section string, span string, anchor string")
-    return rows.select("basis", "section", "anchor", statutes.reject_reason(F.col("basis"), F.col("section"), F.col("span"), F.array("anchor")).alias("reason"))
+    """A citation of each document: other sections, short and empty spans, and anchors that stand there or don't."""
+    k, text = F.col("doc_id"), F.col("text")
+    basis = F.when(k % 5 == 0, F.lit("norm")).when(k % 5 == 1, F.lit("policy")).otherwise(F.lit("statutory"))
+    span = F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, F.lit(" ")).when(k % 7 == 2, F.concat((k % 2 + 1).cast("string"), F.lit(". "), F.left(text, F.lit(60)))).otherwise(F.concat((k % 3 + 1).cast("string"), F.lit(". "), text))
+    anchor = F.when(k % 11 == 0, F.lit("sunrise and sunset")).otherwise(F.array_join(F.slice(F.split(F.regexp_replace(text, r"\s+", " "), " "), F.lit(2), F.lit(4)), " "))
+    return table(spark, sf_dir, "documents").select("doc_id", statutes.reject_reason(basis, (k % 2 + 1).cast("string"), span, F.array(anchor)).alias("reason"))
 
 
 #: Common words of each language, as lexicons.
@@ -394,23 +388,43 @@ def evidence_span(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.evidence(F.col("text"), "licen[cs]e").alias("evidence")).where("evidence is not null")
 
 
-_HOURS = [("Monday to Saturday, 10:00 AM to 7:00 PM", 54.0, 48.0), ("Monday - Friday 9:30am-6:30pm", 45.0, 40.0), ("Monday to Friday, 9.00 to 1.00", 20.0, 20.0), ("no hours here", None, None), ("Saturday to Monday 12:00 am to 8:00", 24.0, 21.0)]
-_TERMS = [
-    ("for a period of 11 months from", 11.0, None), ("a term of two years", 24.0, None), ("a 36-month lease", 36.0, None), ("deposit equal to three months' rent", None, 3.0), ("security deposit of Rs. 60,000 and monthly rent of Rs. 20,000", None, 3.0),
-    ("deposit of two (2) months rent, or a deposit of six months rent", None, None), ("nothing", None, None),
-]
+_DAYS = [d.capitalize() for d in facts.DAYS]
+_NUMBER_WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"]
+_K = "o_orderkey % 7 as i, (o_orderkey // 7) % 7 as j, 6 + o_orderkey % 6 as h1, 30 * (o_orderkey % 2) as m1, 1 + (o_orderkey // 5) % 8 as h2, 30 * ((o_orderkey // 3) % 2) as m2, o_orderkey % 4 as way"
 
 
-@query("select * from (values " + _values(_HOURS) + ") t(text, gross, net)")
-def weekly_hours(spark, sf_dir):
-    rows = spark.createDataFrame([(r[0],) for r in _HOURS], "text string")
-    return rows.select("text", facts.weekly(F.col("text")).alias("w")).select("text", F.col("w.gross").alias("gross"), F.col("w.net").alias("net"))
+def _item(words: list[str], place: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, words)), place.cast("int") + 1)
 
 
-@query("select * from (values " + _values(_TERMS) + ") t(text, term, deposit)")
+@query(f"""with k as (select o_orderkey, {_K} from orders),
+t as (select o_orderkey, ((j - i) % 7 + 7) % 7 + 1 as days, case way when 0 then ((h2 + 12) * 60 + m2 - h1 * 60 - m1) / 60 when 1 then (case when h2 < h1 then h2 + 12 else h2 end * 60 + m2 - h1 * 60 - m1) / 60 when 2 then (h1 * 60 + m2 - m1) / 60 end as hours from k),
+g as (select o_orderkey, days, case when hours > 0 and hours <= 16 then days * hours end as gross from t)
+select o_orderkey, gross::double as gross, case when gross / days > 5 then gross - days else gross end::double as net from g""")
+def weekly_hours(spark, sf_dir):
+    """Working times written out for each order: with and without am and pm, from midnight, and with none."""
+    k, pad = F.col("o_orderkey"), lambda n: F.lpad(n.cast("string"), 2, "0")
+    at = lambda n, m: (F.call_function("div", k, F.lit(n)) % m)
+    days = F.concat(_item(_DAYS, k % 7), F.lit(" to "), _item(_DAYS, at(7, 7)), F.lit(", "))
+    h1, m1, h2, m2 = (k % 6 + 6).cast("string"), pad(k % 2 * 30), (at(5, 8) + 1).cast("string"), pad(at(3, 2) * 30)
+    said = [F.concat(h1, F.lit(":"), m1, F.lit(" AM - "), h2, F.lit(":"), m2, F.lit(" PM")), F.concat(h1, F.lit("."), m1, F.lit(" to "), h2, F.lit("."), m2), F.concat(F.lit("12:"), m1, F.lit(" am to "), h1, F.lit(":"), m2), F.lit("by arrangement")]
+    text = F.concat(F.lit("The office is open "), days, F.get(F.array(*said), (k % 4).cast("int")))
+    return table(spark, sf_dir, "orders").select(k, facts.weekly(text).alias("w")).select("o_orderkey", F.col("w.gross").alias("gross"), F.col("w.net").alias("net"))
+
+
+@query("""with k as (select o_orderkey, o_orderkey % 7 as way, 1 + o_orderkey % 60 as n, 1 + o_orderkey % 12 as w from orders)
+select o_orderkey, case way when 0 then n when 1 then 12 * w when 2 then n end::double as term, case way when 3 then w when 4 then w end::double as deposit from k""")
 def term_and_deposit_months(spark, sf_dir):
-    rows = spark.createDataFrame([(r[0],) for r in _TERMS], "text string")
-    return rows.select("text", docfacts.term_months(F.col("text")).alias("term"), docfacts.deposit_months(F.col("text")).alias("deposit"))
+    """A term or a deposit written out for each order: in digits, in words, as an adjective, as two sums of money, twice with different numbers, and not at all."""
+    k = F.col("o_orderkey")
+    n, word, sum_ = (k % 60 + 1).cast("string"), _item(_NUMBER_WORDS, k % 12), (k % 20 + 1) * 1000
+    said = [
+        F.concat(F.lit("It runs for a period of "), n, F.lit(" months from the first day.")), F.concat(F.lit("It has a term of "), word, F.lit(" years.")), F.concat(F.lit("This is a "), n, F.lit("-month lease of the house.")),
+        F.concat(F.lit("There is a deposit equal to "), word, F.lit(" months' rent.")), F.concat(F.lit("There is a security deposit of Rs. "), F.format_number(sum_ * (k % 12 + 1), 0), F.lit(" and a monthly rent of Rs. "), F.format_number(sum_, 0), F.lit(".")),
+        F.concat(F.lit("A deposit of "), word, F.lit(" months rent is due.\nOr else a deposit of eighteen months rent.")), F.lit("Nothing is said."),
+    ]
+    text = F.get(F.array(*said), (k % 7).cast("int"))
+    return table(spark, sf_dir, "orders").select(k, docfacts.term_months(text).alias("term"), docfacts.deposit_months(text).alias("deposit"))
 
 
 def _list(words) -> str:
@@ -723,11 +737,6 @@ def audit_full(spark, sf_dir):
     return audit.audit(docs)[1]
 
 
-@query()
-def rules_catalogue(spark, sf_dir):
-    return readers.rules_table(spark)
-
-
 @query()
 def evaluate_clause(spark, sf_dir):
     """Rules by supplied parameters, of JSON in the events table and of three fixed ones.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contractlens.operators import evalstats, rulebook, rules, statutes
 from contractlens.plans import audit, papers
 from contractlens.plans.queries import SQL, _list, query, table
+from contractlens.sources import readers
 
 _PAPERS = "papers as (select doc_id, case doc_id % 3 when 0 then 'employment' when 1 then 'rental' else 'loan' end as doc_type from documents),\nbank(doc_type, code, whole, rule_id, severity) as (values " + ", ".join(
     f"('{t}', '{p.code}', {str(p.whole).lower()}, '{rule}', '{severity}')" for t, own in papers.BANK.items() for p in own for rule, severity in p.raises
@@ -113,19 +116,20 @@ _EVERY_RULE = "p as materialized (select o_orderkey, " + ", ".join(map(_generate
 ) + ")"
 
 
-def _every_rule(spark, sf_dir):
-    """Each order's hash as the parameters of a clause, in JSON, judged by the rules of each type."""
+def _parameter(f: str) -> Column:
+    """A field of the clause of an order, from a digit of its hash."""
+    digit = F.substring(F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit(f":{f}")).cast("binary")), 1, 1)
+    if f == "premises_type":
+        return F.when(digit.between("0", "4"), F.lit("residential")).when(digit.between("5", "9"), F.lit("non_residential"))
+    if f in _NUMBERS:
+        a, b = _NUMBERS[f]
+        return F.when(digit.between("0", "9"), digit.try_cast("int") * a + b)
+    return F.when(digit.between("0", "5"), F.lit(True)).when(digit.between("6", "9"), F.lit(False))
 
-    def value(f: str) -> Column:
-        digit = F.substring(F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit(f":{f}")).cast("binary")), 1, 1)
-        if f == "premises_type":
-            return F.when(digit.between("0", "4"), F.lit("residential")).when(digit.between("5", "9"), F.lit("non_residential"))
-        if f in _NUMBERS:
-            a, b = _NUMBERS[f]
-            return F.when(digit.between("0", "9"), digit.try_cast("int") * a + b)
-        return F.when(digit.between("0", "5"), F.lit(True)).when(digit.between("6", "9"), F.lit(False))
 
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(*(value(f).alias(f) for f in _FIELDS))).alias("params"))
+def _every_rule(spark, sf_dir):
+    """Each order's hash as the parameters of a clause, in JSON, judged by the rules of each type."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(*(_parameter(f).alias(f) for f in _FIELDS))).alias("params"))
     judged = audit.evaluate_clause(rows.withColumn("doc_type", F.explode(F.array(*map(F.lit, rulebook.RULES)))), _NORMS)
     return judged.select("o_orderkey", "doc_type", F.explode("findings").alias("f")).select("o_orderkey", "doc_type", "f.rule_id", "f.severity")
 
@@ -146,6 +150,22 @@ def every_rule_census(spark, sf_dir):
     return known.join(fired, "rule_id", "left").crossJoin(F.broadcast(orders)).select("rule_id", n.alias("fired"), (F.col("n") - n).alias("silent"), F.coalesce("high", F.lit(0)).alias("high"))  # orders are one row
 
 
+def _catalogued(kind: str, i: int, r: dict) -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    own = rules.required_fields(r)
+    return f"select {text(kind)} as doc_type, {i}::int as rule_order, {text(r['id'])} as rule_id, {text(r['category'])} as category, {text(r['basis'])} as basis, {text(r['severity'])} as severity, {text(r.get('scope', 'clause'))} as scope, {text(','.join(own))} as fields, {text(json.dumps(r['when']))} as condition, count(*) filter ({' and '.join(f'{f} is not null' for f in own)}) as judged from p"
+
+
+@query("with p as materialized (select o_orderkey, " + ", ".join(map(_generated, _FIELDS)) + " from orders)\n" + "\nunion all ".join(_catalogued(kind, i, r) for kind, own in rulebook.RULES.items() for i, r in enumerate(own)))
+def rules_catalogue(spark, sf_dir):
+    """The rules, each with how many of the orders' generated clauses say something of all its fields."""
+    given = rules.values_of(F.struct(*(_parameter(f).alias(f) for f in _FIELDS)))
+    known = rules.rules_table(spark, rulebook.RULES).select("doc_type", "rule_id", F.col("fields").alias("all_"))
+    said = table(spark, sf_dir, "orders").select(F.map_keys(given).alias("said"))
+    judged = said.join(F.broadcast(known), F.size(F.array_except("all_", "said")) == 0).groupBy("doc_type", "rule_id").agg(F.count(F.lit(1)).alias("judged"))  # 48 rules
+    return readers.rules_table(spark).join(judged, ["doc_type", "rule_id"], "left").withColumn("judged", F.coalesce("judged", F.lit(0)))
+
+
 @query("with " + _PAPERS + """,
 grounded as (select f.*, r.section from found f join (values """ + ", ".join(f"('{r['id']}', " + (f"'{r['source']['section']}'" if r["source"].get("section") else "null") + ")" for own in rulebook.RULES.values() for r in own if r.get("source")) + """) r(rule_id, section) using (rule_id)),
 ways as (select rule_id, unnest([case when section is not null then 'other section' end, 'heading alone', 'no anchor']) as poison from grounded)
