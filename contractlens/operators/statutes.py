@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from contractlens.functions.scratch import Scratch
 from contractlens.functions.text import sentences, squeeze, tokens
+from contractlens.operators import index
 from contractlens.operators.rulebook import PROFILES
 
 WINDOW_SENTENCES, STRIDE, MIN_CHUNK = 4, 2, 80
@@ -55,22 +56,31 @@ def bm25(passages: DataFrame, queries: DataFrame, key: str = "chunk_id", text: s
     """
     scratch = Scratch(passages.sparkSession, "bm25")
     both = [within] if within else []
-    asked = scratch.table(queries.select("query_id", *both, F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", *both, "term").agg(F.count(F.lit(1)).alias("times")), "asked")
-    few = F.broadcast if asked.count() <= SMALL_QUERIES else (lambda df: df)
+    asked, few = _asked(queries, both, scratch)
     post = scratch.table(postings(passages, key, text, few(asked.select("term").distinct()), tuple(both)), "postings")
     totals = post.where("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-    df = post.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = post.where("term is not null")
+    return ranked(hits, asked, totals, key, scratch, few, both, hits if pool is None else hits.join(passages.where(pool).select(key), key, "left_semi"), k)
+
+
+def _asked(queries: DataFrame, both: list[str], scratch: Scratch):
+    """(query_id, term, times) of queries, and how its rows are joined: broadcast while they are few."""
+    asked = scratch.table(queries.select("query_id", *both, F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", *both, "term").agg(F.count(F.lit(1)).alias("times")), "asked")
+    return asked, F.broadcast if asked.count() <= SMALL_QUERIES else (lambda df: df)
+
+
+def ranked(post: DataFrame, asked: DataFrame, totals: DataFrame, key: str, scratch: Scratch, few, both: list[str], hits: DataFrame, k: int | None) -> DataFrame:
+    """(query_id, key, score, rank) of hits, by the document frequencies of post (key, size, term, tf) and one row of totals (n, mean)."""
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     known = scratch.table(asked.join(df, "term").crossJoin(F.broadcast(totals)), "known")  # totals are one row
-    hits = post.where("term is not null").join(few(known), ["term", *both])
-    if pool is not None:
-        hits = hits.join(passages.where(pool).select(key), key, "left_semi")
+    met = hits.join(few(known), ["term", *both])
     parts = F.sort_array(F.collect_list(F.struct("term", (F.col("times") * idf * weight).alias("w"))))  # terms of one query
     raw = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["w"])
-    scored = hits.groupBy("query_id", key).agg(raw.alias("raw")).where("raw > 0")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), key)))
-    return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", key, F.round("raw", 3).alias("score"), "rank")
+    scored = met.groupBy("query_id", key).agg(raw.alias("raw")).where("raw > 0")
+    placed = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), key)))
+    return (placed if k is None else placed.where(F.col("rank") <= k)).select("query_id", key, F.round("raw", 3).alias("score"), "rank")
 
 
 def sections(acts: DataFrame) -> DataFrame:
@@ -178,19 +188,19 @@ def save_index(acts: DataFrame, path: str) -> None:
     sections(acts).write.mode("overwrite").parquet(f"{path}/sections")
     passages = chunks(acts).withColumn("chunk_id", F.concat_ws("#", "corpus_id", F.lpad(F.col("start").cast("string"), 6, "0")))
     passages.write.mode("overwrite").parquet(f"{path}/passages")
-    postings(acts.sparkSession.read.parquet(f"{path}/passages")).write.mode("overwrite").parquet(f"{path}/postings")
+    index.write(acts.sparkSession.read.parquet(f"{path}/passages").select("chunk_id", "corpus_id", F.col("chunk").alias("text")), f"{path}/terms")
 
 
 class Index:
-    """A saved index; statistics are fitted anew from the stored postings when it is loaded."""
+    """A saved index; searches read the stored postings of the asked terms."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.sections, self.passages, self.postings = (spark.read.parquet(f"{path}/{name}") for name in ("sections", "passages", "postings"))
+        self.sections, self.passages = (spark.read.parquet(f"{path}/{name}") for name in ("sections", "passages"))
+        self.terms = index.Terms(spark, f"{path}/terms")
 
     def statistics(self) -> DataFrame:
         """(term, df, n, mean): document frequencies beside the number of passages and their mean size."""
-        totals = self.postings.where("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-        return self.postings.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals))  # totals are one row
+        return self.terms.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(self.terms.totals()))  # totals are one row
 
     def lookup(self, corpus_id: str, section: str) -> DataFrame:
         """(corpus_id, section, span) of a section."""
@@ -199,7 +209,7 @@ class Index:
     def search(self, query: str, k: int = 5) -> DataFrame:
         """(rank, chunk_id, corpus_id, chunk, score) of the best passages."""
         asked = self.passages.sparkSession.createDataFrame([("q", query)], "query_id string, query string")
-        found = bm25(self.passages, asked, k=k).select("rank", "chunk_id", "score")
+        found = self.terms.search(asked, k).select("rank", F.col("key").alias("chunk_id"), "score")
         return found.join(self.passages.select("chunk_id", "corpus_id", "chunk"), "chunk_id").select("rank", "chunk_id", "corpus_id", "chunk", "score")
 
     def stale(self, files: DataFrame, built_at: Column) -> bool:
