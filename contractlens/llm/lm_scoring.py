@@ -77,6 +77,11 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as their differences, which are smaller."""
+    return np.diff(keys, prepend=keys.dtype.type(0))
+
+
 class Words:
     """Numbers for the words of a chunk, and each word's 64 bits; number 0 is the end."""
 
@@ -170,7 +175,7 @@ def _asked(parts: int):
                 for p in range(parts):
                     cut = [[a[e[p] : e[p + 1]] for a in (k, t, u)] for k, t, u, e in out]
                     if len(cut[0][0]) or len(cut[1][0]):
-                        yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "chunk": pa.array([row["chunk"]], pa.int64()), "asked": pa.array([pack(*cut[0], *cut[1])], pa.binary())})
+                        yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "chunk": pa.array([row["chunk"]], pa.int64()), "asked": pa.array([pack(*(x for k, *counts in cut for x in (_steps(k), *counts)))], pa.binary())})
 
     return run
 
@@ -183,6 +188,8 @@ def _edges(parts: int) -> np.ndarray:
 def _answers(group: pa.Table) -> pa.Table:
     """The sums of a part for each chunk, in the order that it asked; in one row also how many words were trained on."""
     asked = [unpack(x, *("uint64", "uint32", "uint32") * 2) for x in group.column("asked").to_pylist()]
+    for a in asked:
+        a[0], a[3] = np.cumsum(a[0]), np.cumsum(a[3])
     sums: list[list] = [[] for _ in asked]
     distinct = 0
     for j in (0, 3):
