@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contractlens.functions.scratch import Scratch
-from contractlens.functions.text import sentences, squeeze, tokens
+from contractlens.functions.text import bound, sentences, squeeze, tokens
 from contractlens.operators import index
 from contractlens.operators.rulebook import PROFILES
 
@@ -102,9 +102,9 @@ def plain_words(x: Column) -> Column:
 
 def anchor_present(anchors: Column, span: Column) -> Column:
     """Whether all words over two letters of some anchor stand in the span; yes without anchors."""
-    hay = plain_words(span)
     words = lambda a: F.filter(F.split(plain_words(a), " "), lambda w: F.length(w) > 2)
-    return F.coalesce(F.size(anchors) == 0, F.lit(True)) | F.exists(anchors, lambda a: (F.size(words(a)) > 0) & F.forall(words(a), lambda w: F.contains(hay, w)))
+    shown = lambda hay: F.exists(anchors, lambda a: bound(words(a), lambda own: (F.size(own) > 0) & F.forall(own, lambda w: F.contains(hay, w))))
+    return F.coalesce(F.size(anchors) == 0, F.lit(True)) | bound(plain_words(span), shown)
 
 
 def widened(span: Column, anchors: Column) -> Column:

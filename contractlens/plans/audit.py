@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -80,35 +80,44 @@ def clause_findings(clauses: DataFrame, norms: dict | None = None) -> DataFrame:
     return clauses.withColumn("findings", rules.judge(F.col("params"), F.coalesce(own, F.array().cast(f"array<{rules.RULE}>"))))
 
 
-def audit(docs: DataFrame, acts: DataFrame | None = None, extractor: Extractor | None = extract.keyword_params, norms: dict | None = None, errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def audit(
+    docs: DataFrame, acts: DataFrame | None = None, extractor: Extractor | None = extract.keyword_params, norms: dict | None = None, errors: DataFrame | None = None, again: Sequence[Extractor] = ()
+) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, doc_type, text) to (findings, summary by document).
 
     acts (corpus_id, text) are what findings are cited from; without them those that need a source
     are withheld.  errors (clause_id) are clauses that an extractor failed on: they count as unread.
+    A clause with a withheld finding is read again by each extractor of ``again`` in turn, and its
+    last reading counts; ``tries`` says how many there were.
     Documents of more than MAX_CLAUSES clauses are refused and have no findings.  Verdicts,
     clauses and findings are written once, as what follows reads them more than once.
     """
     scratch = Scratch(docs.sparkSession, "audit")
     documents = scratch.table(document_columns(docs).drop("text"), "documents")
     readable = docs.where(unreadable(F.col("doc_type"), F.col("text")).isNull()).select("doc_id", "doc_type", "text")
-    clauses = computed(segment.segment(readable), "triage", triage.decide(F.col("text")))
+    clauses = computed(segment.segment(readable), "triage", once(triage.decide, "text"))
     clauses = clauses.withColumn("keep", F.col("triage.keep") | (F.col("n_clauses") < triage.MIN_CLAUSES))
     clauses = scratch.table(clauses.join(documents.select("doc_id", "doc_facts"), "doc_id"), "clauses")
-    if errors is not None:
-        clauses = clauses.join(errors.select("clause_id", F.lit(True).alias("failed")), "clause_id", "left")
-    else:
-        clauses = clauses.withColumn("failed", F.lit(False))
-    read = clause_findings(clause_facts(clauses.where("keep").where(F.col("n_clauses") <= MAX_CLAUSES), extractor), norms)
-    found = read.select("doc_id", "doc_type", "clause_id", "order", "heading", F.col("text").alias("clause_text"), "evidence", "params", F.explode("findings").alias("f"))
-    found = found.select("*", "f.*").drop("f", "sort_rank")
-    found = found.withColumn("from_text", (F.size(F.array_intersect("fields", F.map_keys("evidence"))) > 0) & F.forall(F.array_intersect("fields", F.map_keys("params")), lambda x: F.map_contains_key("evidence", x)))
-    found = scratch.table(found, "found")  # citing, checking and counting all read it
-    cited = statutes.cite(found, acts) if acts is not None else found.withColumns({"citation_span": F.lit(None).cast("string"), "citation_source": F.lit(None).cast("string")})
-    verified = statutes.verify(cited)
+
+    def reading(left: DataFrame, k: int) -> DataFrame:
+        read = clause_findings(clause_facts(left, [extractor, *again][k]), norms)
+        found = read.select("doc_id", "doc_type", "clause_id", "order", "heading", F.col("text").alias("clause_text"), "evidence", "params", F.lit(k + 1).alias("tries"), F.explode("findings").alias("f"))
+        found = found.select("*", "f.*").drop("f", "sort_rank")
+        found = found.withColumn("from_text", (F.size(F.array_intersect("fields", F.map_keys("evidence"))) > 0) & F.forall(F.array_intersect("fields", F.map_keys("params")), lambda x: F.map_contains_key("evidence", x)))
+        found = scratch.table(found, f"found{k}")  # citing, checking and counting all read it
+        cited = statutes.cite(found, acts) if acts is not None else found.withColumns({"citation_span": F.lit(None).cast("string"), "citation_source": F.lit(None).cast("string")})
+        return statutes.verify(cited)
+
+    whole = clauses.where("keep").where(F.col("n_clauses") <= MAX_CLAUSES)
+    verified = retried(whole, reading, 1 + len(again)) if again else reading(whole, 0)
     first = Window.partitionBy("doc_id", "rule_id").orderBy("order")  # a document's clauses at most
     kept = verified.where("verified").withColumn("k", F.row_number().over(first)).where("scope <> 'document' or k = 1").drop("k")
     verdicts = documents.select("doc_id", F.col("verdict.status").alias("type_status"), F.col("verdict.suggested").alias("type_suggested"))
     shown = scratch.table(kept.join(verdicts, "doc_id").where("type_status <> 'mismatch'"), "shown")
+    if errors is not None:
+        clauses = clauses.join(errors.select("clause_id", F.lit(True).alias("failed")), "clause_id", "left")
+    else:
+        clauses = clauses.withColumn("failed", F.lit(False))
     return shown, summary(documents, clauses, shown)
 
 
