@@ -1,6 +1,8 @@
 """Each operator against a plain version, over texts with nulls, ties, repeats and odd characters."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -376,6 +378,48 @@ def test_rarer_words_elsewhere_hide_no_notice(spark):
     assert {t.label for t in license_scan.TEMPLATES} <= set(got[100]["labels"].split(",")) and got[101]["labels"] == ""
 
 
+def plain_licences(texts):
+    """Labels and score of each text by counting places word by word."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    index = license_scan.postings(license_scan.TEMPLATES)
+    vocabulary = {w for w, _, _ in index}
+    own = [cut(t) for t in texts]
+    frequency = Counter(w for words in own for w in set(words) & vocabulary)
+    idf = {w: math.log(1 + len(texts) / n) for w, n in frequency.items()}
+    out = []
+    for words in own:
+        norm = " " + " ".join(words) + " "
+        base = {label for p, label in license_scan.BASE if f" {p} " in norm}
+        labels, best = set(base), 0.5 if base else 0.0
+        for t, template in enumerate(license_scan.TEMPLATES):
+            mine = [(w, pos) for w, x, pos in index if x == t]
+            weight, hits = Counter(), Counter()
+            for at, w in enumerate(words):
+                for x, pos in mine:
+                    if x == w:
+                        weight[at - pos] += idf[w]
+                        hits[at - pos] += 1
+            whole = sum(idf.get(w, math.log(1 + len(texts))) for w, _ in mine)
+            scores = [min(1.0, weight[b] / whole) for b in weight if hits[b] >= min(2, len(mine))]
+            if scores and all(f" {k} " in norm for k in template.keys):
+                labels.add(template.label)
+                best = max(best, *scores)
+        out.append((",".join(sorted(labels)), round(best, 9)))
+    return out
+
+
+def test_licence_labels_and_scores(spark, texts):
+    """Every notice whole, shuffled, cut in two by other words, in capitals, and without its key phrases."""
+    rng = random.Random(5)
+    rows = [t for _, t in texts]
+    for t in license_scan.TEMPLATES:
+        words = t.text.split()
+        middle = len(words) // 2
+        rows += [f"{noise(30, 1)} {t.text} {noise(9, 2)}", " ".join(rng.sample(words, len(words))), " ".join([*words[:middle], *noise(3, 4).split(), *words[middle:]]), t.text.upper(), " ".join(w for w in words if all(w not in k.split() for k in t.keys)), f"{t.text} and {t.text}"]
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in license_scan.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == plain_licences(rows)
+
+
 # -- classifier ------------------------------------------------------------------------------------
 
 
