@@ -2,14 +2,15 @@
 
 Licence notices are templates of words with positions.  One pass over the texts finds base
 phrases and which template words a text holds.  From that come the words' document frequencies
-over all documents.  All template words of a text are then looked up in the postings; a posting
-votes for where the template would begin, and the place with most votes is the alignment.
-A template counts if two of its words, or all that it has, agree on a place, and all its key
-phrases stand in the text.
+over all documents.  Of each template the LOOKED_UP words of the highest inverse document frequency
+and those of its key phrases are looked up in a text; a posting votes for where the template would
+begin.  A template counts where all words of its key phrases agree on a place and the phrases stand
+there, counted from it; the score is the share of the weight of what is looked up that agrees.
 
 Only frequencies of template words come to the driver, and only postings are broadcast; both are
 bounded by the templates.  Votes are grouped by row, template and place, so a long text or a
-frequent notice makes no large group.
+frequent notice makes no large group; only places that the key words agree on are put together, for
+one text and template.
 
 Defined cases: a null or empty text has no words, no labels and score 0; a null doc_id stays null;
 repeated rows each get a row; an empty table gives an empty result; extra columns are ignored.
@@ -31,6 +32,9 @@ BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 #: Words that are in no posting (fixed values).
 STOP = frozenset("a an and any are as at be by for from in is it may not of on or that the this to under use used with without you your".split())
 
+#: Words of a template that are looked up beside those of its key phrases.
+LOOKED_UP = 6
+
 
 @dataclass(frozen=True)
 class Template:
@@ -68,6 +72,17 @@ def postings(templates: tuple[Template, ...] = TEMPLATES) -> list[tuple[str, int
     return [(w, t, i) for t, x in enumerate(templates) for i, w in enumerate(x.text.split()) if w not in STOP]
 
 
+def key_phrases(template: Template) -> list[tuple[int, str]]:
+    """(position, phrase) of a template's key phrases within it."""
+    padded = f" {template.text} "
+    return [(padded[: padded.index(f" {k} ")].count(" "), k) for k in template.keys]
+
+
+def key_places(template: Template) -> set[int]:
+    """The positions of a template that its key phrases take up."""
+    return {at + i for at, k in key_phrases(template) for i in range(len(k.split()))}
+
+
 def _spaces(x: Column) -> Column:
     return F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
 
@@ -119,20 +134,25 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
         return _result(rows.select("*", F.array().cast("array<string>").alias("found"), F.lit(0.0).alias("best")))
 
     places = rows.where("norm is not null").select("row", F.posexplode(F.split(F.trim("norm"), " ")).alias("at", "w"))
-    post = spark.createDataFrame([(w, t, pos, idf[w]) for w, t, pos in index if w in idf], "w string, t int, pos int, idf double")
+    looked, about = [], []
+    for t, template in enumerate(templates):
+        own, keyed = [(w, pos) for w, x, pos in index if x == t], key_places(template)
+        rare = sorted({w for w, _ in own}, key=lambda w: (-idf.get(w, math.log(1 + documents)), w))[:LOOKED_UP]
+        voting = [(w, t, pos, idf.get(w, math.log(1 + documents)), int(pos in keyed)) for w, pos in own if w in rare or pos in keyed]
+        looked += voting
+        about.append((t, template.label, sum(v[4] for v in voting), math.fsum(v[3] for v in voting)))
+    post = spark.createDataFrame(looked, "w string, t int, pos int, idf double, key int")
     votes = places.join(F.broadcast(post), "w")
-    aligned = votes.groupBy("row", "t", (F.col("at") - F.col("pos")).alias("begin")).agg(F.sum("idf").alias("weight"), F.count(F.lit(1)).alias("words"))
-
-    whole, sizes = {}, {}
-    for t in range(len(templates)):
-        own = [w for w, x, _ in index if x == t]
-        sizes[t] = min(2, len(own))
-        whole[t] = sum(idf.get(w, math.log(1 + documents)) for w in own)
-    about = spark.createDataFrame([(t, templates[t].label, sizes[t], float(whole[t])) for t in sizes], "t int, label string, needs int, whole double")
-    best = aligned.join(F.broadcast(about), "t").where("words >= needs").groupBy("row", "t", "label").agg(F.max(F.least(F.lit(1.0), F.col("weight") / F.col("whole"))).alias("score"))
-    keyed = F.coalesce(*(F.when(F.col("t") == t, F.forall(F.array(*(F.lit(f" {k} ") for k in x.keys)), lambda k: F.contains("norm", k))) for t, x in enumerate(templates)))
-    verified = best.join(rows.where("norm is not null").select("row", "norm"), "row").where(keyed)
-    labels = verified.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))  # one for each template at most
+    aligned = votes.groupBy("row", "t", (F.col("at") - F.col("pos")).alias("begin")).agg(F.sum("idf").alias("weight"), F.sum("key").alias("keys"))
+    about = spark.createDataFrame(about, "t int, label string, needs int, whole double")
+    whole = aligned.join(F.broadcast(about), "t").where("keys = needs")
+    share = F.least(F.lit(1.0), F.col("weight") / F.col("whole"))
+    best = whole.groupBy("row", "t", "label").agg(F.sort_array(F.collect_set(F.struct((-share).alias("less"), "begin"))).alias("ways"))  # places where all key words stand
+    words = F.split(F.trim("norm"), " ")
+    stands = lambda begin, t, x: F.forall(F.array(*(F.struct(F.lit(at).alias("at"), F.lit(k).alias("key")) for at, k in key_phrases(x))), lambda k: F.array_join(F.slice(words, begin + k["at"] + 1, F.size(F.split(k["key"], " "))), " ") == k["key"])
+    there = lambda begin: F.coalesce(*(F.when(F.col("t") == t, stands(begin, t, x)) for t, x in enumerate(templates)))
+    verified = best.join(rows.where("norm is not null").select("row", "norm"), "row").withColumn("way", F.get(F.filter("ways", lambda way: there(way["begin"])), F.lit(0))).where("way is not null")
+    labels = verified.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(-F.col("way.less")).alias("best"))  # one for each template at most
     return _result(rows.drop("norm").join(labels, "row", "left"))
 
 

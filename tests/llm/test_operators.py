@@ -392,18 +392,16 @@ def plain_licences(texts):
         base = {label for p, label in license_scan.BASE if f" {p} " in norm}
         labels, best = set(base), 0.5 if base else 0.0
         for t, template in enumerate(license_scan.TEMPLATES):
-            mine = [(w, pos) for w, x, pos in index if x == t]
-            weight, hits = Counter(), Counter()
-            for at, w in enumerate(words):
-                for x, pos in mine:
-                    if x == w:
-                        weight[at - pos] += idf[w]
-                        hits[at - pos] += 1
-            whole = sum(idf.get(w, math.log(1 + len(texts))) for w, _ in mine)
-            scores = [min(1.0, weight[b] / whole) for b in weight if hits[b] >= min(2, len(mine))]
-            if scores and all(f" {k} " in norm for k in template.keys):
-                labels.add(template.label)
-                best = max(best, *scores)
+            mine, text = [(w, pos) for w, x, pos in index if x == t], template.text.split()
+            keys = [(at, k.split()) for k in template.keys for at in range(len(text)) if text[at : at + len(k.split())] == k.split()]
+            weigh = lambda w: idf.get(w, math.log(1 + len(texts)))
+            rare = sorted({w for w, _ in mine}, key=lambda w: (-weigh(w), w))[: license_scan.LOOKED_UP]
+            mine = [(w, pos) for w, pos in mine if w in rare or any(at <= pos < at + len(k) for at, k in keys)]
+            for begin in range(-len(text), len(words)):
+                if all(begin + at >= 0 and words[begin + at : begin + at + len(k)] == k for at, k in keys):
+                    agree = sum(weigh(w) for w, pos in mine if 0 <= begin + pos < len(words) and words[begin + pos] == w)
+                    labels.add(template.label)
+                    best = max(best, min(1.0, agree / sum(weigh(w) for w, _ in mine)))
         out.append((",".join(sorted(labels)), round(best, 9)))
     return out
 
@@ -415,7 +413,7 @@ def test_licence_labels_and_scores(spark, texts):
     for t in license_scan.TEMPLATES:
         words = t.text.split()
         middle = len(words) // 2
-        rows += [f"{noise(30, 1)} {t.text} {noise(9, 2)}", " ".join(rng.sample(words, len(words))), " ".join([*words[:middle], *noise(3, 4).split(), *words[middle:]]), t.text.upper(), " ".join(w for w in words if all(w not in k.split() for k in t.keys)), f"{t.text} and {t.text}"]
+        rows += [f"{noise(30, 1)} {t.text} {noise(9, 2)}", " ".join(rng.sample(words, len(words))), " ".join([*words[:middle], *noise(3, 4).split(), *words[middle:]]), t.text.upper(), " ".join(w for w in words if all(w not in k.split() for k in t.keys)), f"{t.text} and {t.text}", " ".join(f"{k} x" for k in t.keys)]
     got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in license_scan.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(rows))] == plain_licences(rows)
 
