@@ -116,7 +116,7 @@ def stopped(values: Column, text: Column) -> Column:
 
     def stops(field: Column, value: Column, protected: Column) -> Column:
         asserts = ~F.coalesce((value.try_cast("double") == 0) | value.isin("false", ""), F.lit(False))
-        subject = F.coalesce(F.forall(F.try_element_at(table, field), lambda p: F.rlike(text, p)), F.lit(True))
+        subject = F.coalesce(F.forall(F.try_element_at(table, field), lambda p: F.coalesce(F.rlike(text, p), F.lit(False))), F.lit(True))
         return asserts & (~subject | (field.isin(*TERMINATION) & protected))
 
     return bound(protected_misconduct(text), lambda protected: F.sort_array(F.map_keys(F.map_filter(values, lambda f, v: stops(f, v, protected)))))

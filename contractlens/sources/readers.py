@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from contractlens.functions.scratch import Scratch
 from contractlens.functions.text import unix_lines
 from contractlens.operators import furniture
+from contractlens.operators import gates
 from contractlens.operators import rules as rule_engine
 from contractlens.operators.rulebook import PROFILES, RULES
 
@@ -176,6 +177,13 @@ def rules_table(spark: SparkSession, rules: dict[str, list[dict]] = RULES) -> Da
     return spark.createDataFrame(rows, "doc_type string, rule_order int, rule_id string, category string, basis string, severity string, scope string, fields string, condition string")
 
 
+def lint_report(spark: SparkSession, rules: dict[str, list[dict]] = RULES) -> DataFrame:
+    """(kind, n, rules): what looks wrong in a rulebook but loads, by the kind of fault, the rules as a sorted array of "type id"."""
+    found = rule_engine.lint(rules, gates.GATES, {t: p["taxonomy"] for t, p in PROFILES.items()})
+    rows = spark.createDataFrame(found, "doc_type string, rule_id string, kind string")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(F.concat_ws(" ", "doc_type", "rule_id"))).alias("rules"))
+
+
 def required_parameters(spark: SparkSession, rules: dict[str, list[dict]] = RULES) -> DataFrame:
     return spark.createDataFrame([(t, f) for t, own in rules.items() for f in rule_engine.required_params(own)], "doc_type string, field string")
 

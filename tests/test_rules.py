@@ -61,3 +61,39 @@ def test_census():
 def test_lint_names_categories_outside_the_taxonomy():
     found = rules.lint(rulebook.RULES, gates.GATES, {t: p["taxonomy"] for t, p in rulebook.PROFILES.items()})
     assert {r for _, r, kind in found if kind == "subject"} == {"R-EMP-15", "R-EMP-16", "R-EMP-17", "R-EMP-18", "R-EMP-19"}
+
+
+def test_lint_by_kind(spark):
+    from contractlens.sources import readers
+
+    rows = {r["kind"]: r for r in readers.lint_report(spark).collect()}
+    found = rules.lint(rulebook.RULES, gates.GATES, {t: p["taxonomy"] for t, p in rulebook.PROFILES.items()})
+    assert rows["subject"]["rules"] == [f"employment R-EMP-{n}" for n in (15, 16, 17, 18, 19)] and sum(r["n"] for r in rows.values()) == len(found)
+
+
+def test_programmes_judge_as_columns_do(spark):
+    """Both forms of a rulebook over the same parameters, with silence, escalation, percentiles and empty blocks."""
+    own = [
+        rule(id="all", when={"all": [{"b": True}, {"x": {"lte": 3, "gt": -5}}]}, escalate_to_high_when={"x": {"gt": 2}}), rule(id="any", when={"any": [{"b": False}, {"x": {"lt": 0}}, {"s": "word"}]}),
+        rule(id="none", when={"any": []}), rule(id="every", when={"all": []}), rule(id="absent", severity="high", when={"all": [{"x": {"absent": True}}, {"b": {"absent": False}}]}), rule(id="equal", severity="none", when={"x": 2}),
+        rule(id="norm", basis="norm", metric="m", severity="high", when={"x": {"gt_percentile": 90}}), rule(id="unknown", basis="norm", metric="n", when={"x": {"gt_percentile": 75}}), rule(id="deep", when={"all": [{"any": [{"b": True}, {"all": [{"x": {"gte": 0}}, {"s": {"absent": True}}]}]}, {"x": {"lt": 9}}]}),
+    ]
+    norms = {"m": {"p90": 1}}
+    values = [(x, b, s) for x in (None, -9.0, -1.0, 0.0, 1.0, 2.0, 3.0, 10.0, float("nan")) for b in (None, True, False) for s in (None, "word", "true")]
+    df = spark.createDataFrame(values, "x double, b boolean, s string")
+    both = df.select(rules.findings(own, F.col, norms).alias("a"), rules.judge(rules.values_of(F.struct("x", "b", "s")), F.get(F.map_values(rules.programmes({"t": own}, norms)), F.lit(0))).alias("b"))
+    for r in both.collect():
+        assert [f.asDict(True) for f in r["a"]] == [f.asDict(True) for f in r["b"]]
+    with pytest.raises(rules.RuleError):
+        rules.programme({"x": {"near": 1}})
+
+
+def test_stopped_fields(spark):
+    texts = ["the deposit is held", "nothing of it", "sexual harassment at work: termination", "termination for any reason", None]
+    fields = ["deposit_months", "cause_undefined_or_vague", "perpetual", "bond_present", "no_gate"]
+    given = {"deposit_months": 2.0, "cause_undefined_or_vague": True, "perpetual": False, "bond_present": True, "no_gate": True}
+    kinds = {"deposit_months": "double"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    values = {f: F.lit(given[f]) for f in fields}
+    got = df.select(F.sort_array(gates.dropped(values, F.col("t"), kinds)).alias("a"), gates.stopped(rules.values_of(F.struct(*(v.alias(f) for f, v in values.items()))), F.col("t")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and got[0]["b"] != got[1]["b"]
