@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contractlens.operators import evalstats, extract, rulebook, rules, statutes
+from contractlens.functions.text import computed
+from contractlens.operators import evalstats, extract, facts, gates, guard, rulebook, rules, statutes
 from contractlens.plans import audit, papers
 from contractlens.plans.queries import SQL, _list, query, table
 from contractlens.sources import readers
@@ -201,3 +202,67 @@ SQL["evaluate_clause"] = "with given(kind, params) as (values " + ", ".join(f"('
     f"select doc_type, '{rule}' as rule_id, " + (f"case when {up} then 'high' else '{severity}' end" if up else f"'{severity}'") + f" as severity, '{category}' as category from p where doc_type = '{t}' and ({when})"
     for (t, rule, severity, up, when), category in ((r, next(x["category"] for x in rulebook.RULES[r[0]] if x["id"] == r[1])) for r in _ALL_RULES) if rule not in ("R-EMP-09", "R-RENT-08")
 )
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+#: Every clause of the bank, for texts that speak of what the gates ask for.
+_CLAUSES = [p.text for own in papers.BANK.values() for p in own]
+_LONE = "(?i)"
+
+
+def _gate(f: str) -> str:
+    subject = " and ".join(f"regexp_matches(text, {_text(_LONE + p)})" for p in gates.GATES[f])
+    protected = f" and not (regexp_matches(text, {_text(_LONE + facts.HARASSMENT)}) and not regexp_matches(text, {_text(_LONE + facts.VAGUE_GROUND)}))" if f in gates.TERMINATION else ""
+    return f"select '{f}' as field, doc_id from texts where {subject}{protected}"
+
+
+@query("with said(k, said) as (values " + ", ".join(f"({k}, {_text(x)})" for k, x in enumerate(_CLAUSES)) + f"""),
+texts as materialized (select doc_id, said || case when doc_id % 5 = 0 then ' Sexual harassment is dealt with.' else '' end || chr(10) || text as text from documents join said on k = doc_id % {len(_CLAUSES)}),
+passed as (""" + "\n  union all ".join(map(_gate, sorted(gates.GATES))) + """)
+select field, count(*) as n, sum(doc_id)::bigint as ids from passed group by field""")
+def every_gate(spark, sf_dir):
+    """Which documents, each behind a clause of the bank, let every gated field pass."""
+    k = F.col("doc_id")
+    said = F.get(F.array(*map(F.lit, _CLAUSES)), (k % len(_CLAUSES)).cast("int"))
+    text = F.concat(said, F.when(k % 5 == 0, F.lit(" Sexual harassment is dealt with.")).otherwise(F.lit("")), F.lit("\n"), F.col("text"))
+    fields = sorted(gates.GATES)
+    asserted = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array_repeat(F.lit("true"), len(fields)))
+    texts = table(spark, sf_dir, "documents").select(k, text.alias("text"))
+    passed = texts.select(k, F.explode(F.array_except(F.array(*map(F.lit, fields)), gates.stopped(asserted, F.col("text")))).alias("field"))
+    return passed.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+
+
+_TYPES = list(guard.LEXICONS)
+_EDGE = r"[^\pL\pN\pM_]"
+
+
+def _shipped_score(t: str) -> str:
+    lexicon = guard.LEXICONS[t]
+    hits = " + ".join(f"{guard.WEIGHTS[k]} * regexp_matches(hay, {_text(f'(^|{_EDGE}){term}($|{_EDGE})')})::int" for k, terms in lexicon.items() for term in terms)
+    return f"round_even(({hits}) / {sum(guard.WEIGHTS[k] * len(terms) for k, terms in lexicon.items())}, 4) as {t}"
+
+
+@query("with openings(k, said) as (values " + ", ".join(f"({k}, {_text(papers.OPENINGS[t])})" for k, t in enumerate(_TYPES)) + r"""),
+texts as (
+  select doc_id, ['employment', 'rental', 'loan', 'lease'][doc_id % 4 + 1] as doc_type, case when doc_id % 5 = 0 then '' else a.said end || ' ' || coalesce(b.said, '') || ' ' || left(text, 200 + (doc_id % 9 * 100)::int) as text
+  from documents join openings a on a.k = (doc_id // 4) % 3 left join openings b on b.k = (doc_id // 12) % 6),
+hay as (select doc_id, doc_type, trim(regexp_replace(regexp_replace(translate(lower(text), '’‘', ''''''), '[^\pL\pN\pM_\s''-]', ' ', 'g'), '\s+', ' ', 'g')) as hay from texts),
+scores as materialized (select doc_id, doc_type, case when hay = '' then 0 else len(string_split(hay, ' ')) end as words, """ + ", ".join(map(_shipped_score, _TYPES)) + f""" from hay),
+top as (select *, greatest({', '.join(_TYPES)}) as best, case greatest({', '.join(_TYPES)}) """ + " ".join(f"when {t} then '{t}'" for t in _TYPES) + " end as slug, case doc_type " + " ".join(f"when '{t}' then {t}" for t in _TYPES) + f""" end as mine from scores),
+judged as (
+  select *, case when mine is null then 'unknown_type' when words < {guard.MIN_WORDS} then 'too_short' when best < {guard.MIN_SIGNAL} then 'unrecognised'
+    when slug <> doc_type and best >= mine * {guard.MISMATCH_RATIO} then 'mismatch' when mine < {guard.MIN_SIGNAL} then 'unrecognised' else 'ok' end as status from top)
+select doc_id, doc_type, words::int as words, {', '.join(_TYPES)}, status, case when status = 'mismatch' or (status = 'unrecognised' and best >= {guard.MIN_SIGNAL} and slug <> doc_type) then slug end as suggested from judged""")
+def type_verdicts(spark, sf_dir):
+    """Documents behind the openings of one type or two, read as each type and as one that is not known, by the shipped lexicons."""
+    k, said = F.col("doc_id"), F.array(*(F.lit(papers.OPENINGS[t]) for t in _TYPES))
+    kind = F.get(F.array(*map(F.lit, [*_TYPES, "lease"])), (k % 4).cast("int"))
+    at = lambda n, m: F.get(said, (F.call_function("div", k, F.lit(n)) % m).cast("int"))
+    text = F.concat(F.when(k % 5 == 0, F.lit("")).otherwise(at(4, 3)), F.lit(" "), F.coalesce(at(12, 6), F.lit("")), F.lit(" "), F.left("text", (k % 9 * 100 + 200).cast("int")))
+    read = computed(table(spark, sf_dir, "documents").select(k, kind.alias("doc_type"), guard.normalised(text).alias("hay")), "hay", F.col("hay"))
+    read = computed(read, "scores", guard.scores(F.col("hay")))
+    read = computed(read, "verdict", guard.check(F.col("doc_type"), F.col("scores"), F.col("hay")))
+    return read.select("doc_id", "doc_type", "verdict.words", *(F.col(f"scores.{t}").alias(t) for t in _TYPES), "verdict.status", "verdict.suggested")
