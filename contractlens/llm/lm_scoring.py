@@ -7,8 +7,8 @@ two) and are learned by expectation-maximisation: a tenth of the training docume
 the counts, and its pairs, by bucket and by the two maximum-likelihood estimates of the others, are
 what the weights are fitted to.  Scores then use the counts of all training documents.
 
-Documents are read once, in chunks of about CHUNK tokens, and written as numbers of words.  Each
-chunk asks for its distinct words and pairs, 64 bits each (XXH64 of words, a mix of two for a
+Documents are read once, in chunks of about CHUNK tokens, and written as numbers of words; the
+deleted ones have chunks of their own, as the fit reads those alone.  Each chunk asks for its distinct words and pairs, 64 bits each (XXH64 of words, a mix of two for a
 pair), sorted and cut by key into parts that grow in number with the corpus; a part adds up what the
 chunks have counted and answers each chunk in the order that it asked.  So a word or pair that all
 documents have is one entry for each chunk, no task holds more than a part or a chunk, and the driver gets only
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -51,7 +52,7 @@ _U = np.uint64
 END = _U(0x5EED_E4D0_0F7E_4715)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-CHUNKS = "chunk long, tokens long, train_tokens long, kept_tokens long, docs binary, words binary, ids binary"
+CHUNKS = "chunk long, deleted boolean, tokens long, train_tokens long, kept_tokens long, docs binary, words binary, ids binary"
 
 CHUNK_COLUMNS = [c.split()[0] for c in CHUNKS.split(", ")]
 
@@ -132,30 +133,46 @@ class Chunk:
         return np.repeat(self.kinds & 3, self.sizes)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """docs (name, kind, text) as chunks."""
-    part, k = TaskContext.get().partitionId(), 0
-    held: list[tuple] = []
-    words, size = Words(), 0
+class _Open:
+    """A chunk that is being filled."""
 
-    def whole() -> pa.RecordBatch:
-        names, kinds, sizes, numbers = (np.concatenate([h[i] for h in held]) for i in range(4))
-        row = [[(part << 32) + k], [len(numbers)], [int(sizes[kinds & 3 > 0].sum())], [int(sizes[kinds & 3 == 1].sum())], [pack(names, kinds, sizes)], [pack(numbers)], [pack(np.array(words.ids, dtype=_U))]]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int64()] * 4 + [pa.binary()] * 3, strict=True)], CHUNK_COLUMNS)
+    def __init__(self):
+        self.held: list[tuple] = []
+        self.words, self.size = Words(), 0
 
-    for batch in batches:
-        for at, b in blocks(batch.column("text")):
+    def add(self, part: pa.RecordBatch) -> Iterator[None]:
+        """Takes the documents of a batch; stops after each block."""
+        for at, b in blocks(part.column("text")):
             b.buf = _LOWER[b.buf]
-            numbers, n = words.numbers(b), np.diff(b.words)
+            numbers, n = self.words.numbers(b), np.diff(b.words)
             own = np.insert(numbers, b.words[1:], 0)  # the end of each text
             rows = slice(at, at + len(n))
-            held.append((batch.column("name").to_numpy()[rows], batch.column("kind").to_numpy()[rows].astype(np.uint8), n + 1, own))
-            size += len(own)
-            if size >= CHUNK:
-                yield whole()
-                held, words, size, k = [], Words(), 0, k + 1
-    if held:
-        yield whole()
+            self.held.append((part.column("name").to_numpy()[rows], part.column("kind").to_numpy()[rows].astype(np.uint8), n + 1, own))
+            self.size += len(own)
+            yield
+
+    def whole(self, number: int, deleted: bool) -> pa.RecordBatch:
+        names, kinds, sizes, numbers = (np.concatenate([h[i] for h in self.held]) for i in range(4))
+        row = [[number], [deleted], [len(numbers)], [int(sizes[kinds & 3 > 0].sum())], [int(sizes[kinds & 3 == 1].sum())], [pack(names, kinds, sizes)], [pack(numbers)], [pack(np.array(self.words.ids, dtype=_U))]]
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.binary()] * 3], strict=True)], CHUNK_COLUMNS)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """docs (name, kind, text) as chunks; deleted documents have chunks of their own."""
+    number = TaskContext.get().partitionId() << 32
+    open_ = {True: _Open(), False: _Open()}
+    for batch in batches:
+        gone = pa.array((batch.column("kind").to_numpy() & 3) == 2)
+        for deleted, own in open_.items():
+            for _ in own.add(batch.filter(gone if deleted else pc.invert(gone))):
+                if own.size >= CHUNK:
+                    yield own.whole(number, deleted)
+                    number += 1
+    for deleted, own in open_.items():
+        if own.held:
+            yield own.whole(number, deleted)
+            number += 1
 
 
 def _asked(parts: int):
@@ -300,10 +317,12 @@ def score(docs: DataFrame) -> DataFrame:
     asked = chunks.mapInArrow(_asked(parts), "part int, chunk long, asked binary")
     answers = scratch.table(asked.groupBy("part").applyInArrow(_answers, "chunk long, part int, distinct long, sums binary"), "answers")
     distinct = answers.agg(F.sum("distinct")).first()[0] or 0
-    told = answers.select("chunk", "part", "sums").groupBy("chunk")
-    both = chunks.select("chunk", "docs", "words", "ids").groupBy("chunk").cogroup(told)
-    cells = both.applyInArrow(_deleted(kept), "bucket long, two long, one long, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
+    told = answers.select("chunk", "part", "sums")
+    states = chunks.select("chunk", "docs", "words", "ids")
+    few = chunks.where("deleted").select("chunk", "docs", "words", "ids")
+    asked_by = told.join(few.select("chunk"), "chunk", "left_semi")
+    cells = few.groupBy("chunk").cogroup(asked_by.groupBy("chunk")).applyInArrow(_deleted(kept), "bucket long, two long, one long, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
     rows = np.array([tuple(r) for r in cells.collect()], dtype=np.int64).reshape(-1, 4)  # BUCKETS * (STEPS * STEPS_DOWN + 2) ** 2 rows at most
     weights = learn(rows[np.lexsort(rows.T[::-1])], 1 / (distinct + 1))
-    out = both.applyInArrow(_scored(weights, tokens, distinct), SCORED)
+    out = states.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_scored(weights, tokens, distinct), SCORED)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
