@@ -4,10 +4,11 @@ A tree is ``{all: [...]}``, ``{any: [...]}`` or a map of field to condition, all
 condition is a literal or a map of operators.  Silence is null: every comparison with it is false,
 and ``absent`` asks for it.
 
-Over columns (:func:`evaluate`) a tree compiles to one boolean column, which suits a few rules on
-the columns of a wide table.  A rulebook (:func:`judge`) is data: each tree is a postfix programme,
-all programmes are one constant, and one fold over a programme with a stack of booleans judges a map
-of field to value.  The plan is the same for any number of rules and fields.
+Over columns (:func:`evaluate`, :func:`by_type`) a tree compiles to one boolean column, which is what
+many rows are judged by; :func:`by_type` keeps what a rule says besides in one constant.  A rulebook
+is data too (:func:`judge`): each tree is a postfix programme, all programmes are one constant, and one
+fold over a programme with a stack of booleans judges a map of field to value.  That plan is the same
+for any number of rules and fields, but each row goes through the fold of each rule.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contractlens.functions.text import bound
 from contractlens.operators import rulebook
 
 RANK = {"none": 0, "low": 1, "medium": 2, "high": 3}
@@ -212,6 +214,45 @@ def programmes(rulebook_: dict[str, list[dict]], norms: dict | None = None) -> C
     return F.from_json(F.lit(json.dumps({kind: records(own, norms) for kind, own in rulebook_.items()})), f"map<string,array<{RULE}>>")
 
 
+FINDING = f"struct<sort_rank:int,rule_order:int,rule_id:string,category:string,basis:string,severity:string,risky:boolean,scope:string,metric:string,source:struct<{','.join(f'{k}:string' for k in _SOURCE)}>,anchors:array<string>,fields:array<string>,message:string>"
+
+
+def by_type(kind: Column, rulebook_: dict[str, list[dict]], resolve: Resolver, norms: dict | None = None) -> Column:
+    """The findings by the rules of a row's own type, as :func:`judge` gives them.
+
+    A rule has one outcome, or one for each severity; outcomes stand in the order of findings, so
+    those that apply are numbers that need no sorting, and what they say is looked up in a constant.
+    """
+    said: list[dict] = []
+    numbers = F.when(F.lit(False), F.array().cast("array<int>"))
+    for t, own in rulebook_.items():
+        possible, known = [], records(own, norms)
+        for r, record in zip(own, known, strict=True):
+            when = compile_tree(r["when"], resolve, r.get("metric"), norms)
+            if record["escalate"] is None or record["severity"] == "high":
+                possible.append((-RANK[record["severity"]], when, record | {"sort_rank": -RANK[record["severity"]]}))
+                continue
+            more = compile_tree(r["escalate_to_high_when"], resolve, r.get("metric"), norms)
+            for level, condition in (("high", when & more), (record["severity"], when & ~more)):
+                possible.append((-RANK[level], condition, record | {"severity": level, "sort_rank": -RANK[level]}))
+        possible.sort(key=lambda x: (x[0], x[2]["rule_order"]))
+        hits = [F.when(condition, F.lit(len(said) + i)) for i, (_, condition, _) in enumerate(possible)]
+        said += [{k: v for k, v in record.items() if k not in ("when", "escalate")} for _, _, record in possible]
+        numbers = numbers.when(kind == t, F.array_compact(F.array(*hits).cast("array<int>")))
+    constant = F.from_json(F.lit(json.dumps(said)), f"array<{FINDING}>")
+    return F.transform(F.coalesce(numbers, F.array().cast("array<int>")), lambda i: F.get(constant, i))
+
+
+def in_map(values: Column) -> Resolver:
+    """Fields of a map of field to text by their kinds; what is not of its kind is silence."""
+
+    def resolve(field: str) -> Column:
+        text, kind = F.try_element_at(values, F.lit(field)), rulebook.KINDS.get(field, "boolean")
+        return F.when(text == "true", F.lit(True)).when(text == "false", F.lit(False)) if kind == "boolean" else text.try_cast(kind)
+
+    return resolve
+
+
 def rules_table(spark: SparkSession, rulebook_: dict[str, list[dict]], norms: dict | None = None) -> DataFrame:
     """doc_type and the columns of RULE, a row for each rule."""
     one = spark.range(1).select(F.explode(programmes(rulebook_, norms)).alias("doc_type", "own"))
@@ -258,6 +299,12 @@ def params_columns(json: Column, fields: Iterable[str]) -> dict[str, Column]:
     return {f: F.try_variant_get(v, f"$.{f}", rulebook.KINDS.get(f, "boolean")) for f in fields}
 
 
+def typed_params(json: Column, fields: Iterable[str]) -> Column:
+    """The fields of :func:`params_columns` as a struct, the JSON read once for all of them."""
+    fields = list(fields)
+    return bound(F.try_parse_json(json), lambda v: F.struct(*(F.try_variant_get(v, f"$.{f}", rulebook.KINDS.get(f, "boolean")).alias(f) for f in fields)))
+
+
 def lint(rules: dict[str, list[dict]], gates: Iterable[str], taxonomy: dict[str, list[str]]) -> list[tuple[str, str, str]]:
     """(type, rule, kind) for what a rule file has that looks wrong but loads."""
     out = []

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from contractlens.functions.scratch import Scratch
@@ -75,9 +77,15 @@ def _extracted(extractor: Extractor) -> Callable[[Column, Column], Column]:
 
 
 def clause_findings(clauses: DataFrame, norms: dict | None = None) -> DataFrame:
-    """clauses with params (a map of field to text) get ``findings``, by the rules of their own type."""
-    own = F.try_element_at(rules.programmes(rulebook.RULES, norms), F.col("doc_type"))
-    return clauses.withColumn("findings", rules.judge(F.col("params"), F.coalesce(own, F.array().cast(f"array<{rules.RULE}>"))))
+    """clauses with params (a map of field to text, or a struct of fields) get ``findings``, by the rules of their own type."""
+    mapped = isinstance(clauses.schema["params"].dataType, T.MapType)
+    return clauses.withColumn("findings", once(_judged(mapped, json.dumps(norms, sort_keys=True)), "doc_type", "params"))
+
+
+@cache
+def _judged(mapped: bool, norms: str) -> Callable[[Column, Column], Column]:
+    """Findings of (doc_type, params); norms are in JSON."""
+    return lambda kind, params: rules.by_type(kind, rulebook.RULES, rules.in_map(params) if mapped else lambda f: params[f], json.loads(norms))
 
 
 def audit(
@@ -173,7 +181,11 @@ def summary(documents: DataFrame, clauses: DataFrame, shown: DataFrame) -> DataF
     )
 
 
+def supplied(params: DataFrame) -> DataFrame:
+    """params (params JSON) with the fields that rules read as a struct."""
+    return computed(params, "params", rules.typed_params(F.col("params"), FIELDS))
+
+
 def evaluate_clause(params: DataFrame, norms: dict | None = None) -> DataFrame:
     """params (doc_type, params JSON) to findings, without gates, readers or verification."""
-    typed = computed(params, "params", rules.values_of(F.struct(*(c.alias(f) for f, c in rules.params_columns(F.col("params"), FIELDS).items()))))
-    return clause_findings(typed, norms)
+    return clause_findings(supplied(params), norms)

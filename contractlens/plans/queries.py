@@ -52,6 +52,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(int(parts)) if parts and name in TEXTS else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Short rows of heavy work, dealt out over the cores: the given file may be one row group, and so one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
@@ -759,8 +764,9 @@ def evaluate_clause(spark, sf_dir):
     """
     fixed = [("employment", '{"bond_present": true, "penalty_amount_stated": true}'), ("rental", '{"deposit_months": 3, "premises_type": "residential"}'), ("loan", '{"guarantee_uncapped": true, "prepayment_penalty": true}')]
     kinds = F.explode(F.array(*(F.lit(k) for k, _ in fixed))).alias("doc_type")
-    params = spark.createDataFrame(fixed, "doc_type string, params string").unionByName(table(spark, sf_dir, "events").select(kinds, F.col("props").alias("params")))
-    found = audit.evaluate_clause(params)
+    events = audit.supplied(spread(table(spark, sf_dir, "events").select(F.col("props").alias("params"))))
+    params = audit.supplied(spark.createDataFrame(fixed, "doc_type string, params string")).unionByName(events.select(kinds, "params"))
+    found = audit.clause_findings(params)
     return found.select("doc_type", F.explode("findings").alias("f")).select("doc_type", "f.rule_id", "f.severity", "f.category")
 
 

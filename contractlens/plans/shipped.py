@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contractlens.functions.text import computed
+from contractlens.functions.text import bound, computed
 from contractlens.operators import evalstats, extract, facts, gates, guard, rulebook, rules, statutes
 from contractlens.plans import audit, papers
-from contractlens.plans.queries import SQL, _list, query, table
+from contractlens.plans.queries import SQL, _list, query, spread, table
 from contractlens.sources import readers
 
 _PAPERS = "papers as (select doc_id, case doc_id % 3 when 0 then 'employment' when 1 then 'rental' else 'loan' end as doc_type from documents),\nbank(doc_type, code, whole, rule_id, severity) as (values " + ", ".join(
@@ -142,10 +143,15 @@ def _parameter(f: str) -> Column:
     return F.when(digit.between("0", "5"), F.lit(True)).when(digit.between("6", "9"), F.lit(False))
 
 
+def _at_once(build) -> Column:
+    """All fields in one lambda: code written out for each of them is one method, too long for Java to compile."""
+    return bound(F.col("o_orderkey"), lambda _: build())
+
+
 def _every_rule(spark, sf_dir):
     """Each order's hash as the parameters of a clause, in JSON, judged by the rules of each type."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(*(_parameter(f).alias(f) for f in _FIELDS))).alias("params"))
-    judged = audit.evaluate_clause(rows.withColumn("doc_type", F.explode(F.array(*map(F.lit, rulebook.RULES)))), _NORMS)
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", F.to_json(F.struct(*(_parameter(f).alias(f) for f in _FIELDS))).alias("params"))
+    judged = audit.clause_findings(audit.supplied(rows).withColumn("doc_type", F.explode(F.array(*map(F.lit, rulebook.RULES)))), _NORMS)
     return judged.select("o_orderkey", "doc_type", F.explode("findings").alias("f")).select("o_orderkey", "doc_type", "f.rule_id", "f.severity")
 
 
@@ -174,11 +180,10 @@ def _catalogued(kind: str, i: int, r: dict) -> str:
 @query("with p as materialized (select o_orderkey, " + ", ".join(map(_generated, _FIELDS)) + " from orders)\n" + "\nunion all ".join(_catalogued(kind, i, r) for kind, own in rulebook.RULES.items() for i, r in enumerate(own)))
 def rules_catalogue(spark, sf_dir):
     """The rules, each with how many of the orders' generated clauses say something of all its fields."""
-    given = rules.values_of(F.struct(*(_parameter(f).alias(f) for f in _FIELDS)))
-    known = rules.rules_table(spark, rulebook.RULES).select("doc_type", "rule_id", F.col("fields").alias("all_"))
-    said = table(spark, sf_dir, "orders").select(F.map_keys(given).alias("said"))
-    judged = said.join(F.broadcast(known), F.size(F.array_except("all_", "said")) == 0).groupBy("doc_type", "rule_id").agg(F.count(F.lit(1)).alias("judged"))  # 48 rules
-    return readers.rules_table(spark).join(judged, ["doc_type", "rule_id"], "left").withColumn("judged", F.coalesce("judged", F.lit(0)))
+    said = computed(spread(table(spark, sf_dir, "orders").select("o_orderkey")), "said", _at_once(lambda: F.struct(*(_parameter(f).isNotNull().alias(f) for f in _FIELDS))))
+    all_said = [F.when(reduce(Column.__and__, (F.col(f"said.{f}") for f in rules.required_fields(r))), F.lit(r["id"])) for own in rulebook.RULES.values() for r in own]
+    judged = said.select(F.explode(F.array_compact(F.array(*all_said))).alias("rule_id")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("judged"))
+    return readers.rules_table(spark).join(judged, "rule_id", "left").withColumn("judged", F.coalesce("judged", F.lit(0)))
 
 
 @query("with " + _PAPERS + """,

@@ -97,3 +97,26 @@ def test_stopped_fields(spark):
     values = {f: F.lit(given[f]) for f in fields}
     got = df.select(F.sort_array(gates.dropped(values, F.col("t"), kinds)).alias("a"), gates.stopped(rules.values_of(F.struct(*(v.alias(f) for f, v in values.items()))), F.col("t")).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in got) and got[0]["b"] != got[1]["b"]
+
+
+def test_rules_by_type_judge_as_programmes_do(spark):
+    """Outcomes looked up by number give the findings of the fold, in its order, for each type and for none."""
+    book = {
+        "a": [rule(id="plain", when={"b": True}), rule(id="up", severity="low", when={"x": {"gt": 0}}, escalate_to_high_when={"x": {"gt": 2}}), rule(id="good", severity="none", when={"s": "word"}), rule(id="top", severity="high", when={"x": {"absent": True}})],
+        "b": [rule(id="norm", basis="norm", metric="m", severity="high", when={"x": {"gt_percentile": 90}}, escalate_to_high_when={"b": False}), rule(id="any", when={"any": [{"b": False}, {"s": {"absent": True}}]})],
+    }
+    norms = {"m": {"p90": 1}}
+    df = spark.createDataFrame([(t, x, b, s) for t in ("a", "b", "c", None) for x in (None, 0.0, 1.5, 3.0, float("nan")) for b in (None, True, False) for s in (None, "word", "true")], "t string, x double, b boolean, s string")
+    own = F.coalesce(F.try_element_at(rules.programmes(book, norms), F.col("t")), F.array().cast(f"array<{rules.RULE}>"))
+    both = df.select("t", rules.by_type(F.col("t"), book, F.col, norms).alias("a"), rules.judge(rules.values_of(F.struct("x", "b", "s")), own).alias("b")).collect()
+    for r in both:
+        assert [f.asDict(True) for f in r["a"]] == [f.asDict(True) for f in r["b"]]
+    assert any(r["a"] for r in both) and not any(r["a"] for r in both if r["t"] in ("c", None))
+
+
+def test_every_rule_is_dealt_out(spark):
+    """The orders are one file of one row group: without being dealt out they are one task."""
+    from contractlens.plans import queries
+
+    for name in ("every_rule", "evaluate_clause"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
