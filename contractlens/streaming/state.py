@@ -68,12 +68,31 @@ class Pacer(StatefulProcessor):
         self.window = handle.getListState("window", "us long, tokens long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if not self.hold:  # nothing waits, so calls need not go through the state one by one
+            yield self._pass_on(key, rows)
+            return
         first, end, last = self._place()
         for us, tokens in sorted(x for frame in rows for x in zip(frame["us"].tolist(), frame["tokens"].tolist(), strict=True)):  # one key's calls of one batch
             self.waiting.updateValue((end,), (us, tokens))
             end += 1
         self.place.update((first, end, last))
-        yield self._go(key, timerValues.getCurrentWatermarkInMs() * 1000 if self.hold else None)
+        yield self._go(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _pass_on(self, key, rows) -> pd.DataFrame:
+        """A batch's calls in their order; the state is read and written once."""
+        first, end, last = self._place()
+        window = [tuple(x) for x in self.window.get()]
+        frames = [frame[["us", "tokens"]] for frame in rows]
+        calls = pd.concat(frames).sort_values(["us", "tokens"])
+        at_, used_ = [], []
+        for us, tokens in zip(calls["us"].tolist(), calls["tokens"].tolist(), strict=True):
+            last, used, window = release(us, tokens, last, window, self.limit, self.gap, self.span)
+            at_.append(last)
+            used_.append(used)
+        self.place.update((first, end, last))
+        if window:
+            self.window.put(window)
+        return pd.DataFrame({"key": key[0], "us": calls["us"].to_numpy(), "tokens": calls["tokens"].to_numpy(), "released_us": at_, "used": used_})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self._go(key, timerValues.getCurrentWatermarkInMs() * 1000)
@@ -81,14 +100,14 @@ class Pacer(StatefulProcessor):
     def _place(self) -> tuple:
         return tuple(self.place.get()) if self.place.exists() else (0, 0, None)
 
-    def _go(self, key, now: int | None) -> pd.DataFrame:
+    def _go(self, key, now: int) -> pd.DataFrame:
         first, end, last = self._place()
         window = [tuple(x) for x in self.window.get()]
         out = []
         while first < end:
             us, tokens = self.waiting.getValue((first,))
             at, used, after = release(us, tokens, last, window, self.limit, self.gap, self.span)
-            if now is not None and at > now:
+            if at > now:
                 self.handle.registerTimer(-(-at // 1000))
                 break
             self.waiting.removeKey((first,))

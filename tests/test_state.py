@@ -93,3 +93,40 @@ def test_bounded_cache(spark, tmp_path, renew):
             entries = spark.createDataFrame([(k, us) for p in parts[: n + 1] for k, us in p], schema).withColumn("ts", F.timestamp_micros("us"))
             fresh = stream.fresh_entries(entries, F.timestamp_micros(F.lit(parts[n][-1][1])), days=10_000, capacity=15)
             assert {row["key"] for row in fresh.collect()} == set(held)
+
+
+def test_calls_that_need_not_wait_are_not_stored_one_by_one():
+    """A batch of calls costs the state two writes, however many calls it has."""
+    import pandas as pd
+
+    class Kept:
+        value, writes = None, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value if self.value is not None else []
+
+        def update(self, value):
+            self.value, self.writes = value, self.writes + 1
+
+        put = update
+
+    class Handle:
+        def __init__(self):
+            self.made = {}
+
+        def getValueState(self, name, *_):
+            return self.made.setdefault(name, Kept())
+
+        getMapState = getListState = getValueState
+
+    handle, r = Handle(), random.Random(3)
+    pacer = state.Pacer(500, 600, 7200, hold=False)
+    pacer.init(handle)
+    calls = [(r.randrange(10**6), r.randrange(20, 200)) for _ in range(600)]
+    frames = [pd.DataFrame(calls[i : i + 200], columns=["us", "tokens"]) for i in (0, 200, 400)]
+    got = [tuple(map(int, x)) for out in pacer.handleInputRows(("k",), iter(frames), None) for x in out[["us", "tokens", "released_us", "used"]].itertuples(index=False)]
+    assert got == plain(sorted(calls), 500, 600, 7200)
+    assert sum(k.writes for k in handle.made.values()) == 2
