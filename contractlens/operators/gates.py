@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contractlens.functions.text import bound, matches
-from contractlens.operators.facts import protected_misconduct
+from contractlens.functions.text import UNICODE, bound, matches
+from contractlens.operators.facts import HARASSMENT, VAGUE_GROUND, protected_misconduct
 
 #: Field and the patterns that must all occur (fixed values).
 GATES: dict[str, tuple[str, ...]] = {
@@ -107,16 +108,68 @@ def dropped(values: dict[str, Column], text: Column, kinds: dict[str, str]) -> C
     return F.array_compact(F.array(*(F.when(truthy(v, kinds.get(f, "boolean")) & ~passes(f, text), F.lit(f)) for f, v in values.items())))
 
 
+def _parts(pattern: str) -> list[str]:
+    """The alternatives of a pattern, those within groups left together."""
+    out, depth = [""], 0
+    for c in pattern:
+        depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(c, 0)
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def _stem(part: str) -> str:
+    """The longest run of letters that each match of an alternative holds."""
+    sure = re.sub(r"\((?:[^()]|\([^()]*\))*\)|\[[^]]*\]\??|\\.\+?|.\?", " ", part)
+    return max(re.findall("[a-z]+", sure), key=len, default="")
+
+
+#: Every alternative of the gates, by what has to be tried: words that are searched for as they are, and patterns each with a word that it needs.
+PARTS = sorted({a for own in GATES.values() for p in own for a in _parts(p)})
+WORDS = [a for a in PARTS if re.fullmatch("[a-z]+", a)]
+PATTERNS = {a: _stem(a) for a in PARTS if not re.fullmatch("[a-z]+", a)}
+#: Capitals and signs that match one of a-z without regard to case.
+_ALIKE = ("\u017f\u0131\u0130\u212a", "siik")
+
+
+def lowered(text: Column) -> Column:
+    """Small letters, in which a pattern of small letters finds what it finds in the text without regard to case."""
+    return F.lower(F.translate(F.coalesce(text, F.lit("")), *_ALIKE))
+
+
+def spoken(low: Column) -> Column:
+    """The alternatives of all gates that a lowered text holds.
+
+    Words are searched for, and a pattern is tried only where the word stands that it needs; each
+    once, however many gates share it.
+    """
+    tried = [F.when(F.contains(low, F.lit(word)) & F.rlike(low, F.lit(UNICODE + a)), F.lit(a)) for a, word in PATTERNS.items()]
+    return F.concat(F.filter(F.array(*map(F.lit, WORDS)), lambda w: F.contains(low, w)), F.array_compact(F.array(*tried)))
+
+
+def _protected(low: Column) -> Column:
+    """:func:`facts.protected_misconduct` of a lowered text."""
+    return F.rlike(low, F.lit(UNICODE + HARASSMENT.replace("POSH", "posh"))) & ~F.rlike(low, F.lit(UNICODE + VAGUE_GROUND))
+
+
 def stopped(values: Column, text: Column) -> Column:
     """The fields of a map of field to text that assert something and that their gates stop, sorted.
 
-    The gates are one constant; only those of fields that are there are tried.
+    The gates are one constant of alternatives; which of those a text holds is found out once, and
+    only where some field is there.
     """
-    table = F.from_json(F.lit(json.dumps({f: ["(?iuU)" + p for p in own] for f, own in GATES.items()})), "map<string,array<string>>")
+    return F.when(F.size(values) > 0, _stopped(values, text)).otherwise(F.array().cast("array<string>"))
+
+
+def _stopped(values: Column, text: Column) -> Column:
+    table = F.from_json(F.lit(json.dumps({f: [_parts(p) for p in own] for f, own in GATES.items()})), "map<string,array<array<string>>>")
 
-    def stops(field: Column, value: Column, protected: Column) -> Column:
+    def stops(field: Column, value: Column, there: Column, protected: Column) -> Column:
         asserts = ~F.coalesce((value.try_cast("double") == 0) | value.isin("false", ""), F.lit(False))
-        subject = F.coalesce(F.forall(F.try_element_at(table, field), lambda p: F.coalesce(F.rlike(text, p), F.lit(False))), F.lit(True))
+        subject = F.coalesce(F.forall(F.try_element_at(table, field), lambda own: F.arrays_overlap(own, there)), F.lit(True))
         return asserts & (~subject | (field.isin(*TERMINATION) & protected))
 
-    return bound(protected_misconduct(text), lambda protected: F.sort_array(F.map_keys(F.map_filter(values, lambda f, v: stops(f, v, protected)))))
+    held = bound(lowered(text), lambda low: F.struct(spoken(low).alias("there"), _protected(low).alias("protected")))
+    return bound(held, lambda h: F.sort_array(F.map_keys(F.map_filter(values, lambda f, v: stops(f, v, h["there"], h["protected"])))))

@@ -79,7 +79,7 @@ def _extracted(extractor: Extractor) -> Callable[[Column, Column], Column]:
 def clause_findings(clauses: DataFrame, norms: dict | None = None) -> DataFrame:
     """clauses with params (a map of field to text, or a struct of fields) get ``findings``, by the rules of their own type."""
     mapped = isinstance(clauses.schema["params"].dataType, T.MapType)
-    return clauses.withColumn("findings", once(_judged(mapped, json.dumps(norms, sort_keys=True)), "doc_type", "params"))
+    return computed(clauses, "findings", once(_judged(mapped, json.dumps(norms, sort_keys=True)), "doc_type", "params"))  # an explosion would ask for its size first, and so work it out again
 
 
 @cache

@@ -120,3 +120,16 @@ def test_every_rule_is_dealt_out(spark):
 
     for name in ("every_rule", "evaluate_clause"):
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_every_gate_by_shared_alternatives(spark):
+    """Each field passes where its own patterns do, whatever the case of the letters and signs that match one; the plan writes no pattern out twice."""
+    said = ["", *gates.WORDS, *(w.upper() + " x" for w in gates.WORDS), "Minimum\u00a0Period", "depo\u017fit", "boo\u212a of RENT", "the different loans", "Set-Off", "lock in", "\u0130nterest", "POSH termination", "Sexual Harassment: TERMINATED without assigning", "sum\nof", "re-fix the monthly payment", "license  fee, revised"]
+    fields = sorted(gates.GATES)
+    df = spark.createDataFrame([(t,) for t in [*said, None]], "t string")
+    given = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array_repeat(F.lit("true"), len(fields)))
+    both = df.select("t", gates.dropped({f: F.lit(True) for f in fields}, F.col("t"), {}).alias("a"), gates.stopped(given, F.col("t")).alias("b")).collect()
+    for r in both:
+        assert sorted(r["a"]) == r["b"], r["t"]
+    held = df.select(gates.spoken(gates.lowered(F.col("t"))).alias("x"))
+    assert all(held._jdf.queryExecution().optimizedPlan().toString().count(p) <= 2 for p in ("sum\\s+of", "work\\s+product"))
