@@ -164,5 +164,6 @@ def read_evidence(text: Column, facts: Column) -> Column:
     shown["bond_present"] = F.coalesce(shown["bond_present"], evidence(text, EXIT_RECOVERY))
     ends = F.coalesce(F.when(~(matches(text, VERIFICATION) & ~matches(text, CONDUCT)), evidence(text, IMMEDIATE)), F.left(broad_ground_sentence(text), F.lit(90)))
     shown |= {"termination_without_cure": ends, "cause_undefined_or_vague": ends, "unfilled_placeholder": placeholder(text)}
-    entries = F.array(*(F.when(facts[f].isNotNull() & shown[f].isNotNull(), F.struct(F.lit(f).alias("key"), shown[f].alias("value"))) for f in FACTS))
-    return F.map_from_entries(F.array_compact(entries))
+    # a span stands once, behind its fact: shared parts are worked out for every row
+    entries = F.array(*(F.struct(F.lit(f).alias("key"), F.when(facts[f].isNotNull(), shown[f]).alias("value")) for f in FACTS))
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))

@@ -23,7 +23,7 @@ found as (
 
 
 def _audited(spark, sf_dir):
-    own = papers.papers(table(spark, sf_dir, "documents").select("doc_id"))
+    own = papers.papers(spread(table(spark, sf_dir, "documents").select("doc_id")))
     return audit.audit(own, papers.acts(spark))
 
 
@@ -51,7 +51,7 @@ def _rash(kind: Column, text: Column) -> dict[str, Column]:
 @query("with " + _PAPERS + "\nselect doc_id, rule_id, severity, case when place = 'e2' then 2 else 1 end as tries, count(*) as n from found group by all")
 def audit_second_reading(spark, sf_dir):
     """The audit with an extractor that is wrong at first: what it makes up can't be cited, so the clause is read again."""
-    own = papers.papers(table(spark, sf_dir, "documents").select("doc_id"))
+    own = papers.papers(spread(table(spark, sf_dir, "documents").select("doc_id")))
     acts = papers.acts(spark).where("corpus_id <> 'sra_1963'")
     found = audit.audit(own, acts, _rash, again=[extract.keyword_params])[0]
     return found.groupBy("doc_id", "rule_id", "severity", "tries").agg(F.count(F.lit(1)).alias("n"))
