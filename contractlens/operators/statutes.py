@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from contractlens.functions.scratch import Scratch
@@ -17,6 +23,8 @@ MIN_SECTION, MIN_SPAN, OPENING = 40, 120, 120
 WIDTHS = (900, 1800, 3200)
 #: Asked terms, over all queries, up to which they are broadcast.
 SMALL_QUERIES = 200_000
+#: Scores, and weights to add up, that a task holds at once.
+CELLS = 1 << 20
 #: A line that opens a section (fixed value).
 MARKER = r"^\s*(?:\d+\[\s*)?(?:section\s+)?(\d+[A-Z]{0,2})\s*[.:\-–—]"
 
@@ -70,19 +78,99 @@ def _asked(queries: DataFrame, both: list[str], scratch: Scratch):
 
 
 def ranked(post: DataFrame, asked: DataFrame, totals: DataFrame, key: str, scratch: Scratch, few, both: list[str], hits: DataFrame, k: int | None) -> DataFrame:
-    """(query_id, key, score, rank) of hits, by the document frequencies of post (key, size, term, tf) and one row of totals (n, mean)."""
+    """(query_id, key, score, rank) of hits, by the document frequencies of post (key, size, term, tf) and one row of totals (n, mean).
+
+    Few queries go to the passages: a task scores whole passages and keeps the best k of each query, so
+    pairs of query and passage are never shuffled.
+    """
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     known = scratch.table(asked.join(df, "term").crossJoin(F.broadcast(totals)), "known")  # totals are one row
-    met = hits.join(few(known), ["term", *both])
-    parts = F.sort_array(F.collect_list(F.struct("term", (F.col("times") * idf * weight).alias("w"))))  # terms of one query
-    raw = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["w"])
-    scored = met.groupBy("query_id", key).agg(raw.alias("raw")).where("raw > 0")
+    if k and few is F.broadcast:
+        scored = _best(hits.crossJoin(F.broadcast(totals)).select("term", *both, key, weight.alias("weight")), known.select("term", *both, "query_id", (F.col("times") * idf).alias("worth")), both, key, k)
+    else:
+        met = hits.join(few(known), ["term", *both])
+        parts = F.sort_array(F.collect_list(F.struct("term", (F.col("times") * idf * weight).alias("w"))))  # terms of one query
+        raw = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["w"])
+        scored = met.groupBy("query_id", key).agg(raw.alias("raw")).where("raw > 0")
     placed = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), key)))
     return (placed if k is None else placed.where(F.col("rank") <= k)).select("query_id", key, F.round("raw", 3).alias("score"), "rank")
 
 
+def _best(hits: DataFrame, known: DataFrame, both: list[str], key: str, k: int) -> DataFrame:
+    """hits (term, both, key, weight) against known (term, both, query_id, worth; SMALL_QUERIES rows at most): (query_id, key, raw) with the best k of each query among them."""
+    rows = known.toArrow()
+    rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in [*both, "term"]]))
+    ids = rows["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+    query, worth = ids.indices.to_numpy(), rows["worth"].to_numpy()
+    first = np.ones(len(query), bool)
+    if len(query) > 1:
+        first[1:] = np.any([pc.not_equal(rows[c].combine_chunks()[1:], rows[c].combine_chunks()[:-1]).to_numpy(zero_copy_only=False) for c in [*both, "term"]], axis=0)
+    start = np.append(np.flatnonzero(first), len(query))
+    terms = hits.sparkSession.createDataFrame(rows.filter(pa.array(first)).select(["term", *both]).append_column("t", pa.array(np.arange(len(start) - 1, dtype=np.int32))), known.select("term", *both, F.lit(0).alias("t")).schema)
+    own = hits.join(F.broadcast(terms), ["term", *both]).select(key, "t", "weight")
+    dictionary = ids.dictionary
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ends, t, weight in _whole(batches):
+            for q, at, raw in _scores(ends, t, weight, start, query, worth, len(dictionary), k):
+                yield pa.RecordBatch.from_arrays([dictionary.take(pa.array(q)), keys.take(pa.array(at)), pa.array(raw)], ["query_id", key, "raw"])
+
+    kind = T.StructType([known.schema["query_id"], hits.schema[key], T.StructField("raw", T.DoubleType())])
+    return own.repartition(key).sortWithinPartitions(key, "t", "weight").mapInArrow(scored, kind)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows in the order of their key as (keys, where each one's rows end, t, weight), a key's rows never cut in two."""
+    held: list[pa.RecordBatch] = []
+
+    def given(rows: pa.Table):
+        runs = pc.run_end_encode(rows.column(0).combine_chunks())
+        return runs.values, runs.run_ends.to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_numpy()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = pc.run_end_encode(batch.column(0)).run_ends.to_numpy()
+        cut = int(ends[-2]) if len(ends) > 1 else 0
+        if held and held[-1].column(0)[-1] != batch.column(0)[0]:  # the key held ended with its batch
+            yield given(pa.Table.from_batches(held))
+            held = []
+        if cut:
+            yield given(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield given(pa.Table.from_batches(held))
+
+
+def _scores(ends: np.ndarray, t: np.ndarray, weight: np.ndarray, start: np.ndarray, query: np.ndarray, worth: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, passage, score) of the best k over zero of each of n queries, some passages at a time; passages are in the order of ties.
+
+    The queries of term t, and what it is worth in them, are at start[t] to start[t + 1].
+    """
+    asked = np.diff(start)[t]
+    upto = np.cumsum(asked)[ends - 1]  # weights to add up, until the end of each passage
+    a = 0
+    while a < len(ends):
+        before, low = (upto[a - 1], ends[a - 1]) if a else (0, 0)
+        b = min(len(ends), a + max(1, CELLS // n), max(a + 1, int(np.searchsorted(upto, before + CELLS, "right"))))
+        rows, times = slice(low, ends[b - 1]), asked[low : ends[b - 1]]
+        at = np.arange(times.sum()) + np.repeat(start[t[rows]] - np.cumsum(times) + times, times)
+        passage = np.repeat(np.arange(b - a), np.diff(ends[a:b], prepend=low))
+        cell = query[at] * np.int64(b - a) + np.repeat(passage, times)
+        raw = np.bincount(cell, worth[at] * np.repeat(weight[rows], times), n * (b - a)).reshape(n, b - a)
+        chosen = raw > 0
+        if k < b - a:
+            least = np.partition(raw, b - a - k, axis=1)[:, b - a - k, None]
+            over, level = raw > least, (raw == least) & chosen
+            chosen = over | level & (np.cumsum(level, axis=1) <= k - over.sum(axis=1, keepdims=True))
+        q, p = np.nonzero(chosen)
+        yield q, p + a, raw[q, p]
+        a = b
+
+
 def sections(acts: DataFrame) -> DataFrame:
     """acts (corpus_id, text) to (corpus_id, section, span, pos): from a marker to the next, the longest of a section."""
     lines = acts.select("corpus_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))

@@ -37,3 +37,31 @@ def test_a_search_reads_postings_of_its_terms_alone(spark, tmp_path):
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1] and "In(term" in plan.replace("EqualTo(term", "In(term")
     read = terms.search(spark.createDataFrame([("q", "w1")], "query_id string, query string")).inputFiles()
     assert all("/owners/" in f or "/postings/" in f or "search-" in f for f in read)
+
+
+def test_few_queries_go_to_the_passages(spark, monkeypatch):
+    passages = spark.createDataFrame([*TEXTS, *((i + 100, o, t) for i, o, t in TEXTS), (7, "a1", "w1 again"), (None, "a2", "w1 w2"), (200, "a0", None)], "key long, owner string, text string").repartition(3)
+    asked = [(q, o, " ".join(f"w{(q * 3 + j) % 11}" for j in range(q))) for q in range(1, 9) for o in ("a0", "a1")] + [(None, "a2", "w1"), (99, "a0", "nothing of it")]
+    queries = spark.createDataFrame(asked, "query_id long, owner string, query string")
+
+    def found(within, k):
+        return statutes.bm25(passages, queries, "key", "text", k=k, within=within)
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    with monkeypatch.context() as m:
+        m.setattr(statutes, "SMALL_QUERIES", 0)
+        want = {(w, k): rows(found(w, k)) for w in (None, "owner") for k in (1, 3, 1000)}
+    for cells in (1, 64, statutes.CELLS):
+        monkeypatch.setattr(statutes, "CELLS", cells)
+        for (w, k), own in want.items():
+            df = found(w, k)
+            assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+            assert rows(df) == own
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        assert rows(found(None, 3)) == want[None, 3]
+        assert rows(statutes.bm25(passages, queries.where("query_id = 99"), "key", "text", k=3)) == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
