@@ -49,24 +49,45 @@ def repeated_lines(lines: DataFrame, doc: str = "doc_id", flags: str = "(?U)") -
 
 
 def strip_repeating_lines(text: Column, min_repeats: int = 2) -> Column:
-    """A text without all copies of the lines whose key is counted min_repeats times or more."""
-    lines = F.split(text, "\n")
-    keyed = F.transform(lines, lambda x: F.struct(x.alias("line"), squeeze(x).alias("norm")))
-    keyed = F.transform(keyed, lambda s: F.struct(s["line"].alias("line"), line_key(s["norm"]).alias("key"), counted(s["norm"]).alias("counted")))
-    return bound(keyed, lambda ks: _without(ks, min_repeats))
+    """A text without all copies of the lines whose key is counted min_repeats times or more.
+
+    Lines of one key are equal once their digits are masked, so only lines that have such an equal
+    are looked at by the patterns.
+    """
+    return bound(text, lambda x: bound(F.transform(F.split(x, "\n"), lambda line: squeeze(line)), lambda norms: _stripped(x, norms, min_repeats)))
 
 
-def _without(keyed: Column, min_repeats: int) -> Column:
-    # the counted keys, sorted, so that equal ones are neighbours at a distance of min_repeats - 1
-    keys = F.sort_array(F.transform(F.filter(keyed, lambda s: s["counted"]), lambda s: s["key"]))
+def _often(keys: Column, min_repeats: int) -> Column:
+    """Keys that are there min_repeats times or more."""
+    # sorted, so that equal ones are neighbours at a distance of min_repeats - 1
     gap = min_repeats - 1
-    ahead = F.slice(F.concat(keys, F.array_repeat(F.lit(None).cast("string"), gap)), F.lit(1 + gap), F.greatest(F.size(keys), F.lit(0)))
-    gone = F.array_distinct(F.filter(F.zip_with(keys, ahead, lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull()))
-    return F.array_join(F.transform(F.filter(keyed, lambda s: ~F.array_contains(gone, s["key"])), lambda s: s["line"]), "\n")
+    ahead = lambda own: F.slice(F.concat(own, F.array_repeat(F.lit(None).cast("string"), gap)), F.lit(1 + gap), F.greatest(F.size(own), F.lit(0)))
+    return bound(F.sort_array(keys), lambda own: F.array_distinct(F.filter(F.zip_with(own, ahead(own), lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull())))
+
+
+def _stripped(text: Column, norms: Column, min_repeats: int) -> Column:
+    alike = _often(F.transform(F.filter(norms, lambda n: F.length(n) >= MIN_LINE), digit_mask), min_repeats)
+
+    def without(alike: Column) -> Column:
+        key = lambda n: F.when(F.array_contains(alike, digit_mask(n)), F.struct(line_key(n).alias("key"), counted(n).alias("counted")))
+        keyed = F.zip_with(F.split(text, "\n"), F.transform(norms, key), lambda line, k: F.struct(line.alias("line"), k["key"].alias("key"), k["counted"].alias("counted")))
+        return F.when(F.size(alike) == 0, text).otherwise(bound(keyed, lambda ks: _without(ks, min_repeats)))
+
+    return bound(alike, without)
+
+
+def _without(keyed: Column, min_repeats: int) -> Column:
+    gone = _often(F.transform(F.filter(keyed, lambda s: s["counted"]), lambda s: s["key"]), min_repeats)
+    kept = lambda gone: F.filter(keyed, lambda s: s["key"].isNull() | ~F.array_contains(gone, s["key"]))
+    return F.array_join(F.transform(bound(gone, kept), lambda s: s["line"]), "\n")
 
 
 def strip_section_banners(text: Column) -> Column:
     """A text without navigation lines and the capital titles in up to three lines above each."""
+    return bound(text, _without_banners)
+
+
+def _without_banners(text: Column) -> Column:
     lines = F.split(text, "\n")
     rows = F.transform(lines, lambda x: F.struct(x.alias("line"), x.rlike(NAVIGATION).alias("nav"), (F.trim(x) == "").alias("blank"), (x.rlike(CAPITALS) & ~x.rlike(NUMBERED)).alias("title")))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contractlens.functions import text as tx
-from contractlens.operators import docfacts, drafts, evalstats, extract, guard, rulebook, statutes, versions
+from contractlens.operators import docfacts, drafts, evalstats, extract, furniture, guard, rulebook, segment, statutes, versions
 from contractlens.plans import audit, papers
 from contractlens.sources import readers
 from contractlens.streaming import stream
@@ -243,3 +243,18 @@ def test_equal_passages_tie_exactly(spark):
     got = statutes.bm25(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), asked, "doc_id", "text", k=20).orderBy("rank").collect()
     assert [r["doc_id"] for r in got] == list(range(0, 40, 2)) and len({r["score"] for r in got}) == 1
     assert tx.tokens is statutes.tokens
+
+
+def test_a_large_block_is_cut_once(monkeypatch):
+    calls, cut = [], segment._resplit
+    monkeypatch.setattr(segment, "_resplit", lambda b: calls.append(b) or cut(b))
+    blocks, name = segment.best_split("words of one line; " * 500)
+    assert len(calls) == 1 and name == "numbered_caps" and len(blocks) == 4
+
+
+
+def test_lines_that_only_digits_tell_apart(spark):
+    texts = ["page 12345\nb\npage 67890\npage 1\nb", "@12345\n@99999\n@1\nrow 11\nrow 22", "same old line\nother\nsame old line", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(furniture.strip_repeating_lines(F.col("text")).alias("t"))
+    assert [r[0] for r in rows.collect()] == ["b\nb", "row 11\nrow 22", "other", "", None]
+    assert rows.select(furniture.strip_repeating_lines(F.lit("a\nb"), 3)).first()[0] == "a\nb"
