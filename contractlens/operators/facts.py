@@ -93,7 +93,8 @@ def weekly(x: Column) -> Column:
 
     Net is an hour less on every day of more than five hours.
     """
-    timed = bound(working_time(x), lambda t: F.struct(t["days"].alias("days"), _hours(t).alias("hours")))
+    ranges = x.rlike("(?iuU)" + DAY_RANGE) & x.rlike("(?iuU)" + TIME_RANGE)  # eight groups are read below
+    timed = bound(F.when(ranges, working_time(x)), lambda t: F.struct(t["days"].alias("days"), _hours(t).alias("hours")))
     gross = bound(timed, lambda t: F.struct(t["days"].alias("days"), F.when((t["hours"] > 0) & (t["hours"] <= 16), F.bround(t["days"] * t["hours"], 1)).alias("week")))
     return bound(gross, lambda g: F.struct(g["week"].alias("gross"), F.when(g["week"] / g["days"] > 5, F.bround(g["days"] * (g["week"] / g["days"] - 1), 1)).otherwise(g["week"]).alias("net")))
 
@@ -129,23 +130,28 @@ def read_facts(text: Column, doc_type: Column) -> Column:
     perpetual = matches(text, PERPETUAL) & ~matches(text, PUBLIC)
     immediate = matches(text, IMMEDIATE) & ~(matches(text, VERIFICATION) & ~matches(text, CONDUCT))
     vague = (immediate | broad_ground_sentence(text).isNotNull()) & ~matches(text, CURE) & ~protected_misconduct(text)
-    week = weekly(text)
+    # several facts hang on each of these, and what stands behind a condition is worked out at each use
+    shared = {"commitment": commitment, "recovery": recovery, "perpetual": perpetual, "vague": vague, "week": weekly(text)}
+    return bound(F.when(own, F.struct(*(c.alias(n) for n, c in shared.items()))), lambda s: _facts(text, yes, own, s))
+
+
+def _facts(text: Column, yes: Column, own: Column, s: Column) -> Column:
     values = {
         "unfilled_placeholder": F.when(placeholder(text).isNotNull(), yes),
-        "bond_present": F.when(own & (commitment | recovery), yes),
-        "compels_continued_service": F.when(own & commitment & matches(text, NOT_NEGOTIABLE), yes),
-        "recovery_on_early_exit": F.when(own & recovery, yes),
+        "bond_present": F.when(s["commitment"] | s["recovery"], yes),
+        "compels_continued_service": F.when(s["commitment"] & matches(text, NOT_NEGOTIABLE), yes),
+        "recovery_on_early_exit": F.when(s["recovery"], yes),
         "training_cost_clawback": F.when(own & matches(text, TRAINING_COST) & matches(text, MONEY), yes),
-        "weekly_hours": F.when(own, week["gross"]),
-        "weekly_hours_net": F.when(own, week["net"]),
+        "weekly_hours": s["week"]["gross"],
+        "weekly_hours_net": s["week"]["net"],
         "settlement_conditional": F.when(own & matches(text, SETTLEMENT) & matches(text, CONDITIONAL), yes),
         "unpaid_work_period": F.when(own & matches(text, UNPAID) & matches(text, WORK_PERIOD), yes),
         "material_terms_elsewhere": F.when(own & matches(text, ELSEWHERE) & matches(text, MATERIAL_TERM), yes),
-        "perpetual_confidentiality": F.when(own & perpetual, yes),
-        "perpetual": F.when(own & perpetual, yes),
-        "excludes_public_information": F.when(own & perpetual, F.lit(False)),
-        "termination_without_cure": F.when(own & vague, yes),
-        "cause_undefined_or_vague": F.when(own & vague, yes),
+        "perpetual_confidentiality": F.when(s["perpetual"], yes),
+        "perpetual": F.when(s["perpetual"], yes),
+        "excludes_public_information": F.when(s["perpetual"], F.lit(False)),
+        "termination_without_cure": F.when(s["vague"], yes),
+        "cause_undefined_or_vague": F.when(s["vague"], yes),
     }
     return F.struct(*(values[f].alias(f) for f in FACTS))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contractlens.functions.text import contains_any, count_present
+from contractlens.functions.text import bound, contains_any, count_present
 
 #: Phrases that keep a clause whatever else it holds (fixed values).
 SAFETY = [
@@ -39,13 +39,17 @@ def safety_phrase(text: Column) -> Column:
 def decide(text: Column, safety=SAFETY, inert=INERT, risky=RISKY) -> Column:
     """(keep, reason, n_risk, n_inert) of a clause."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    n_risk, n_inert = count_present(low, risky), count_present(low, inert)
-    reason = (
-        F.when(contains_any(low, safety), F.lit("safety"))
-        .when((n_inert >= 2) & (n_risk <= 1), F.lit("boilerplate"))
-        .when(n_risk >= 1, F.lit("risk"))
-        .when(n_inert > 0, F.lit("inert"))
-        .when(F.length(low) < SHORT_CHARS, F.lit("short"))
+    # each is worked out once: a lambda's body is, for each phrase
+    counts = lambda x: F.struct(x.alias("low"), count_present(x, risky).alias("n_risk"), count_present(x, inert).alias("n_inert"))
+    return bound(bound(bound(low, counts), lambda c: F.struct(_reason(c, safety).alias("reason"), c["n_risk"].alias("n_risk"), c["n_inert"].alias("n_inert"))), lambda c: F.struct(c["reason"].isin("safety", "risk", "unclear").alias("keep"), c["reason"].alias("reason"), c["n_risk"].alias("n_risk"), c["n_inert"].alias("n_inert")))
+
+
+def _reason(c: Column, safety) -> Column:
+    return (
+        F.when(contains_any(c["low"], safety), F.lit("safety"))
+        .when((c["n_inert"] >= 2) & (c["n_risk"] <= 1), F.lit("boilerplate"))
+        .when(c["n_risk"] >= 1, F.lit("risk"))
+        .when(c["n_inert"] > 0, F.lit("inert"))
+        .when(F.length(c["low"]) < SHORT_CHARS, F.lit("short"))
         .otherwise(F.lit("unclear"))
     )
-    return F.struct(reason.isin("safety", "risk", "unclear").alias("keep"), reason.alias("reason"), n_risk.alias("n_risk"), n_inert.alias("n_inert"))

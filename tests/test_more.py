@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contractlens.functions import text as tx
-from contractlens.operators import docfacts, drafts, evalstats, extract, furniture, guard, rulebook, segment, statutes, versions
+from contractlens.operators import docfacts, drafts, evalstats, extract, facts, furniture, guard, rulebook, segment, statutes, triage, versions
 from contractlens.plans import audit, papers
 from contractlens.sources import readers
 from contractlens.streaming import stream
@@ -252,9 +252,26 @@ def test_a_large_block_is_cut_once(monkeypatch):
     assert len(calls) == 1 and name == "numbered_caps" and len(blocks) == 4
 
 
+def test_shared_parts_are_worked_out_once(spark):
+    rows = spark.createDataFrame([("employment", "A minimum tenure is asked; Monday to Friday 9:00 to 18:00."), ("rental", "minimum tenure"), (None, "minimum tenure")], "kind string, text string")
+    written = lambda c: rows.select(c.alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert written(triage.decide(F.col("text"))).count("lower(") == 1
+    read = facts.read_facts(F.col("text"), F.col("kind"))
+    assert written(read).count("perpetuity|shall") == 2  # the pattern has it twice
+    got = rows.select(read.alias("v")).select("v.bond_present", "v.weekly_hours", "v.weekly_hours_net").collect()
+    assert [tuple(r) for r in got] == [(True, 45.0, 40.0), (None, None, None), (None, None, None)]
+
 
 def test_lines_that_only_digits_tell_apart(spark):
     texts = ["page 12345\nb\npage 67890\npage 1\nb", "@12345\n@99999\n@1\nrow 11\nrow 22", "same old line\nother\nsame old line", "", None]
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select(furniture.strip_repeating_lines(F.col("text")).alias("t"))
     assert [r[0] for r in rows.collect()] == ["b\nb", "row 11\nrow 22", "other", "", None]
     assert rows.select(furniture.strip_repeating_lines(F.lit("a\nb"), 3)).first()[0] == "a\nb"
+
+
+def test_terms_are_looked_up_without_cutting_words(spark):
+    terms = ["rent", "notice period", "lock-in", "landlord's", "set off", "off"]
+    rows = spark.createDataFrame([("rent a notice period",), ("the notice  periods rent-free lock-in",), ("landlord's set off",), ("block-in offer",), ("",)], "t string")
+    df = rows.select(guard.present(F.col("t"), terms).alias("v"))
+    assert [r[0] for r in df.collect()] == [["rent", "notice period"], ["rent", "lock-in"], ["off", "set off", "landlord's"], [], []]
+    assert "zip_with" not in df._jdf.queryExecution().analyzed().toString() and "zipwith" not in df._jdf.queryExecution().analyzed().toString()
