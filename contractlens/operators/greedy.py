@@ -110,7 +110,7 @@ def decide(edges: DataFrame, docs: DataFrame) -> tuple[DataFrame, int]:
     """edges (a, b), a < b, to (doc_id, kept, match) of all documents, and the number of rounds that it took; match is the smallest kept neighbour."""
     scratch = Scratch(docs.sparkSession, "kept")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    edges = edges.select("a", "b")
+    edges = scratch.table(edges.select("a", "b"), "edges")  # every round reads them
     later = edges.select(F.col("b").alias("doc_id")).distinct()
     state = scratch.table(docs.select("doc_id").distinct().join(later, "doc_id", "left_anti").select("doc_id", F.lit(True).alias("kept"), F.lit(None).cast(kind).alias("match")), "state0")
     open_, k = scratch.table(later, "open0"), 0

@@ -83,9 +83,12 @@ class Router:
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """rows with ``p`` and ``keep``."""
-        scored = self.model.transform(_weigh(self.words.transform(rows), self.idf))
+        return self.scored(self.words.transform(rows), rows.columns)
+
+    def scored(self, counted: DataFrame, columns: list[str]) -> DataFrame:
+        """Rows whose terms are counted already with ``p`` and ``keep``."""
         p = vector_to_array("probability")[1]
-        return scored.select(*rows.columns, p.alias("p")).withColumn("keep", F.col("p") >= self.threshold)
+        return self.model.transform(_weigh(counted, self.idf)).select(*columns, p.alias("p")).withColumn("keep", F.col("p") >= self.threshold)
 
     def save(self, path: str) -> None:
         self.words.write().overwrite().save(f"{path}/words")
@@ -115,18 +118,21 @@ def train(rows: DataFrame, key: str = "clause_id", text: str = "text", terms: in
     share = counts[1] / sum(counts.values())
     if share > MAX_POSITIVE:
         warnings.warn(f"{share:.0%} of the clauses are positive: the labels keep too much for a router to save anything", stacklevel=2)
-    split = Scratch(rows.sparkSession, "router").table(held_out(rows.select(key, text, "label"), key), "split")  # read by every pass below
+    scratch = Scratch(rows.sparkSession, "router")
+    split = scratch.table(held_out(rows.select(key, text, "label"), key), "split")
     fit = split.where("not test")
     words = Pipeline(stages=[RegexTokenizer(inputCol=text, outputCol="w1", pattern=r"\W+", minTokenLength=2), NGram(n=2, inputCol="w1", outputCol="w2"), SQLTransformer(statement="SELECT *, concat(w1, w2) AS terms FROM __THIS__"), CountVectorizer(inputCol="terms", outputCol="counts", minDF=MIN_DF, vocabSize=min(terms, TERMS))]).fit(fit)
-    seen = IDF(inputCol="counts", outputCol="idf").fit(words.transform(fit))  # its document frequencies; its weights lack the + 1
+    counted = scratch.table(words.transform(split).select(key, "label", "test", "counts"), "counted")  # texts are cut into terms once for all passes below
+    fit = counted.where("not test")
+    seen = IDF(inputCol="counts", outputCol="idf").fit(fit)  # its document frequencies; its weights lack the + 1
     n = seen.numDocs
     idf = [math.log((1 + n) / (1 + d)) + 1 for d in seen.docFreq]
     total = sum(counts.values())
     weight = F.when(F.col("label") == 1, F.lit(total / (2 * counts[1]))).otherwise(F.lit(total / (2 * counts[0])))
-    ready = _weigh(words.transform(fit), idf).withColumn("weight", weight).withColumn("label", F.col("label").cast("double"))
+    ready = _weigh(fit, idf).withColumn("weight", weight).withColumn("label", F.col("label").cast("double"))
     model = Pipeline(stages=[LogisticRegression(weightCol="weight", regParam=1 / (C * n), elasticNetParam=0.0, standardization=False, maxIter=50)]).fit(ready)
     router = Router(words, idf, model, THRESHOLD)
-    swept = evalstats.sweep(router.transform(split.where("test")))
+    swept = evalstats.sweep(router.scored(counted.where("test"), [key, "label"]))
     router.threshold = evalstats.best_threshold(swept, THRESHOLD)
     return router, swept
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from contractlens.functions import text as tx
-from contractlens.operators import docfacts, drafts, evalstats, extract, facts, furniture, guard, rulebook, segment, statutes, triage, versions
+from contractlens.functions.scratch import Scratch
+from contractlens.operators import docfacts, drafts, evalstats, extract, facts, furniture, greedy, guard, router, rulebook, segment, statutes, triage, versions
 from contractlens.plans import audit, papers
 from contractlens.sources import readers
 from contractlens.streaming import stream
@@ -275,3 +276,25 @@ def test_terms_are_looked_up_without_cutting_words(spark):
     df = rows.select(guard.present(F.col("t"), terms).alias("v"))
     assert [r[0] for r in df.collect()] == [["rent", "notice period"], ["rent", "lock-in"], ["off", "set off", "landlord's"], [], []]
     assert "zip_with" not in df._jdf.queryExecution().analyzed().toString() and "zipwith" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_what_every_pass_reads_is_written_once(spark, monkeypatch):
+    names, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: names.append(name) or table(self, df, name))
+    kept = greedy.decide(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"), spark.range(1, 5).select(F.col("id").alias("doc_id")))[0]
+    assert sorted(map(tuple, kept.collect())) == [(1, True, None), (2, False, 1), (3, True, None), (4, True, None)]
+    rows = [(i, ("bad words here " if i % 3 == 0 else "good words there ") * 3, int(i % 3 == 0)) for i in range(60)]
+    fitted, swept = router.train(spark.createDataFrame(rows, "clause_id long, text string, label int"), terms=20)
+    assert names.count("edges") == 1 and names.count("counted") == 1
+    assert sorted(map(str, swept.collect())) and "text" in fitted.transform(spark.createDataFrame([(1, "bad words")], "clause_id long, text string")).columns
+
+
+def test_drafts_are_compared_by_digests_alone(spark):
+    old = spark.createDataFrame([(1, 0, "a b"), (1, 1, "c d")], "doc_id long, idx int, text string")
+    new = spark.createDataFrame([(1, 0, "a  B"), (1, 1, "c e")], "doc_id long, idx int, text string")
+    pairs = spark.createDataFrame([(1, 0, 0, 1.0), (1, 1, 1, 0.5)], "doc_id long, old_idx int, new_idx int, similarity double")
+    found = spark.createDataFrame([(1, 0, "R", "low"), (1, 1, "R", "low")], "doc_id long, idx int, rule_id string, severity string")
+    digests = lambda df: df.select("doc_id", "idx", tx.text_digest(F.col("text")).alias("hash"))
+    want = sorted(map(str, versions.diff(pairs, old, new, found, found).collect()))
+    assert sorted(map(str, versions.diff(pairs, digests(old), digests(new), found, found).collect())) == want
+    assert sum("REWORDED" in w for w in want) == sum("PERSISTED" in w for w in want) == 1
