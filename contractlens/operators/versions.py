@@ -51,8 +51,9 @@ def diff(pairs: DataFrame, old: DataFrame, new: DataFrame, old_findings: DataFra
 
     findings: doc_id, idx, rule_id, severity, and ord if there is one; of several of a rule on a
     clause the last by ord counts, without ord the least severe, as findings lie high ones first.
+    old and new have a text, or its digest as ``hash``.
     """
-    hashes = lambda df, side: df.select("doc_id", F.col("idx").alias(f"{side}_idx"), text_digest(F.col("text")).alias(f"{side}_hash"))
+    hashes = lambda df, side: df.select("doc_id", F.col("idx").alias(f"{side}_idx"), (F.col("hash") if "hash" in df.columns else text_digest(F.col("text"))).alias(f"{side}_hash"))
     keyed = pairs.join(hashes(old, "old"), ["doc_id", "old_idx"], "left").join(hashes(new, "new"), ["doc_id", "new_idx"], "left")
     place = lambda df: F.struct(F.col("ord") if "ord" in df.columns else F.lit(0), F.coalesce(*(F.when(F.col("severity") == x, F.lit(i)) for i, x in enumerate(("high", "medium", "low", "none")))))
     own = lambda df, side: df.groupBy("doc_id", F.col("idx").alias(f"{side}_idx"), "rule_id").agg(F.max_by("severity", place(df)).alias(f"{side}_severity"))

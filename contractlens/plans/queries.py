@@ -512,9 +512,10 @@ def near_dup_edges(spark, sf_dir):
 @query()
 def near_dup_greedy(spark, sf_dir):
     """Documents kept by the greedy rule; copies of a digest set follow their leader."""
-    pieces = _digests(spark, sf_dir).select("doc_id", "digest")
+    scratch = Scratch(spark, "greedy")
+    pieces = scratch.table(_digests(spark, sf_dir).select("doc_id", "digest").distinct(), "pieces")  # read twice, as the sets are
     edges = curate.containment(pieces, curate.NEAR).select("a", "b")
-    sets = curate.same_sets(pieces)
+    sets = scratch.table(curate.same_sets(pieces), "sets")
     leaders = curate.kept_documents(edges, sets.where("doc_id = leader"))
     state = leaders.select(F.col("doc_id").alias("leader"), "kept", "match")
     return sets.join(state, "leader").select("doc_id", (F.col("kept") & (F.col("doc_id") == F.col("leader"))).alias("kept"), F.when(F.col("doc_id") != F.col("leader"), F.col("leader")).otherwise(F.col("match")).alias("match"))
@@ -594,11 +595,13 @@ pairs as (select coalesce(o.doc_id, n.doc_id) as doc_id, o.idx as old_idx, n.idx
 f as (select *, coalesce(length(old_text) > 100, false) as b, coalesce(length(new_text) > 108, false) as a from pairs)
 select doc_id, sum((not b and a)::int)::bigint as new, 0::bigint as reworded, sum((b and a)::int)::bigint as persisted, sum((b and not a and new_idx is not null)::int)::bigint as vanished, sum((b and not a and new_idx is null)::int)::bigint as resolved from f where a or b group by doc_id""")
 def draft_diff_status(spark, sf_dir):
-    old, new = _drafts(spark, sf_dir)
-    exact = versions.exact_pairs(versions.prepared(old), versions.prepared(new))
+    scratch = Scratch(spark, "drafts")
+    digests = lambda df, name: scratch.table(df.select("doc_id", "idx", tx.text_digest(F.col("text")).alias("hash"), F.length("text").alias("n_chars")), name)
+    old, new = map(digests, _drafts(spark, sf_dir), ("old", "new"))  # each is read several times below
+    exact = versions.exact_pairs(old, new)
     lone = lambda df, name: df.select("doc_id", F.col("idx").alias(name)).join(exact, ["doc_id", name], "left_anti")
     pairs = exact.withColumn("similarity", F.lit(1.0)).unionByName(lone(old, "old_idx"), allowMissingColumns=True).unionByName(lone(new, "new_idx"), allowMissingColumns=True)
-    found = lambda df, n: df.where(F.length("text") > n).select("doc_id", "idx", F.lit("R").alias("rule_id"), F.lit("low").alias("severity"))
+    found = lambda df, n: df.where(F.col("n_chars") > n).select("doc_id", "idx", F.lit("R").alias("rule_id"), F.lit("low").alias("severity"))
     return versions.summary(versions.diff(pairs, old, new, found(old, 100), found(new, 108)))
 
 
