@@ -22,9 +22,12 @@ found as (
   where substr(md5(doc_id || ':' || code), 1, 1) between '0' and '9')"""
 
 
+def _papers(spark, sf_dir):
+    return papers.papers(spread(table(spark, sf_dir, "documents").select("doc_id")))
+
+
 def _audited(spark, sf_dir):
-    own = papers.papers(spread(table(spark, sf_dir, "documents").select("doc_id")))
-    return audit.audit(own, papers.acts(spark))
+    return audit.audit(_papers(spark, sf_dir), papers.acts(spark))
 
 
 @query("with " + _PAPERS + """,
@@ -51,9 +54,8 @@ def _rash(kind: Column, text: Column) -> dict[str, Column]:
 @query("with " + _PAPERS + "\nselect doc_id, rule_id, severity, case when place = 'e2' then 2 else 1 end as tries, count(*) as n from found group by all")
 def audit_second_reading(spark, sf_dir):
     """The audit with an extractor that is wrong at first: what it makes up can't be cited, so the clause is read again."""
-    own = papers.papers(spread(table(spark, sf_dir, "documents").select("doc_id")))
     acts = papers.acts(spark).where("corpus_id <> 'sra_1963'")
-    found = audit.audit(own, acts, _rash, again=[extract.keyword_params])[0]
+    found = audit.audit(_papers(spark, sf_dir), acts, _rash, again=[extract.keyword_params])[0]
     return found.groupBy("doc_id", "rule_id", "severity", "tries").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -191,10 +193,16 @@ grounded as (select f.*, r.section from found f join (values """ + ", ".join(f"(
 ways as (select rule_id, unnest([case when section is not null then 'other section' end, 'heading alone', 'no anchor']) as poison from grounded)
 select rule_id, poison, case poison when 'other section' then 'wrong section' when 'heading alone' then 'heading only' else 'no anchor' end as reason, count(*) as n from ways where poison is not null group by all""")
 def poisoned_citations(spark, sf_dir):
-    """Citations made wrong in three ways: all of them are withheld, each for its own reason."""
-    found = _audited(spark, sf_dir)[0].drop("reason", "verified")
-    judged = statutes.verify(statutes.poisoned(found))
-    return judged.groupBy("rule_id", "poison", F.coalesce("reason", F.lit("stands")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """Citations made wrong in three ways: all of them are withheld, each for its own reason.
+
+    Those of equal papers are equal, so they are judged once and count for each of the papers.
+    """
+    copies, _, found, _ = audit.readings(_papers(spark, sf_dir), papers.acts(spark))
+    judged = statutes.verify(statutes.poisoned(found.drop("reason", "verified")))
+    ways = ("rule_id", "poison", F.coalesce("reason", F.lit("stands")).alias("reason"))
+    own = judged.groupBy(F.col("doc_id").alias("key"), *ways).agg(F.count(F.lit(1)).alias("n"))
+    times = copies.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    return own.join(times, "key").groupBy("rule_id", "poison", "reason").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
 
 
 def _typed(f: str) -> str:

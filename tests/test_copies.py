@@ -1,9 +1,10 @@
 """Documents that share their type and text are audited once, and each of them gets the whole result."""
 
+import duckdb
 from pyspark.sql import functions as F
 
-from contractlens.operators import segment
-from contractlens.plans import audit, papers
+from contractlens.operators import segment, statutes
+from contractlens.plans import audit, papers, queries
 
 SCHEMA = "doc_id string, doc_type string, text string"
 
@@ -32,3 +33,16 @@ def test_equal_texts_are_read_once(spark, monkeypatch):
             assert sorted(by[f"{d}::b{k}"]) == sorted(by[d]) and told[f"{d}::b{k}"] | {"doc_id": d} == told[d]
     assert told["other"]["type_status"] == "mismatch" and "other" not in by
     assert {d: (told[d]["doc_type"], told[d]["problem"]) for d in ("no text", "empty", "no type", "nothing")} == {"no text": ("loan", "too short"), "empty": ("loan", "too short"), "no type": (None, "unknown type"), "nothing": ("", "unknown type")}
+
+
+def test_poisoned_citations_of_equal_papers_are_judged_once(spark, tmp_path, monkeypatch):
+    """300 loan papers are 128 texts at most: their citations are judged by text and counted by paper."""
+    ids = range(2, 902, 3)
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    judged, poison = [], statutes.poisoned
+    monkeypatch.setattr(statutes, "poisoned", lambda found: judged.append(found.select("doc_id").distinct().count()) or poison(found))
+    got = queries.QUERIES["poisoned_citations"](spark, str(tmp_path)).collect()
+    assert 0 < judged[0] <= 128 < sum(r["n"] for r in got)
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted((r["rule_id"], r["poison"], r["reason"], r["n"]) for r in got) == sorted(c.execute(queries.SQL["poisoned_citations"]).fetchall())
