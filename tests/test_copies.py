@@ -46,3 +46,13 @@ def test_poisoned_citations_of_equal_papers_are_judged_once(spark, tmp_path, mon
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted((r["rule_id"], r["poison"], r["reason"], r["n"]) for r in got) == sorted(c.execute(queries.SQL["poisoned_citations"]).fetchall())
+
+
+def test_registered_audit_reads_documents_of_many_clauses(spark, tmp_path):
+    """A document of over 60 clauses has all of its findings; the library refuses it only where a ceiling is asked for."""
+    forfeits = "What is taken off the deposit is at the sole discretion of the landlord, who shall tell the tenant of part {} of it by letter."
+    text = papers.OPENINGS["rental"] + "\n" + "\n".join(f"{i}. {forfeits.format(i)}" for i in range(1, 66))
+    spark.createDataFrame([(1, "fr", text), (2, "fr", papers.OPENINGS["rental"])], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in queries.QUERIES["audit_full"](spark, str(tmp_path)).collect()}
+    assert rows["1"]["problem"] is None and rows["1"]["clauses"] > 60 and rows["2"]["flagged"] == 0
+    assert rows["1"]["flagged"] == 65 and "R-RENT-03" in rows["1"]["rules"].split(",")
